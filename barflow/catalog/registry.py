@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barflow.catalog import bar_queries
+from barflow.catalog import bar_queries, signal_queries, trade_queries
 
-MODULES = (bar_queries,)
+MODULES = (bar_queries, signal_queries, trade_queries)
 
 
 def queries():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.operators.bars import build_bars
+from barflow.operators.series import with_row_index
 from barflow.session import stored
 
 BENCHMARK = "view"
@@ -29,9 +30,17 @@ def ticks(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame
     return ticks_of(table(spark, sf_dir, "events"), by)
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def bars(spark: SparkSession, sf_dir: str, width: str = "15m", by: str = "event_type") -> DataFrame:
-    """Bars as a stored table: the ticks are read once, however often a plan reads the bars."""
-    return stored(build_bars(ticks(spark, sf_dir, by), width), f"bars_{width}")
+    """Bars as a stored table with row numbers, written once per session: the ticks are read once,
+    however many plans read the bars."""
+    key = (spark.sparkContext.applicationId, sf_dir, width, by)
+    if key not in _TABLES:
+        plain = stored(build_bars(ticks(spark, sf_dir, by), width), "bars")
+        _TABLES[key] = stored(with_row_index(plain), "bars")
+    return _TABLES[key]
 
 
 def micros(col: str = "ts") -> Column:

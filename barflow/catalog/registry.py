@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from barflow.catalog import bar_queries, signal_queries, trade_queries
+from barflow.catalog import (
+    bar_queries, exit_queries, signal_queries, trade_queries, training_queries,
+)
 
-MODULES = (bar_queries, signal_queries, trade_queries)
+MODULES = (signal_queries, bar_queries, trade_queries, exit_queries, training_queries)
 
 
 def queries():

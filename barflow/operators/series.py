@@ -19,7 +19,12 @@ def time_chunk(ts: str = TS, width: str = "day") -> Column:
 
 def with_row_index(df: DataFrame, key: str = KEY, ts: str = TS, width: str = "month",
                    out: str = "idx") -> DataFrame:
-    """Dense 0-based row number per key in time order, numbered per (key, month) plus offsets."""
+    """Dense 0-based row number per key in time order, numbered per (key, month) plus offsets.
+
+    A table that already carries the number keeps it.
+    """
+    if out in df.columns:
+        return df
     piece = df.withColumn("_piece", time_chunk(ts, width))
     before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -132,27 +137,21 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], key: str | None
     rhs = rhs.withColumn("_left", F.lit(None).cast(lhs_type)).withColumn(
         "_side", F.lit(1 if strict else 0))
 
-    def chunked(df):
-        return df.withColumn("_chunk", F.date_trunc(width, F.col("_ts")))
-
-    lasts = chunked(rhs).groupBy(*keys, "_chunk").agg(F.max_by("_right", "_ts").alias("_right"))
-    needs = chunked(lhs.select(*keys, "_ts")).select(*keys, "_chunk").distinct()
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = order.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    stacked = lhs.select(stack_cols).unionByName(rhs.select(stack_cols)).withColumn(
+        "_chunk", F.date_trunc(width, F.col("_ts")))
+    # one row per (key, chunk): its last right row, and whether any left row needs a carry
+    summary = stacked.groupBy(*keys, "_chunk").agg(
+        F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_last"),
+        F.max(F.col("_left").isNotNull()).alias("_need"))
+    chain = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = chain.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carries = (
-        lasts.withColumn("_need", F.lit(False))
-        .unionByName(needs.withColumn("_need", F.lit(True))
-                     .withColumn("_right", F.lit(None).cast(rhs_type)))
-        .groupBy(*keys, "_chunk").agg(F.max("_need").alias("_need"),
-                                      F.max_by("_right", F.col("_right").isNotNull())
-                                      .alias("_right"))
-        .withColumn("_right", F.last("_right", ignorenulls=True).over(before))
+        summary.withColumn("_right", F.last("_last", ignorenulls=True).over(before))
         .where(F.col("_need") & F.col("_right").isNotNull())
         .select(*keys, F.col("_chunk").alias("_ts"), F.lit(-1).alias("_side"), "_right",
                 F.lit(None).cast(lhs_type).alias("_left"), "_chunk")
     )
-    stacked = chunked(lhs.select(stack_cols).unionByName(rhs.select(stack_cols))).unionByName(
-        carries)
+    stacked = stacked.unionByName(carries)
     frame = Window.partitionBy(*keys, "_chunk").orderBy("_ts", "_side").rowsBetween(
         Window.unboundedPreceding, 0)
     return (

@@ -4,9 +4,11 @@ Which events are kept depends on the whole past of the key, yet all that a time
 is the last kept time. Three steps, none of which holds a whole key:
 
 1. per (symbol, chunk): for every event that could be the first one kept in the chunk (those within
-   one gap of the chunk's first event), where the kept path ends; equal ends are merged,
+   one gap of the chunk's first event), where the kept path ends; neighbours with equal ends merge,
 2. per symbol: walk those few rows from chunk to chunk, giving each chunk its entry state,
 3. per (symbol, chunk): emit the kept events.
+
+Steps 1 and 3 run over sorted partitions, many chunks per numpy call.
 """
 
 from __future__ import annotations
@@ -18,37 +20,78 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NEVER = -(2 ** 62)
-
-
-def _jumps(times: np.ndarray, gap: int) -> np.ndarray:
-    """Index of the first event at least ``gap`` after each event (len(times) if none)."""
-    return np.searchsorted(times, times + gap, side="left")
-
-
-def _path_ends(times: np.ndarray, gap: int) -> pd.DataFrame:
-    """(latest first-kept time, last kept time) of each distinct path through one chunk."""
-    n = len(times)
-    jump = _jumps(times, gap)
-    starts = np.arange(min(n, int(np.searchsorted(times, times[0] + gap, side="left")) + 1))
-    end = starts.copy()
-    while True:
-        ahead = jump[end]
-        moving = ahead < n
-        if not moving.any():
-            break
-        end[moving] = ahead[moving]
-    frame = pd.DataFrame({"first_us": times[starts], "exit_us": times[end]})
-    return frame.groupby("exit_us", as_index=False)["first_us"].max().sort_values("first_us")
-
+NEVER = -(2 ** 60)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Re-cut batches sorted by (symbol, chunk) so that no group is split between two frames."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        symbol, chunk = batch["symbol"].iloc[-1], batch["chunk"].iloc[-1]
+        same = ((batch["symbol"] == symbol) & (batch["chunk"] == chunk)).to_numpy()
+        cut = len(batch) - int(np.argmin(same[::-1])) if not same.all() else 0
+        last = held[0] if held else batch
+        continues = last["symbol"].iloc[-1] == symbol and last["chunk"].iloc[-1] == chunk
+        if cut or not continues:
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _group_starts(pdf: pd.DataFrame) -> np.ndarray:
+    symbol, chunk = pdf["symbol"].to_numpy(), pdf["chunk"].to_numpy()
+    new = np.ones(len(pdf), bool)
+    new[1:] = (symbol[1:] != symbol[:-1]) | (chunk[1:] != chunk[:-1])
+    return np.flatnonzero(new)
+
+
+class Paths:
+    """Times of many groups laid end to end on one axis, so that one binary search serves all."""
+
+    def __init__(self, times: np.ndarray, starts: np.ndarray, gap: int):
+        self.starts, self.gap = starts, gap
+        self.ends = np.append(starts[1:], len(times))
+        self.group = np.repeat(np.arange(len(starts)), self.ends - starts)
+        first, last = times[starts], times[self.ends - 1]
+        room = np.append(0, np.cumsum(last - first + 2 * gap + 2)[:-1])
+        self.shift = room - first
+        self.axis = times + self.shift[self.group]
+        self.jump = self.at_or_after(self.axis + gap, self.group)
+
+    def at_or_after(self, where: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """First event at or after an axis position, or the end of the group."""
+        found = np.searchsorted(self.axis, where, side="left")
+        return np.clip(found, self.starts[group], self.ends[group])
+
+
+def _path_ends(gap: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches):
+            times = pdf["_us"].to_numpy()
+            paths = Paths(times, _group_starts(pdf), gap)
+            # candidates of each group: up to and including the first event one gap after its first
+            reach = np.minimum(paths.jump[paths.starts] + 1, paths.ends)
+            begin = np.flatnonzero(np.arange(len(times)) < reach[paths.group])
+            end, stop = begin.copy(), paths.ends[paths.group[begin]]
+            while True:
+                ahead = paths.jump[end]
+                moving = ahead < stop
+                if not moving.any():
+                    break
+                end[moving] = ahead[moving]
+            group = paths.group[begin]
+            keep = np.ones(len(begin), bool)
+            keep[:-1] = (end[:-1] != end[1:]) | (group[:-1] != group[1:])
+            rows = begin[keep]
+            yield pd.DataFrame({
+                "symbol": pdf["symbol"].to_numpy()[rows], "chunk": pdf["chunk"].to_numpy()[rows],
+                "first_us": times[rows], "exit_us": times[end[keep]]})
 
-def _kept(times: np.ndarray, gap: int, last: int) -> np.ndarray:
-    jump, kept = _jumps(times, gap), []
-    at = int(np.searchsorted(times, last + gap, side="left")) if last != NEVER else 0
-    while at < len(times):
-        kept.append(at)
-        at = int(jump[at])
-    return np.array(kept, dtype=int)
+    return run
 
 
 def _entries(gap: int):
@@ -56,20 +99,46 @@ def _entries(gap: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol = chunk = None
-        last, leaves = NEVER, NEVER
+        last, leaves, found = NEVER, NEVER, False
         for batch in batches:
             out = []
-            for s, c, first, leave in batch[["symbol", "chunk", "first_us",
-                                            "exit_us"]].itertuples(index=False):
+            columns = batch[["symbol", "chunk", "first_us", "exit_us"]]
+            for s, c, first, leave in columns.itertuples(index=False):
                 if s != symbol:
                     symbol, chunk, leaves = s, None, NEVER
                 if c != chunk:
-                    chunk, last = c, leaves
+                    chunk, last, found = c, leaves, False
                     out.append((s, c, last))
-                    found = False
-                if not found and (last == NEVER or first >= last + gap):
+                if not found and first >= last + gap:
                     leaves, found = leave, True
-            yield pd.DataFrame(out, columns=["symbol", "chunk", "entry_us"])
+            yield pd.DataFrame(out, columns=["symbol", "chunk", "_entry"])
+
+    return run
+
+
+def _kept(gap: int, columns: list[str]):
+    """Sorted groups whose first row carries the entry state; yields the kept event rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches):
+            head = _group_starts(pdf)
+            events = np.ones(len(pdf), bool)
+            events[head] = False
+            entry = pdf["_entry"].to_numpy()[head].astype("int64")
+            rows = pdf[events].reset_index(drop=True)
+            paths = Paths(rows["_us"].to_numpy(), _group_starts(rows), gap)
+            group = np.arange(len(paths.starts))
+            at = paths.at_or_after(entry + gap + paths.shift, group)
+            picked = []
+            while True:
+                live = at < paths.ends[group]
+                if not live.any():
+                    break
+                at, group = at[live], group[live]
+                picked.append(at)
+                at = paths.jump[at]
+            if picked:
+                yield rows.iloc[np.sort(np.concatenate(picked))][columns]
 
     return run
 
@@ -78,31 +147,25 @@ def throttle(events: DataFrame, gap_s: int = 900, chunk_s: int = 86_400, tie: st
              ts: str = "ts") -> DataFrame:
     """Events of ``symbol`` kept by the greedy throttle; ``tie`` orders equal times.
 
-    ``chunk_s`` is the time one task group covers; lower it for symbols with very dense events.
+    ``chunk_s`` is the time one group of rows covers; lower it for symbols with very dense events.
     """
     gap = gap_s * 1_000_000
     base = events.withColumns({
         "_us": F.unix_micros(ts), "chunk": F.floor(F.unix_seconds(ts) / chunk_s)})
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = _path_ends(np.sort(pdf["_us"].to_numpy()), gap)
-        return ends.assign(symbol=pdf["symbol"].iloc[0], chunk=pdf["chunk"].iloc[0])[
-            ["symbol", "chunk", "first_us", "exit_us"]]
-
-    paths = base.select("symbol", "chunk", "_us").groupBy("symbol", "chunk").applyInPandas(
-        summarize, "symbol string, chunk bigint, first_us bigint, exit_us bigint")
+    paths = (
+        base.select("symbol", "chunk", "_us").repartition("symbol", "chunk")
+        .sortWithinPartitions("symbol", "chunk", "_us")
+        .mapInPandas(_path_ends(gap),
+                     "symbol string, chunk bigint, first_us bigint, exit_us bigint")
+    )
     entries = (
         paths.repartition("symbol").sortWithinPartitions("symbol", "chunk", "first_us")
-        .mapInPandas(_entries(gap), "symbol string, chunk bigint, entry_us bigint")
+        .mapInPandas(_entries(gap), "symbol string, chunk bigint, _entry bigint")
     )
-    order, columns = ["_us"] + ([tie] if tie else []), events.columns
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        rows = _kept(pdf["_us"].to_numpy(), gap, int(pdf["entry_us"].iloc[0]))
-        return pdf.iloc[rows][columns]
-
+    order = ["symbol", "chunk", "_us"] + ([tie] if tie else [])
+    headed = base.withColumn("_entry", F.lit(None).cast("bigint")).unionByName(
+        entries.withColumn("_us", F.lit(NEVER)), allowMissingColumns=True)
     return (
-        base.join(entries, ["symbol", "chunk"]).groupBy("symbol", "chunk")
-        .applyInPandas(keep, events.schema)
+        headed.repartition("symbol", "chunk").sortWithinPartitions(*order)
+        .mapInPandas(_kept(gap, events.columns), events.schema)
     )

@@ -12,6 +12,7 @@ from barflow.config import Rules
 from barflow.operators import bars as bar_ops
 from barflow.operators import features, regime, series
 from barflow.operators import indicators as ind
+from barflow.session import stored
 
 # the given values are independent draws, not a price path: wider bands make all branches occur
 CONTEXT_RULES = Rules(flash_drop=0.90, hysteresis=0.4, adx_trend=12.0)
@@ -96,7 +97,7 @@ def q_closed_confirm(spark, d):
 
 def q_mtf_asof(spark, d):
     b = bars(spark, d)
-    trend = features.hourly_trend(bar_ops.coarsen(b))
+    trend = stored(features.hourly_trend(bar_ops.coarsen(b)), "trend")
     df = features.with_hourly_trend(b, trend)
     df = features.with_ema_distance(df.where(F.col("ema_1h").isNotNull()), "ema_1h",
                                     "ema_1h_distance")
@@ -105,7 +106,8 @@ def q_mtf_asof(spark, d):
 
 def q_mtf_live(spark, d):
     b = bars(spark, d)
-    df = features.with_hourly_trend(b, features.hourly_trend(bar_ops.coarsen(b)), mode="live")
+    trend = stored(features.hourly_trend(bar_ops.coarsen(b)), "trend")
+    df = features.with_hourly_trend(b, trend, mode="live")
     return df.where(F.col("ema_1h").isNotNull()).select("symbol", micros(), *rounded("ema_1h"))
 
 
@@ -129,7 +131,7 @@ def q_regime_state(spark, d):
 def q_context_asof(spark, d):
     context = _context(spark, d).select("ts", "btc_ok", "regime", "btc_adx")
     others = bars(spark, d).where(F.col("symbol") != BENCHMARK).select("symbol", "ts", "c")
-    df = series.asof(others, context, ["btc_ok", "regime", "btc_adx"], key=None)
+    df = series.asof_grid(others, stored(context, "context"), ["btc_ok", "regime", "btc_adx"])
     return df.where(F.col("regime").isNotNull()).select(
         "symbol", micros(), *flags("btc_ok"), "regime", *rounded("btc_adx"))
 

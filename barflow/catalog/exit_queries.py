@@ -51,10 +51,12 @@ def _regimes(spark, d):
 
 def _legs(spark, d):
     path = stored(price_path(spark, d), "path")
-    known = build_bars(path.select("symbol", "ts", "price", "qty"))
-    legs = position_monitor.sold_legs(_entries(path), path.select("symbol", "ts", "price"), known,
-                                      _regimes(spark, d), EXIT_RULES)
-    return legs, _entries(path)
+    known = stored(build_bars(path.select("symbol", "ts", "price", "qty")), "bars")
+    entries = stored(_entries(path), "entries")
+    until = str(path.agg(F.max("ts").cast("string")).first()[0])
+    legs = position_monitor.sold_legs(entries, path.select("symbol", "ts", "price"), known,
+                                      _regimes(spark, d), EXIT_RULES, until=until)
+    return legs, entries
 
 
 def q_exit_monitor(spark, d):

@@ -173,43 +173,37 @@ def polls_of(ticks: DataFrame, seconds: int = 2) -> DataFrame:
     )
 
 
-def position_polls(entries: DataFrame, polls: DataFrame, width: str = "day") -> DataFrame:
-    """Each poll with the symbol's latest position entered before it.
-
-    ``entries``: position_id, symbol, entry_ts, entry_price, cost, qty, lot_step, atr_pct,
-    is_whale. A symbol holds one position at a time, so a poll belongs to at most one.
-    """
-    cols = ["position_id", "entry_ts", "entry_price", "cost", "qty", "lot_step", "atr_pct",
+POSITION = ["position_id", "entry_ts", "entry_price", "cost", "qty", "lot_step", "atr_pct",
             "is_whale"]
-    joined = series.asof(polls, entries.withColumn("_from", F.col("entry_ts")), cols,
-                         right_ts="_from", width=width, strict=True)
-    return joined.where(F.col("position_id").isNotNull())
 
 
-def with_poll_context(polls: DataFrame, bars_known: DataFrame | None = None,
-                      context: DataFrame | None = None, width: str = "day") -> DataFrame:
-    """Add what the rules read besides the price: ``rsi_25``/``vol_faded`` of the newest bar
-    (``bars_known``: symbol, known_at, ...) and the regime (``context``: ts, regime)."""
-    df = polls
+def position_polls(entries: DataFrame, polls: DataFrame, bars_known: DataFrame | None = None,
+                   context: DataFrame | None = None, width: str = "day",
+                   until: str | None = None) -> DataFrame:
+    """Each poll with the symbol's latest position entered before it and what the rules read
+    besides the price.
+
+    ``entries``: symbol and POSITION; a symbol holds one position at a time, so a poll belongs to
+    at most one. ``bars_known``: symbol, known_at, rsi_25, vol_faded. ``context``: ts, regime.
+    """
+    rights = [series.Right(entries, POSITION, "entry_ts", strict=True)]
     if bars_known is not None:
-        df = series.asof(df, bars_known, ["rsi_25", "vol_faded"], right_ts="known_at", width=width)
-    else:
-        df = df.withColumns({"rsi_25": F.lit(None).cast("double"), "vol_faded": F.lit(False)})
-    if context is not None:
-        df = series.asof(df, context, ["regime"], key=None, width=width)
-    else:
-        df = df.withColumn("regime", F.lit(None).cast("string"))
-    return df.withColumns({
-        "vol_faded": F.coalesce("vol_faded", F.lit(False)),
-        "flat": F.coalesce(F.col("regime") == REGIME_FLAT, F.lit(False)),
-    })
+        rights.append(series.Right(bars_known, ["rsi_25", "vol_faded"], "known_at"))
+    df = series.asof_many(polls, rights, width=width, until=until).where("position_id IS NOT NULL")
+    if bars_known is None:
+        df = df.selectExpr("*", "CAST(NULL AS DOUBLE) AS rsi_25", "false AS vol_faded")
+    if context is None:
+        return df.selectExpr("*", "false AS flat")
+    df = series.asof_grid(df, context, ["regime"])
+    return df.selectExpr("*", f"coalesce(regime = '{REGIME_FLAT}', false) AS flat")
 
 
 def poll_vectors(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Columns the rule function needs, thresholds of the position resolved."""
     return df.select(
         F.col("position_id").cast("string").alias("position_id"), "symbol",
-        (F.unix_micros("ts") / 1e6).alias("t"), "price", "rsi_25", "vol_faded", "flat",
+        (F.unix_micros("ts") / 1e6).alias("t"), "price", "rsi_25",
+        F.coalesce("vol_faded", F.lit(False)).alias("vol_faded"), "flat",
         (F.unix_micros("entry_ts") / 1e6).alias("entry_t"), "entry_price", "cost", "qty",
         F.coalesce("lot_step", F.lit(0.0)).alias("lot_step"),
         stop_width("atr_pct", "is_whale", rules).alias("stop_ratio"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.operators import indicators as ind
@@ -22,49 +22,49 @@ def percent_change(now, then) -> Column:
     return (F.try_divide(now, then) - 1) * 100
 
 
+_W = "OVER (PARTITION BY symbol, chunk ORDER BY pos"
+
+
+def _frame(lo: int, hi: int = 0) -> str:
+    end = "CURRENT ROW" if hi == 0 else f"{hi} PRECEDING"
+    return f"{_W} ROWS BETWEEN {lo} PRECEDING AND {end})"
+
+
 def with_volume(df: DataFrame, n: int = 14) -> DataFrame:
     """Mean volume of n bars (null until n), ratio to it (0 if the mean is not positive), and
     whether the last three bars traded less than it."""
-    w = ind.bar_window()
-    mean = F.when(F.col("idx") >= n - 1, F.avg("v").over(w.rowsBetween(-(n - 1), 0)))
-    return df.withColumn("vol_mean", mean).withColumns({
-        "vol_ratio": F.when(F.col("vol_mean") > 0, F.col("v") / F.col("vol_mean")).otherwise(0.0),
-        "vol_faded": F.coalesce(
-            (F.col("vol_mean") > 0)
-            & (F.avg("v").over(w.rowsBetween(-2, 0)) < F.col("vol_mean")), F.lit(False)),
-    })
+    return df.selectExpr(
+        "*", f"CASE WHEN idx >= {n - 1} THEN avg(v) {_frame(n - 1)} END AS vol_mean",
+        f"avg(v) {_frame(2)} AS _v3",
+    ).selectExpr(
+        *df.columns, "vol_mean", "CASE WHEN vol_mean > 0 THEN v / vol_mean ELSE 0D END AS vol_ratio",
+        "coalesce(vol_mean > 0 AND _v3 < vol_mean, false) AS vol_faded")
 
 
 def with_structure(df: DataFrame) -> DataFrame:
     """Break above the highs of lags 9..2, and a green bar opening below a red bar's close."""
-    w = ind.bar_window()
-    prev_o, prev_c = F.lag("o").over(w), F.lag("c").over(w)
-    return df.withColumns({
-        "msb": F.coalesce(F.col("c") > F.max("h").over(w.rowsBetween(-9, -2)), F.lit(False)),
-        "engulf": F.coalesce(
-            (prev_c < prev_o) & (F.col("c") > F.col("o")) & (F.col("o") < prev_c), F.lit(False)),
-    })
+    return df.selectExpr(
+        "*", f"coalesce(c > max(h) {_frame(9, 2)}, false) AS msb",
+        f"coalesce(lag(c) {_W}) < lag(o) {_W}) AND c > o AND o < lag(c) {_W}), false) AS engulf")
 
 
 def with_moves(df: DataFrame) -> DataFrame:
     """Rise over 12 and 24 bars (from the first bar of a short series) and distance to the day's
     high, in percent."""
-    w = ind.bar_window()
-    head = F.first("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    top = F.max("h").over(w.rowsBetween(-(DAY_BARS - 1), 0))
-    return df.withColumns({
-        "pump_3h": percent_change(F.col("c"), F.coalesce(F.lag("c", 12).over(w), head)),
-        "pump_6h": percent_change(F.col("c"), F.coalesce(F.lag("c", 24).over(w), head)),
-        "high_distance": F.when(top > 0, (top - F.col("c")) / top * 100).otherwise(0.0),
-    })
+    head = f"first(c) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rise = f"(try_divide(c, coalesce(lag(c, {{}}) {_W}), {head})) - 1) * 100"
+    return df.selectExpr(
+        "*", f"{rise.format(12)} AS pump_3h", f"{rise.format(24)} AS pump_6h",
+        f"max(h) {_frame(DAY_BARS - 1)} AS _top",
+    ).selectExpr(
+        *df.columns, "pump_3h", "pump_6h",
+        "CASE WHEN _top > 0 THEN (_top - c) / _top * 100 ELSE 0D END AS high_distance")
 
 
 def with_closed_confirm(df: DataFrame) -> DataFrame:
     """Previous bar green with more volume than the current mean volume (needs ``vol_mean``)."""
-    w = ind.bar_window()
-    green = F.lag("c").over(w) > F.lag("o").over(w)
-    return df.withColumn("closed_confirm", F.coalesce(
-        green & (F.lag("v").over(w) > F.col("vol_mean")), F.lit(False)).cast("int"))
+    return df.selectExpr("*", f"CAST(coalesce(lag(c) {_W}) > lag(o) {_W}) AND lag(v) {_W}) > "
+                              "vol_mean, false) AS INT) AS closed_confirm")
 
 
 def with_ema_distance(df: DataFrame, ema: str, out: str, price: str = "c") -> DataFrame:
@@ -107,10 +107,11 @@ def with_hourly_trend(bars: DataFrame, trend: DataFrame, mode: str = "closed",
 
 def bar_features(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """All 15-minute features that need neither other symbols nor other timeframes, except ADX."""
-    df = prepared(bars, lookback)
-    df = ind.with_rsi(df, lookback)
-    df = ind.with_smooths(df, [ind.wilder("atr", "true_range", 14, lookback),
-                               ind.ema("ema_15m", "c", 20, lookback)])
+    df = ind.with_smooths(prepared(bars, lookback), [
+        ind.wilder("_up", "gain", 14, lookback), ind.wilder("_down", "loss", 14, lookback),
+        ind.wilder("atr", "true_range", 14, lookback), ind.ema("ema_15m", "c", 20, lookback)])
     df = with_closed_confirm(with_moves(with_structure(with_volume(df))))
-    df = with_ema_distance(df, "ema_15m", "ema_15m_distance")
-    return df.withColumn("atr_pct", F.try_divide("atr", "c") * 100)
+    return df.selectExpr(
+        "*", ind.rsi_of("_up", "_down") + " AS rsi",
+        "CASE WHEN ema_15m > 0 THEN (c / ema_15m - 1) * 100 ELSE 0D END AS ema_15m_distance",
+        "try_divide(atr, c) * 100 AS atr_pct").drop("_up", "_down")

@@ -54,55 +54,48 @@ def wilder(out: str, x: str, n: int, lookback: int, seed: str = "sma") -> Smooth
     return Smooth(out, x, n, 1.0 / n, lookback - 1, 1, seed)
 
 
+_W = "OVER (PARTITION BY symbol, chunk ORDER BY pos"
+UPTO = f"{_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 def with_smooths(df: DataFrame, smooths: list[Smooth], rows: int = CHUNK_ROWS) -> DataFrame:
     """Add every smoothing; all window steps share one partitioning and one order."""
-    w = bar_window()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    step1, step2, result, temps = {}, {}, {}, []
+    sums, seeds, results = [], [], []
     for s in smooths:
         q = 1.0 - s.alpha
         if (rows + s.span) * abs(math.log(q)) > 600:
             raise ValueError("chunk too long for the weights of " + s.out)
-        p, t = f"_p_{s.out}", f"_t_{s.out}"
-        weight = F.pow(F.lit(q), -F.col("pos").cast("double"))
-        step1[p] = F.coalesce(F.sum(F.col(s.x) * weight).over(upto), F.lit(0.0))
-        step1[t] = F.coalesce(F.sum(s.x).over(upto), F.lit(0.0))
-        seed_len = {"sma": s.n, "first": 1, "weighted": 0}[s.seed]
-        at_seed = F.col("idx") == s.first + seed_len - 1
-        # value at the last seed row: a fixed lag for a full slice, the series head otherwise
-        for src, lag_out, head_out in ((p, f"_pl_{s.out}", f"_ph_{s.out}"),
-                                       (t, f"_tl_{s.out}", f"_th_{s.out}")):
-            step2[lag_out] = F.lag(src, s.span - seed_len).over(w)
-            step2[head_out] = F.max(F.when(at_seed, F.col(src))).over(upto)
-        step2[f"_tb_{s.out}"] = F.coalesce(F.lag(t, s.span).over(w), F.lit(0.0))
-        have = F.col("idx") - s.first + 1
-        full = have >= s.span
-        m = F.least(have, F.lit(s.span)).cast("double")
-        fresh_base = F.when(full, F.coalesce(F.col(f"_pl_{s.out}"), F.lit(0.0))).otherwise(
-            F.coalesce(F.col(f"_ph_{s.out}"), F.lit(0.0)))
-        fresh = (F.col(p) - fresh_base) * F.pow(F.lit(q), F.col("pos").cast("double")) * s.alpha
-        if seed_len:
-            seed_sum = F.when(full, F.col(f"_tl_{s.out}") - F.col(f"_tb_{s.out}")).otherwise(
-                F.col(f"_th_{s.out}"))
-            value = F.pow(F.lit(q), m - seed_len) * seed_sum / seed_len + fresh
+        p, t, n0 = f"_p_{s.out}", f"_t_{s.out}", {"sma": s.n, "first": 1, "weighted": 0}[s.seed]
+        power = f"power({q!r}D, CAST({{}} AS DOUBLE))"
+        sums += [f"coalesce(sum({s.x} * {power.format('-pos')}) {UPTO}, 0D) AS {p}",
+                 f"coalesce(sum({s.x}) {UPTO}, 0D) AS {t}"]
+        # both sums at the last seed row: a fixed lag for a full slice, the series head otherwise
+        head = f"max(CASE WHEN idx = {s.first + n0 - 1} THEN {{0}} END) {UPTO}"
+        full = f"idx - {s.first} + 1 >= {s.span}"
+        at_seed = f"CASE WHEN {full} THEN lag({{0}}, {s.span - n0}) {_W}) ELSE {head} END"
+        seeds += [f"coalesce({at_seed.format(p)}, 0D) AS _ps_{s.out}",
+                  f"{at_seed.format(t)} - CASE WHEN {full} THEN coalesce(lag({t}, {s.span}) {_W}), "
+                  f"0D) ELSE 0D END AS _ts_{s.out}"]
+        have = f"idx - {s.first} + 1"
+        m = f"least({have}, {s.span})"
+        fresh = f"({p} - _ps_{s.out}) * {power.format('pos')} * {s.alpha!r}D"
+        if n0:
+            value = f"{power.format(f'{m} - {n0}')} * _ts_{s.out} / {n0} + {fresh}"
         else:
-            value = fresh / (1 - F.pow(F.lit(q), m))
-        result[s.out] = F.when(have >= s.n, value)
-        temps += [p, t, f"_pl_{s.out}", f"_ph_{s.out}", f"_tl_{s.out}", f"_th_{s.out}",
-                  f"_tb_{s.out}"]
-    return df.withColumns(step1).withColumns(step2).withColumns(result).drop(*temps)
+            value = f"({fresh}) / (1 - {power.format(m)})"
+        results.append(f"CASE WHEN {have} >= {s.n} THEN {value} END AS {s.out}")
+    return df.selectExpr("*", *sums).selectExpr("*", *seeds).selectExpr(*df.columns, *results)
 
 
 def with_differences(df: DataFrame) -> DataFrame:
     """Gain, loss and true range against the previous bar; null on the first bar of a series."""
-    prev = F.lag("c").over(bar_window())
-    change = F.col("c") - prev
-    return df.withColumns({
-        "gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))),
-        "loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
-        "true_range": F.when(prev.isNotNull(), F.greatest(
-            F.col("h") - F.col("l"), F.abs(F.col("h") - prev), F.abs(F.col("l") - prev))),
-    })
+    prev = f"lag(c) {_W})"
+    return df.selectExpr("*", f"{prev} AS _pc").selectExpr(
+        *df.columns,
+        "CASE WHEN _pc IS NOT NULL THEN greatest(c - _pc, 0D) END AS gain",
+        "CASE WHEN _pc IS NOT NULL THEN greatest(_pc - c, 0D) END AS loss",
+        "CASE WHEN _pc IS NOT NULL THEN greatest(h - l, abs(h - _pc), abs(l - _pc)) END "
+        "AS true_range")
 
 
 def with_rsi(df: DataFrame, lookback: int = 100, n: int = 14, out: str = "rsi",
@@ -111,9 +104,13 @@ def with_rsi(df: DataFrame, lookback: int = 100, n: int = 14, out: str = "rsi",
     up, down = f"_up_{out}", f"_down_{out}"
     smoothed = with_smooths(df, [wilder(up, "gain", n, lookback, seed),
                                  wilder(down, "loss", n, lookback, seed)])
-    # subtraction can leave a sum of zeros a few ulps off; a mean of non-negatives is non-negative
-    u, d = F.greatest(F.col(up), F.lit(0.0)), F.greatest(F.col(down), F.lit(0.0))
-    return smoothed.withColumn(out, F.try_divide(u * 100.0, u + d)).drop(up, down)
+    return smoothed.selectExpr(*df.columns, rsi_of(up, down) + f" AS {out}")
+
+
+def rsi_of(up: str, down: str) -> str:
+    """Subtraction can leave a sum of zeros a few ulps off, so both means are floored at zero."""
+    u, d = f"greatest({up}, 0D)", f"greatest({down}, 0D)"
+    return f"try_divide({u} * 100, {u} + {d})"
 
 
 def with_atr(df: DataFrame, lookback: int = 100, n: int = 14, out: str = "atr",

@@ -97,17 +97,23 @@ def stop_streaks(exits: DataFrame, rules: Rules = Rules(), width: str = "day",
 
     A stop adds one, a trend exit or a dust close resets, other exits leave the streak. Every second
     stop of a streak blacklists the symbol and restarts the count, so the count is the number of
-    stops since the last reset modulo two: two running values instead of a fold per symbol.
+    stops since the last reset modulo two: running values per (symbol, day) plus what earlier days
+    carry over, instead of a fold per symbol.
     """
-    order = ["ts"] + ([tie] if tie else [])
+    order = ", ".join(["ts"] + ([tie] if tie else []))
     is_stop = F.col("exit_code") == "STOP"
-    resets = F.col("exit_code").isin("TREND", "DUST")
-    df = exits.withColumns({"_day": series.time_chunk("ts", width),
-                            "_stop": is_stop.cast("int")})
-    df = series.running(df, {"_stops": ("sum", "_stop")}, "symbol", "_day", order)
-    df = df.withColumn("_base_at", F.when(resets, F.col("_stops")))
-    df = series.running(df, {"_base": ("max", "_base_at")}, "symbol", "_day", order)
-    since = F.col("_stops") - F.coalesce("_base", F.lit(0))
+    inside = f"OVER (PARTITION BY symbol, _day ORDER BY {order} {series.UPTO})"
+    earlier = f"OVER (PARTITION BY symbol ORDER BY _day {series.EARLIER})"
+    # stops so far in the chunk, and how many of them the chunk's last reset has left behind
+    local = exits.selectExpr("*", f"date_trunc('{width}', ts) AS _day").selectExpr(
+        "*", f"count_if(exit_code = 'STOP') {inside} AS _stops").selectExpr(
+        "*", f"max(CASE WHEN exit_code IN ('TREND', 'DUST') THEN _stops END) {inside} AS _base")
+    chunks = local.groupBy("symbol", "_day").agg(
+        F.max("_stops").alias("_total"), F.max("_base").alias("_last")).selectExpr(
+        "symbol", "_day", "_last", f"coalesce(sum(_total) {earlier}, 0) AS _before").selectExpr(
+        "symbol", "_day", "_before", f"max(_before + _last) {earlier} AS _base_before")
+    df = local.join(chunks, ["symbol", "_day"])
+    since = F.expr("_before + _stops - coalesce(_before + _base, _base_before, 0)")
     listed = is_stop & (since > 0) & (since % rules.blacklist_stops == 0)
 
     def later(seconds: int):
@@ -125,11 +131,11 @@ def stop_streaks(exits: DataFrame, rules: Rules = Rules(), width: str = "day",
 def with_exclusions(candidates: DataFrame, streaks: DataFrame, ts: str = "cycle_ts",
                     width: str = "day") -> DataFrame:
     """Attach what earlier exits say about each candidate: streak, cooling down, blacklisted."""
-    cooled = streaks.where(F.col("cooldown_until").isNotNull()).select(
-        "symbol", "ts", F.col("cooldown_until"), F.col("streak"))
-    barred = streaks.where("blacklisted").select("symbol", "ts", "blacklist_until")
-    df = series.asof(candidates, cooled, ["cooldown_until", "streak"], left_ts=ts, width=width)
-    df = series.asof(df, barred, ["blacklist_until"], left_ts=ts, width=width)
+    cooled = streaks.where("cooldown_until IS NOT NULL")
+    df = series.asof_many(candidates, [
+        series.Right(cooled, ["cooldown_until", "streak"]),
+        series.Right(streaks.where("blacklisted"), ["blacklist_until"]),
+    ], left_ts=ts, width=width)
     return df.withColumns({
         "cooling": F.coalesce(F.col("cooldown_until") > F.col(ts), F.lit(False)),
         "blacklisted": F.coalesce(F.col("blacklist_until") > F.col(ts), F.lit(False)),

@@ -7,7 +7,9 @@ a summary that holds one row per (key, chunk).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY, TS = "symbol", "ts"
@@ -17,6 +19,14 @@ def time_chunk(ts: str = TS, width: str = "day") -> Column:
     return F.date_trunc(width, F.col(ts))
 
 
+def _over(parts: list[str], order: str, frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(parts) or '0'} ORDER BY {order} {frame})"
+
+
+UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
 def with_row_index(df: DataFrame, key: str = KEY, ts: str = TS, width: str = "month",
                    out: str = "idx") -> DataFrame:
     """Dense 0-based row number per key in time order, numbered per (key, month) plus offsets.
@@ -25,20 +35,12 @@ def with_row_index(df: DataFrame, key: str = KEY, ts: str = TS, width: str = "mo
     """
     if out in df.columns:
         return df
-    piece = df.withColumn("_piece", time_chunk(ts, width))
-    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        piece.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    within = Window.partitionBy(key, "_piece").orderBy(ts)
-    return (
-        piece.withColumn("_rn", F.row_number().over(within))
-        .join(offsets, [key, "_piece"])
-        .withColumn(out, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_piece", "_rn", "_offset")
-    )
+    piece = df.selectExpr("*", f"date_trunc('{width}', {ts}) AS _piece")
+    offsets = piece.groupBy(key, "_piece").agg(F.expr("count(1) AS _n")).selectExpr(
+        key, "_piece", f"coalesce(sum(_n) {_over([key], '_piece', EARLIER)}, 0) AS _offset")
+    numbered = piece.selectExpr("*", f"row_number() {_over([key, '_piece'], ts)} AS _rn")
+    return numbered.join(offsets, [key, "_piece"]).selectExpr(
+        *df.columns, f"_offset + _rn - 1 AS {out}")
 
 
 def halo_chunks(df: DataFrame, rows: int, halo: int, idx: str = "idx") -> DataFrame:
@@ -49,20 +51,26 @@ def halo_chunks(df: DataFrame, rows: int, halo: int, idx: str = "idx") -> DataFr
     """
     if halo > rows:
         raise ValueError("the halo may not be longer than a chunk")
-    own = F.floor(F.col(idx) / rows)
-    tail = (F.col(idx) % rows) >= rows - halo
-    return (
-        df.withColumn("_own", own)
-        .withColumn("chunk", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1))
-                                       .otherwise(F.array("_own"))))
-        .withColumn("is_halo", F.col("chunk") != F.col("_own"))
-        .withColumn("pos", F.col(idx) - F.col("chunk") * rows + halo)
-        .drop("_own")
-    )
+    own = f"{idx} div {rows}"
+    chunks = (f"explode(CASE WHEN {idx} % {rows} >= {rows - halo} THEN array({own}, {own} + 1) "
+              f"ELSE array({own}) END) AS chunk")
+    return df.selectExpr("*", chunks).selectExpr(
+        "*", f"chunk <> {own} AS is_halo", f"{idx} - chunk * {rows} + {halo} AS pos")
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("is_halo")).drop("is_halo", "pos")
+    return df.where("NOT is_halo").drop("is_halo", "pos")
+
+
+# kind of running value: (chunk total, carry of earlier chunks, value inside the chunk, combination)
+_KINDS = {
+    "sum": ("sum({c})", "sum({s})", "sum({c})", "coalesce({w}, 0) + coalesce({k}, 0)"),
+    "max": ("max({c})", "max({s})", "max({c})", "greatest({w}, {k})"),
+    "last": ("max_by({c}, {o}) FILTER (WHERE {c} IS NOT NULL)", "last({s}, true)",
+             "last({c}, true)", "coalesce({w}, {k})"),
+    "first": ("min_by({c}, {o}) FILTER (WHERE {c} IS NOT NULL)", "first({s}, true)",
+              "first({c}, true)", "coalesce({k}, {w})"),
+}
 
 
 def running(df: DataFrame, specs: dict[str, tuple[str, str]], key: str | list[str], chunk: str,
@@ -73,89 +81,107 @@ def running(df: DataFrame, specs: dict[str, tuple[str, str]], key: str | list[st
     Per-chunk running value combined with the carry of all earlier chunks.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    order_struct = F.struct(*order)
-    aggs = []
+    by = f"struct({', '.join(order)})"
+    totals, carried, local, combined = [], [], [], []
     for out, (kind, col) in specs.items():
-        value = F.col(col)
-        if kind == "sum":
-            agg = F.sum(value)
-        elif kind == "max":
-            agg = F.max(value)
-        elif kind == "last":
-            agg = F.max_by(value, F.when(value.isNotNull(), order_struct))
-        elif kind == "first":
-            agg = F.min_by(value, F.when(value.isNotNull(), order_struct))
-        else:
-            raise ValueError(f"unknown running kind {kind}")
-        aggs.append(agg.alias(f"_s_{out}"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    carry_of = {
-        "sum": F.sum, "max": F.max,
-        "last": lambda c: F.last(c, ignorenulls=True),
-        "first": lambda c: F.first(c, ignorenulls=True),
-    }
-    carries = df.groupBy(*keys, chunk).agg(*aggs).select(
-        *keys, chunk,
-        *[carry_of[kind](f"_s_{out}").over(before).alias(f"_c_{out}")
-          for out, (kind, _) in specs.items()],
+        total, carry, inside, both = _KINDS[kind]
+        totals.append(F.expr(total.format(c=col, o=by) + f" AS _s_{out}"))
+        carried.append(carry.format(s=f"_s_{out}") + f" {_over(keys, chunk, EARLIER)} AS _k_{out}")
+        local.append(inside.format(c=col)
+                     + f" {_over([*keys, chunk], ', '.join(order), UPTO)} AS _w_{out}")
+        combined.append(both.format(w=f"_w_{out}", k=f"_k_{out}") + f" AS {out}")
+    carries = df.groupBy(*keys, chunk).agg(*totals).selectExpr(*keys, chunk, *carried)
+    return (
+        df.selectExpr("*", *local).join(carries, [*keys, chunk], "left")
+        .selectExpr(*df.columns, *combined)
     )
-    joined = df.join(carries, [*keys, chunk], "left")
-    for out, (kind, col) in specs.items():
-        local, carried = carry_of[kind](col).over(within), F.col(f"_c_{out}")
-        if kind == "sum":
-            value = F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
-        elif kind == "max":
-            value = F.greatest(local, carried)
-        elif kind == "last":
-            value = F.coalesce(local, carried)
-        else:
-            value = F.coalesce(carried, local)
-        joined = joined.withColumn(out, value)
-    return joined.drop(*[f"_c_{out}" for out in specs])
 
 
-def asof(left: DataFrame, right: DataFrame, columns: list[str], key: str | None = KEY,
-         left_ts: str = TS, right_ts: str = TS, width: str = "day",
-         strict: bool = False) -> DataFrame:
-    """Backward as-of join: each left row gets ``columns`` of the last right row of its key with
-    ``right_ts <= left_ts`` (``<`` when strict), or nulls.
+@dataclass(frozen=True)
+class Right:
+    """One right side of an as-of join: its rows, wanted columns and time column. ``strict`` leaves
+    out rows at exactly the left row's time."""
+
+    df: DataFrame
+    columns: list[str]
+    ts: str = TS
+    strict: bool = False
+
 
-    Both sides are stacked and read with one running frame per (key, time chunk). The last right
-    row before each chunk enters that chunk as an extra row, so a hot key splits by time.
+def asof_many(left: DataFrame, rights: list[Right], key: str | None = KEY, left_ts: str = TS,
+              width: str = "day", until: str | None = None) -> DataFrame:
+    """Backward as-of join against several tables at once: each left row gets the columns of the
+    last row of each right table with its key and ``right_ts <= left_ts`` (``<`` when strict), or
+    nulls.
+
+    All sides are stacked and read with one running frame per (key, time chunk). The last right
+    rows before a chunk enter it as one extra row, so a hot key splits by time. Which chunks need
+    such a row is read from the left table; ``until`` (a time no left row exceeds) saves that pass
+    over it by giving every chunk up to then one. The right tables are read twice: store them.
     """
     keys = [key] if key else []
-    payload = F.struct(*[F.col(c).alias(c) for c in columns])
-    stack_cols = [*keys, "_ts", "_side", "_right", "_left"]
-    left_row = F.struct(*[F.col(c) for c in left.columns])
-    lhs = left.select(*keys, F.col(left_ts).alias("_ts"), left_row.alias("_left"))
-    rhs = right.select(*keys, F.col(right_ts).alias("_ts"), payload.alias("_right"))
-    lhs_type, rhs_type = lhs.schema["_left"].dataType, rhs.schema["_right"].dataType
-    lhs = lhs.withColumn("_right", F.lit(None).cast(rhs_type)).withColumn(
-        "_side", F.lit(0 if strict else 1))
-    rhs = rhs.withColumn("_left", F.lit(None).cast(lhs_type)).withColumn(
-        "_side", F.lit(1 if strict else 0))
-
-    stacked = lhs.select(stack_cols).unionByName(rhs.select(stack_cols)).withColumn(
-        "_chunk", F.date_trunc(width, F.col("_ts")))
-    # one row per (key, chunk): its last right row, and whether any left row needs a carry
-    summary = stacked.groupBy(*keys, "_chunk").agg(
-        F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_last"),
-        F.max(F.col("_left").isNotNull()).alias("_need"))
-    chain = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = chain.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carries = (
-        summary.withColumn("_right", F.last("_last", ignorenulls=True).over(before))
-        .where(F.col("_need") & F.col("_right").isNotNull())
-        .select(*keys, F.col("_chunk").alias("_ts"), F.lit(-1).alias("_side"), "_right",
-                F.lit(None).cast(lhs_type).alias("_left"), "_chunk")
-    )
-    stacked = stacked.unionByName(carries)
-    frame = Window.partitionBy(*keys, "_chunk").orderBy("_ts", "_side").rowsBetween(
-        Window.unboundedPreceding, 0)
+    names = [f"_r{i}" for i in range(len(rights))]
+    chunked = f"date_trunc('{width}', _ts) AS _chunk"
+    stacked = None
+    for name, right in zip(names, rights):
+        rows = right.df.selectExpr(*keys, f"{right.ts} AS _ts", f"{2 * right.strict} AS _side",
+                                   f"struct({', '.join(right.columns)}) AS {name}")
+        stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
+    right_rows = stacked.selectExpr("*", chunked)
+    left_rows = left.selectExpr(*keys, f"{left_ts} AS _ts", "1 AS _side", "struct(*) AS _left",
+                                f"date_trunc('{width}', {left_ts}) AS _chunk")
+    stacked = right_rows.unionByName(left_rows, allowMissingColumns=True)
+    lasts = [F.expr(f"max_by({r}, _ts) FILTER (WHERE {r} IS NOT NULL) AS {r}") for r in names]
+    if until is None:
+        summary = stacked.groupBy(*keys, "_chunk").agg(
+            F.expr("bool_or(_left IS NOT NULL) AS _need"), *lasts)
+        carries = summary.selectExpr(
+            *keys, "_chunk", "_need",
+            *[f"last({r}, true) {_over(keys, '_chunk', EARLIER)} AS {r}" for r in names]
+        ).where("_need").drop("_need")
+    else:
+        step = f"INTERVAL 1 {width}"
+        stop = f"coalesce(_next, date_trunc('{width}', TIMESTAMP '{until}'))"
+        carries = right_rows.groupBy(*keys, "_chunk").agg(*lasts).selectExpr(
+            *keys, f"_chunk + {step} AS _from", f"lead(_chunk) {_over(keys, '_chunk')} AS _next",
+            *[f"last({r}, true) {_over(keys, '_chunk', UPTO)} AS {r}" for r in names]
+        ).where(f"_from <= {stop}").selectExpr(
+            *keys, f"explode(sequence(_from, {stop}, {step})) AS _chunk", *names)
+    carries = carries.selectExpr("*", "_chunk AS _ts", "-1 AS _side")
+    frame = _over([*keys, "_chunk"], "_ts, _side", UPTO)
     return (
-        stacked.withColumn("_right", F.last("_right", ignorenulls=True).over(frame))
-        .where(F.col("_left").isNotNull())
-        .select("_left.*", *[F.col("_right")[c].alias(c) for c in columns])
+        stacked.unionByName(carries, allowMissingColumns=True)
+        .selectExpr("_left", *[f"last({r}, true) {frame} AS {r}" for r in names])
+        .where("_left IS NOT NULL").select("_left.*", *[f"{r}.*" for r in names])
     )
+
+
+def asof(left: DataFrame, right: DataFrame, columns: list[str], key: str | None = KEY,
+         left_ts: str = TS, right_ts: str = TS, width: str = "day",
+         until: str | None = None) -> DataFrame:
+    """Backward as-of join against one table, see ``asof_many``."""
+    return asof_many(left, [Right(right, columns, right_ts)], key, left_ts, width, until)
+
+
+def asof_grid(left: DataFrame, right: DataFrame, columns: list[str], left_ts: str = TS,
+              step_s: int = 900) -> DataFrame:
+    """Backward as-of join against one keyless series whose times lie on a grid, as an equi-join.
+
+    The series is filled to one row per grid slot (its size is the calendar's, not the data's), so
+    the left table is read once and keeps its partitioning if the filled series is small enough to
+    be broadcast at run time. Left rows past the series' end take its last slot.
+    """
+    slots = right.selectExpr(f"unix_seconds(ts) div {step_s} AS _slot", *columns)
+    ends = slots.agg(F.min("_slot").alias("lo"), F.max("_slot").alias("hi")).first()
+    if ends.hi is None:
+        return left.selectExpr("*", *[f"CAST(NULL AS {right.schema[c].dataType.simpleString()}) "
+                                      f"AS {c}" for c in columns])
+    every = left.sparkSession.range(ends.lo, ends.hi + 1).withColumnRenamed("id", "_slot")
+    part = "_slot div 2880"
+    filled = every.join(slots.selectExpr("_slot", f"struct({', '.join(columns)}) AS _v"), "_slot",
+                        "left").selectExpr("*", f"{part} AS _part")
+    filled = running(filled, {"_at": ("last", "_v")}, [], "_part", ["_slot"]).select(
+        "_slot", "_at.*")
+    slot = f"least(unix_seconds({left_ts}) div {step_s}, {ends.hi})"
+    return left.selectExpr("*", f"{slot} AS _slot").join(filled, "_slot", "left").select(
+        *left.columns, *columns)

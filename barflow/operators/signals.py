@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barflow.config import Rules
 from barflow.operators import features, series
 from barflow.operators import indicators as ind
+from barflow.session import stored
 
 
 def trend_ok(rules: Rules = Rules()) -> Column:
@@ -35,7 +36,8 @@ def find_signals(bars: DataFrame, hourly: DataFrame, rules: Rules = Rules(), mod
     """Signals with their features.
 
     Cheap window features come first and the rules cut the rows; the hourly join sees only bars that
-    already pass them, and the trend index is folded only for those bars.
+    already pass them, and the trend index is folded only for those bars. They are few and stored,
+    because the as-of join reads them twice.
     """
     df = features.bar_features(bars)
     df = df.withColumn("_hit", F.coalesce(
@@ -45,8 +47,9 @@ def find_signals(bars: DataFrame, hourly: DataFrame, rules: Rules = Rules(), mod
             "symbol", "ts", "h", "l", "c", "idx", "chunk", "pos", "is_halo", "rsi", "atr",
             "atr_pct", "vol_ratio", "msb", "engulf", "pump_3h", "pump_6h", "high_distance",
             "ema_15m_distance", "closed_confirm", "_hit"), out="sym_adx", only=F.col("_hit"))
-    hits = series.drop_halo(df.where(F.col("_hit"))).drop("_hit", "chunk")
-    hits = features.with_hourly_trend(hits, features.hourly_trend(hourly), mode)
+    hits = stored(series.drop_halo(df.where(F.col("_hit"))).drop("_hit", "chunk"), "hits")
+    trend = stored(features.hourly_trend(hourly), "trend")
+    hits = features.with_hourly_trend(hits, trend, mode)
     return hits.where(trend_ok(rules)).withColumns({
         "signal": F.when(F.col("msb"), "MSB").otherwise("Engulf"),
         "is_whale": whale(rules),

@@ -9,6 +9,7 @@ from barflow.config import WALLET_NORMAL, WALLET_WHALE, Rules
 from barflow.functions.values import stored_exit_label
 from barflow.operators import exits, features, positions, series
 from barflow.operators import indicators as ind
+from barflow.session import stored
 
 
 def known_bars(bars: DataFrame) -> DataFrame:
@@ -21,11 +22,12 @@ def known_bars(bars: DataFrame) -> DataFrame:
 
 def sold_legs(entries: DataFrame, ticks: DataFrame, bars: DataFrame | None = None,
               context: DataFrame | None = None, rules: Rules = Rules(), poll_s: int = 2,
-              width: str = "day") -> DataFrame:
-    """All legs sold for ``entries`` while ``ticks`` run, see ``exits``."""
-    polls = exits.position_polls(entries, exits.polls_of(ticks, poll_s), width)
-    known = None if bars is None else known_bars(bars)
-    polls = exits.with_poll_context(polls, known, context, width)
+              width: str = "day", until: str | None = None) -> DataFrame:
+    """All legs sold for ``entries`` while ``ticks`` run, see ``exits``. ``until`` is a time no
+    tick exceeds; with it the ticks are read once."""
+    known = None if bars is None else stored(known_bars(bars), "known_bars")
+    polls = exits.position_polls(entries, exits.polls_of(ticks, poll_s), known, context, width,
+                                 until)
     return exits.exit_legs(exits.poll_vectors(polls, rules), rules)
 
 
@@ -40,6 +42,6 @@ def trade_rows(legs: DataFrame, entry_features: DataFrame) -> DataFrame:
 
 
 def expiries(legs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Cooldown and blacklist after each full exit."""
-    return positions.stop_streaks(
-        legs.where("is_final").select("symbol", "ts", "exit_code"), rules)
+    """Cooldown and blacklist after each full exit (stored first: the streaks read it twice)."""
+    finals = stored(legs.where("is_final").select("symbol", "ts", "exit_code"), "exits")
+    return positions.stop_streaks(finals, rules)

@@ -13,6 +13,7 @@ from barflow.functions import book
 from barflow.functions.values import signal_code
 from barflow.operators import decide, positions, series, signals, training, universe
 from barflow.operators.throttle import throttle
+from barflow.session import stored
 from barflow.sources.logs import filed
 
 
@@ -48,12 +49,13 @@ def candidates_with_features(inputs: CycleInputs, rules: Rules = Rules(),
     """
     ranked = universe.top_gainers(inputs.tickers, rules)
     ranked = ranked.join(inputs.held.select("symbol").distinct(), "symbol", "left_anti")
-    ranked = positions.with_exclusions(ranked, positions.stop_streaks(inputs.exits, rules))
+    streaks = stored(positions.stop_streaks(inputs.exits, rules), "streaks")
+    ranked = positions.with_exclusions(stored(ranked, "ranked"), streaks)
     ranked = ranked.where(~F.col("cooling") & ~F.col("blacklisted"))
     context = inputs.context.select("ts", "btc_ok", "regime", "btc_1h_change", "btc_ema_distance",
                                     "btc_adx")
-    ranked = series.asof(ranked, context, context.columns[1:], key=None, left_ts="cycle_ts")
-    ranked = ranked.where(F.coalesce("btc_ok", F.lit(False)))
+    ranked = series.asof_grid(ranked, stored(context, "context"), context.columns[1:], "cycle_ts")
+    ranked = stored(ranked.where(F.coalesce("btc_ok", F.lit(False))), "ranked")
     found = signals.find_signals(inputs.bars, inputs.hourly, rules, mode)
     df = at_newest_bar(ranked, inputs.bars, found)
     if inputs.books is not None:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from barflow.catalog import (
-    bar_queries, exit_queries, signal_queries, trade_queries, training_queries,
+    bar_queries, exit_queries, signal_queries, stream_queries, trade_queries, training_queries,
 )
 
-MODULES = (signal_queries, bar_queries, trade_queries, exit_queries, training_queries)
+MODULES = (signal_queries, bar_queries, trade_queries, exit_queries, training_queries,
+           stream_queries)
 
 
 def queries():

@@ -22,7 +22,7 @@ PATH_TICKS = 50
 
 def price_path(spark: SparkSession, d: str, n: int = PATH_TICKS) -> DataFrame:
     """Ticks whose price is the mean of the symbol's last n values: a path without wild jumps."""
-    indexed = series.halo_chunks(series.with_row_index(ticks(spark, d)), 65_536, n)
+    indexed = series.halo_chunks(series.with_row_index(ticks(spark, d), width="hour"), 65_536, n)
     mean = F.avg("price").over(ind.bar_window().rowsBetween(-(n - 1), 0))
     return series.drop_halo(indexed.withColumn("price", mean)).where(F.col("idx") >= n).select(
         "symbol", "ts", "price", "qty", "idx")

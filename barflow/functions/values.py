@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from barflow.config import SIGNAL_CODES, Rules
 
-# What counts as a number in a text file.
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-
-
 def to_number(text: str) -> Column:
-    """Double, or null where the text is no number."""
-    return F.when(F.col(text).rlike(NUMBER), F.col(text).try_cast("double"))
+    """Double, or null where the text is no number. The cast alone would also take the type suffixes
+    of Java literals ("1d") and hexadecimal floats."""
+    literal = r"[xX]|[0-9.][dDfF]\s*$"
+    return F.when(~F.col(text).rlike(literal), F.col(text).try_cast("double"))
 
 
 def to_time(text: str) -> Column:

@@ -178,7 +178,7 @@ POSITION = ["position_id", "entry_ts", "entry_price", "cost", "qty", "lot_step",
 
 
 def position_polls(entries: DataFrame, polls: DataFrame, bars_known: DataFrame | None = None,
-                   context: DataFrame | None = None, width: str = "day",
+                   context: DataFrame | None = None, width: str = "hour",
                    until: str | None = None) -> DataFrame:
     """Each poll with the symbol's latest position entered before it and what the rules read
     besides the price.

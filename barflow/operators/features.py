@@ -13,9 +13,13 @@ DAY_BARS = 96
 
 
 def prepared(bars: DataFrame, lookback: int = LOOKBACK, rows: int = ind.CHUNK_ROWS) -> DataFrame:
-    """Bars with row index, halo chunks and differences; input of everything below."""
-    indexed = series.with_row_index(bars)
-    return ind.with_differences(series.halo_chunks(indexed, rows, lookback))
+    """Bars with row index, halo chunks and differences; input of everything below.
+
+    The rows of a chunk are brought together here, once; every window over (symbol, chunk) and the
+    trend index reuse that placement.
+    """
+    chunks = series.halo_chunks(series.with_row_index(bars), rows, lookback)
+    return ind.with_differences(chunks.repartition("symbol", "chunk"))
 
 
 def percent_change(now, then) -> Column:

@@ -4,7 +4,7 @@ Smoothing ``y = (1-a)*y + a*x`` over the last ``span`` values is a fixed weighti
 (mean of the first ``n``) that decays, plus geometric weights. With q = 1-a, the running sums of
 x*q**-pos and of x over a chunk give every row's value by subtraction, so one row costs O(1) for any
 lookback and stays in JVM window expressions. Only the trend index (ADX) is not linear in its
-inputs; it is folded step by step over numpy vectors, one (symbol, chunk) at a time.
+inputs; it is folded step by step over numpy vectors.
 
 Columns ``idx``, ``chunk``, ``pos`` come from ``series.with_row_index`` and ``series.halo_chunks``.
 """
@@ -12,6 +12,7 @@ Columns ``idx``, ``chunk``, ``pos`` come from ``series.with_row_index`` and ``se
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barflow.functions.frames import group_starts, whole_groups
+
 CHUNK_ROWS = 4096
 
 
@@ -118,7 +121,7 @@ def with_atr(df: DataFrame, lookback: int = 100, n: int = 14, out: str = "atr",
     return with_smooths(df, [wilder(out, "true_range", n, lookback, seed)])
 
 
-def _adx_of_rows(high: np.ndarray, low: np.ndarray, rows: np.ndarray, starts: np.ndarray,
+def adx_of_rows(high: np.ndarray, low: np.ndarray, rows: np.ndarray, starts: np.ndarray,
                  n: int) -> np.ndarray:
     """ADX at positions ``rows``, each over its own slice from ``starts``.
 
@@ -152,21 +155,28 @@ def _adx_of_rows(high: np.ndarray, low: np.ndarray, rows: np.ndarray, starts: np
 
 
 def with_adx(df: DataFrame, lookback: int = 100, n: int = 14, out: str = "adx",
-             only: Column | None = None) -> DataFrame:
+             only: Column | None = None, placed: bool = True) -> DataFrame:
     """Bounded-lookback ADX. With ``only`` the fold, and the result, hold just the rows it marks.
-
-    A group is one chunk of one symbol, so its size is fixed whatever the symbol's share of rows.
     Halo rows leave no output.
+
+    Works on partitions sorted by (symbol, chunk, pos), many chunks per numpy call. Input straight
+    from ``features.prepared`` and window columns over it is placed that way already; the sort below
+    then costs nothing. Other input needs ``placed=False``.
     """
-    marked = df.withColumn("_want", F.coalesce(only, F.lit(False)) if only is not None
-                           else F.lit(True))
+    want = "NOT is_halo" if only is None else None
+    marked = df.selectExpr("*", f"{want} AS _want") if want else df.withColumn(
+        "_want", F.coalesce(only, F.lit(False)) & ~F.col("is_halo"))
+    if not placed:
+        marked = marked.repartition("symbol", "chunk")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        rows = np.flatnonzero(pdf.pop("_want").to_numpy() & ~pdf["is_halo"].to_numpy())
-        starts = np.maximum(rows - lookback + 1, 0)
-        values = _adx_of_rows(pdf["h"].to_numpy(), pdf["l"].to_numpy(), rows, starts, n)
-        return pdf.iloc[rows].assign(**{out: values})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches):
+            heads = group_starts(pdf)
+            rows = np.flatnonzero(pdf.pop("_want").to_numpy(bool))
+            begin = heads[np.searchsorted(heads, rows, side="right") - 1]
+            values = adx_of_rows(pdf["h"].to_numpy(), pdf["l"].to_numpy(), rows,
+                                 np.maximum(rows - lookback + 1, begin), n)
+            yield pdf.iloc[rows].assign(**{out: values})
 
-    return marked.groupBy("symbol", "chunk").applyInPandas(fold, schema)
+    return marked.sortWithinPartitions("symbol", "chunk", "pos").mapInPandas(fold, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from barflow.operators import series
 
 
 def next_bars(signals: DataFrame, bars: DataFrame, n: int = Rules.label_bars,
-              width: str = "day") -> DataFrame:
+              width: str = "hour", until: str | None = None) -> DataFrame:
     """Attach the first ``n`` bars of the symbol that start after the signal, as array ``window``.
 
     Bars are numbered per symbol, so gaps in time do not matter. Each block of n bars is stored with
@@ -24,7 +26,8 @@ def next_bars(signals: DataFrame, bars: DataFrame, n: int = Rules.label_bars,
         .groupBy("symbol", "block")
         .agg(F.array_sort(F.collect_list(F.struct("idx", "h", "l", "c"))).alias("_bars"))
     )
-    placed = series.asof(signals, indexed.select("symbol", "ts", "idx"), ["idx"], width=width)
+    placed = series.asof(signals, indexed.select("symbol", "ts", "idx"), ["idx"], width=width,
+                         until=until)
     first = F.coalesce(F.col("idx") + 1, F.lit(0))
     # the block's array starts at its own first bar, except that block -1 starts with block 0
     return (
@@ -83,9 +86,11 @@ def label_signals(signals: DataFrame, bars: DataFrame, as_of_ms: int,
     """Signals (``symbol, ts, price, ...``) with ``status`` and label columns.
 
     LABELED has all its bars; GIVE_UP still lacks some long after the signal; WAIT is tried again;
-    BAD has no usable price. Rows do not block one another.
+    BAD has no usable price. Rows do not block one another. Signals after ``as_of_ms`` are left out.
     """
-    joined = next_bars(signals, bars, rules.label_bars)
+    moment = datetime.fromtimestamp(as_of_ms / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    past = signals.where(F.unix_millis("ts") <= as_of_ms)
+    joined = next_bars(past, bars, rules.label_bars, until=moment)
     late = F.unix_millis("ts") < as_of_ms - int(rules.label_give_up_h * 3_600_000)
     status = (
         F.when(F.coalesce(F.col("price") <= 0, F.lit(True)), "BAD")

@@ -20,33 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NEVER = -(2 ** 60)
-
+from barflow.functions.frames import group_starts, whole_groups
 
-def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Re-cut batches sorted by (symbol, chunk) so that no group is split between two frames."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        symbol, chunk = batch["symbol"].iloc[-1], batch["chunk"].iloc[-1]
-        same = ((batch["symbol"] == symbol) & (batch["chunk"] == chunk)).to_numpy()
-        cut = len(batch) - int(np.argmin(same[::-1])) if not same.all() else 0
-        last = held[0] if held else batch
-        continues = last["symbol"].iloc[-1] == symbol and last["chunk"].iloc[-1] == chunk
-        if cut or not continues:
-            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
-            held = []
-        held.append(batch.iloc[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _group_starts(pdf: pd.DataFrame) -> np.ndarray:
-    symbol, chunk = pdf["symbol"].to_numpy(), pdf["chunk"].to_numpy()
-    new = np.ones(len(pdf), bool)
-    new[1:] = (symbol[1:] != symbol[:-1]) | (chunk[1:] != chunk[:-1])
-    return np.flatnonzero(new)
+NEVER = -(2 ** 60)
 
 
 class Paths:
@@ -72,7 +48,7 @@ def _path_ends(gap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches):
             times = pdf["_us"].to_numpy()
-            paths = Paths(times, _group_starts(pdf), gap)
+            paths = Paths(times, group_starts(pdf), gap)
             # candidates of each group: up to and including the first event one gap after its first
             reach = np.minimum(paths.jump[paths.starts] + 1, paths.ends)
             begin = np.flatnonzero(np.arange(len(times)) < reach[paths.group])
@@ -121,12 +97,12 @@ def _kept(gap: int, columns: list[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches):
-            head = _group_starts(pdf)
+            head = group_starts(pdf)
             events = np.ones(len(pdf), bool)
             events[head] = False
             entry = pdf["_entry"].to_numpy()[head].astype("int64")
             rows = pdf[events].reset_index(drop=True)
-            paths = Paths(rows["_us"].to_numpy(), _group_starts(rows), gap)
+            paths = Paths(rows["_us"].to_numpy(), group_starts(rows), gap)
             group = np.arange(len(paths.starts))
             at = paths.at_or_after(entry + gap + paths.shift, group)
             picked = []
@@ -143,7 +119,7 @@ def _kept(gap: int, columns: list[str]):
     return run
 
 
-def throttle(events: DataFrame, gap_s: int = 900, chunk_s: int = 86_400, tie: str | None = None,
+def throttle(events: DataFrame, gap_s: int = 900, chunk_s: int = 14_400, tie: str | None = None,
              ts: str = "ts") -> DataFrame:
     """Events of ``symbol`` kept by the greedy throttle; ``tie`` orders equal times.
 

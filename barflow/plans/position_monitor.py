@@ -22,7 +22,7 @@ def known_bars(bars: DataFrame) -> DataFrame:
 
 def sold_legs(entries: DataFrame, ticks: DataFrame, bars: DataFrame | None = None,
               context: DataFrame | None = None, rules: Rules = Rules(), poll_s: int = 2,
-              width: str = "day", until: str | None = None) -> DataFrame:
+              width: str = "hour", until: str | None = None) -> DataFrame:
     """All legs sold for ``entries`` while ``ticks`` run, see ``exits``. ``until`` is a time no
     tick exceeds; with it the ticks are read once."""
     known = None if bars is None else stored(known_bars(bars), "known_bars")

@@ -74,12 +74,14 @@ def fields_of(line: Column) -> Column:
     """Fields of a comma-separated line. Commas inside quotes do not split. A field that holds a
     list in text form, as an overflowing row leaves it, opens into the list's items."""
     outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    bare = F.transform(F.split(line, outside_quotes, -1),
-                       lambda x: F.regexp_replace(x, r'^"(.*)"$', "$1"))
+    bare = F.transform(F.split(line, outside_quotes, -1), lambda x: F.when(
+        x.startswith('"'), F.regexp_replace(x, r'^"(.*)"$', "$1")).otherwise(x))
     opened = F.transform(bare, lambda x: F.when(
-        x.rlike(r"^\['.*'\]$"), F.split(F.regexp_replace(x, r"^\['|'\]$", ""), r"',\s*'"))
+        x.startswith("['"), F.split(F.regexp_replace(x, r"^\['|'\]$", ""), r"',\s*'"))
         .otherwise(F.array(x)))
-    return F.transform(F.flatten(opened), lambda x: F.nullif(F.trim(x), F.lit("")))
+    # most lines have no quote at all and need no pattern
+    fields = F.when(line.contains('"'), F.flatten(opened)).otherwise(F.split(line, ",", -1))
+    return F.transform(fields, lambda x: F.nullif(F.trim(x), F.lit("")))
 
 
 def repair_ragged(lines: DataFrame, layouts: dict[int, list[str]], columns: list[str],
@@ -89,7 +91,7 @@ def repair_ragged(lines: DataFrame, layouts: dict[int, list[str]], columns: list
     A row's field count tells which version of the layout wrote it; its fields go to that layout's
     columns and the others stay null. Header lines vanish; other counts go to quarantine.
     """
-    tokens = lines.withColumn("_f", fields_of(F.col(text)))
+    tokens = lines.select(text, fields_of(F.col(text)).alias("_f"))
     first = columns[0]
     is_header = F.coalesce(F.element_at("_f", 1) == first, F.lit(False))
     known = F.size("_f").isin(*layouts)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barflow.config import REGIME_FLAT, REGIME_TREND, Rules
 from barflow.operators import exits
-from barflow.operators.indicators import _adx_of_rows
+from barflow.operators.indicators import adx_of_rows
 
 
 def _sorted(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -102,7 +102,7 @@ def stream_context(bars: DataFrame, rules: Rules = Rules(), lookback: int = 300,
                             for a, c in ((hi, "h"), (lo, "l"), (cl, "c")))
         rows = np.arange(old, len(close))
         starts = np.maximum(rows - lookback + 1, 0)
-        adx = _adx_of_rows(high, low, rows, starts, 14)
+        adx = adx_of_rows(high, low, rows, starts, 14)
         ema = np.array([average(close[s:r + 1]) for s, r in zip(starts, rows)])
         top = np.array([high[max(r - 2, 0):r + 1].max() for r in rows])
         now = close[rows]

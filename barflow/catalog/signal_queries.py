@@ -135,6 +135,15 @@ def q_signal_cycle(spark, d):
                      F.coalesce("reason", F.lit("-")).alias("reason"))
 
 
+def q_shadow_log(spark, d):
+    """Rejected candidates as rows of the shadow file, at most one per symbol in three days."""
+    decided = decide.decide(_candidates(spark, d), Rules()).withColumns({
+        "c": F.col("ask"), "signal": F.lit("MSB")})
+    log = signal_cycle.shadow_signals(decided, Rules(throttle_s=259_200))
+    return log.select("Ts", "Sembol", "Sebep", "Fiyat",
+                      F.coalesce("AI_Skor", F.lit(-1.0)).alias("AI_Skor"))
+
+
 # --- throttle ----------------------------------------------------------------------------------------
 
 
@@ -197,7 +206,7 @@ def q_adx_sweep(spark, d):
 QUERIES = {
     "universe_top10": q_universe_top10, "universe_text": q_universe_text, "signals": q_signals,
     "decision_cascade": q_decision_cascade, "one_pick": q_one_pick,
-    "signal_cycle": q_signal_cycle, "throttle": q_throttle, "throttle_daily": q_throttle_daily,
+    "signal_cycle": q_signal_cycle, "shadow_log": q_shadow_log, "throttle": q_throttle, "throttle_daily": q_throttle_daily,
     "barrier_labels": q_barrier_labels, "label_status": q_label_status,
     "label_report": q_label_report, "adx_sweep": q_adx_sweep,
 }
@@ -328,6 +337,17 @@ FROM dec""",
     "one_pick": f"""{CAND_SQL.format(model='false')}
 SELECT epoch_us(cycle_ts) AS cycle_ts, rank, symbol, round(quantity, 6) AS quantity
 FROM dec WHERE rank = pick""",
+    "shadow_log": CAND_SQL.format(model=MODEL_SQL).replace("WITH", "WITH RECURSIVE", 1) + """, e AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY cycle_ts) AS k
+  FROM dec WHERE reason IS NOT NULL), fold AS (
+  SELECT symbol, cycle_ts, reason, ask, ai, k, cycle_ts AS kept FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.symbol, e.cycle_ts, e.reason, e.ask, e.ai, e.k,
+         CASE WHEN e.cycle_ts - f.kept >= INTERVAL '259200 seconds' THEN e.cycle_ts ELSE f.kept END
+  FROM fold f JOIN e ON e.symbol = f.symbol AND e.k = f.k + 1)
+SELECT epoch_us(cycle_ts) // 1000 AS Ts, symbol AS Sembol, reason AS Sebep, ask AS Fiyat,
+       coalesce(ai, -1) AS AI_Skor
+FROM fold WHERE kept = cycle_ts""",
     "throttle": f"""WITH {THROTTLE_SQL.format(gap=900).replace('RECURSIVE', 'RECURSIVE ' + sql_ticks()
                                                               + ',', 1)}
 SELECT symbol, epoch_us(ts) AS ts, price FROM fold WHERE kept = ts""",

@@ -161,6 +161,16 @@ def q_mark_to_market(spark, d):
                                         "age_h", "max_pct"), *flags("half_sold", "large"))
 
 
+def q_position_state(spark, d):
+    """Stored positions with defaults for what is missing or zero."""
+    raw = _held(spark, d).withColumns({
+        "cost": F.when(F.col("half_sold"), 0.0).otherwise(F.col("cost")),
+        "features_json": F.lit(None).cast("string")})
+    return market.position_state(raw, AS_OF).select(
+        "symbol", *rounded("cost", "max_ratio"), *flags("half_sold"), micros("entry_ts"),
+        "features_json")
+
+
 def q_priced_positions(spark, d):
     return positions.priced_positions(_held(spark, d), _wallet_tickers(spark, d)).select(
         "symbol", "last", F.round(money.net_ratio("entry_price", "last"), 6).alias("net_ratio"))
@@ -332,7 +342,7 @@ QUERIES = {
     "legs_to_positions": q_legs_to_positions, "class_balance": q_class_balance,
     "trade_pnl": q_trade_pnl, "vwap": q_vwap, "imbalance": q_imbalance,
     "book_depth": q_book_depth, "reconcile": q_reconcile, "wallet_scan": q_wallet_scan,
-    "mark_to_market": q_mark_to_market, "priced_positions": q_priced_positions,
+    "mark_to_market": q_mark_to_market, "position_state": q_position_state, "priced_positions": q_priced_positions,
     "held_tickers": q_held_tickers, "cumulative_profit": q_cumulative_profit,
     "running_top": q_running_top, "pnl_rollup": q_pnl_rollup, "chrono_split": q_chrono_split,
     "auc": q_auc, "stop_streak": q_stop_streak, "exclusions": q_exclusions,
@@ -470,6 +480,11 @@ SELECT symbol, round(entry_price, 6) AS entry_price, round(price, 6) + 0.0 AS pr
        round(coalesce(max_ratio, 0) * 100, 6) AS max_pct, CAST(half_sold AS INTEGER) AS half_sold,
        CAST(cost > 30 AS INTEGER) AS large
 FROM p""",
+    "position_state": f"""WITH {WALLET_SQL}
+SELECT symbol, CASE WHEN half_sold THEN 20.0::DOUBLE ELSE cost END AS cost,
+       round(coalesce(max_ratio, 0), 6) AS max_ratio, CAST(half_sold AS INTEGER) AS half_sold,
+       epoch_us(entry_ts) AS entry_ts, '{{}}' AS features_json
+FROM held""",
     "priced_positions": f"""WITH {WALLET_SQL}
 SELECT symbol, t.last, round({RATIO.format(x='t.last', e='entry_price')}, 6) + 0.0 AS net_ratio
 FROM held JOIN tickers t USING (symbol) WHERE t.last <> 0""",

@@ -9,6 +9,7 @@ from barflow.catalog.adapters import flags, micros, rounded, sql_ticks, table, t
 from barflow.config import BANNED, Rules
 from barflow.functions import book, money, values
 from barflow.operators import ordering, positions, reports, series, training
+from barflow.session import stored
 from barflow.sources import logs, market, sinks
 
 RULES = Rules()
@@ -243,7 +244,8 @@ def q_exclusions(spark, d):
     """Every tick is a candidate: which are barred by the exits before it."""
     candidates = ticks(spark, d, "user_id").select(
         "symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("cycle_ts"))
-    df = positions.with_exclusions(candidates, positions.stop_streaks(exits_by_user(spark, d)))
+    streaks = stored(positions.stop_streaks(exits_by_user(spark, d)), "streaks")
+    df = positions.with_exclusions(candidates, streaks)
     return df.select("symbol", micros("cycle_ts"), *flags("cooling", "blacklisted"), "stop_count")
 
 

@@ -11,6 +11,7 @@ from barflow.config import BANNED, RESERVED_COINS, Rules
 from barflow.functions.money import net_ratio
 from barflow.functions.values import base_coin, pair_symbol
 from barflow.operators import series
+from barflow.operators.universe import contains_any
 
 LEG_KEYS = ("symbol", "entry_price", "rsi", "vol_ratio", "atr_pct", "signal")
 
@@ -70,9 +71,7 @@ def reconcile(balances: DataFrame, positions: DataFrame, tickers: DataFrame,
             "value": F.coalesce("qty", F.lit(0.0)) * F.coalesce("last", F.lit(0.0)),
         })
     )
-    words = F.array(*[F.lit(b) for b in banned])
-    barred = F.exists(words, lambda w: F.col("symbol").contains(w)) | F.col("coin").isin(
-        *RESERVED_COINS)
+    barred = contains_any(F.col("symbol"), banned) | F.col("coin").isin(*RESERVED_COINS)
     priced = F.coalesce(F.col("last") > 0, F.lit(False))
     action = (
         F.when(F.col("held") & ~priced, "UNKNOWN_PRICE")
@@ -130,7 +129,10 @@ def stop_streaks(exits: DataFrame, rules: Rules = Rules(), width: str = "day",
 
 def with_exclusions(candidates: DataFrame, streaks: DataFrame, ts: str = "cycle_ts",
                     width: str = "day") -> DataFrame:
-    """Attach what earlier exits say about each candidate: streak, cooling down, blacklisted."""
+    """Attach what earlier exits say about each candidate: streak, cooling down, blacklisted.
+
+    ``streaks`` is read several times: pass a stored table.
+    """
     cooled = streaks.where("cooldown_until IS NOT NULL")
     df = series.asof_many(candidates, [
         series.Right(cooled, ["cooldown_until", "streak"]),

@@ -12,12 +12,14 @@ from barflow.config import BANNED, Rules
 
 def tradable(symbol: Column, banned: Sequence[str] = BANNED, suffix: str = "/USDT") -> Column:
     """ASCII only, no banned substring anywhere in the symbol, quoted in the given currency."""
-    words = F.array(*[F.lit(b) for b in banned])
-    return (
-        symbol.rlike(r"^[\x00-\x7F]*$")
-        & ~F.exists(words, lambda word: symbol.contains(word))
-        & symbol.endswith(suffix)
-    )
+    return symbol.endswith(suffix) & ~contains_any(symbol, banned) & symbol.rlike(
+        r"^[\x00-\x7F]*$")
+
+
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether any of the words occurs, as one pattern: the text is evaluated once and the generated
+    code stays small enough to be compiled."""
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words)) if words else F.lit(False)
 
 
 def universe(tickers: DataFrame, rules: Rules = Rules(),

@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their SQL."""
 
-from barflow.llm import mixing, site_lines
+from barflow.llm import mixing, simhash, site_lines
 
 QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_simhash": simhash.op7_simhash,
     "op10_site_lines": site_lines.op10_site_lines,
 }
 

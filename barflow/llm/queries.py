@@ -1,10 +1,12 @@
 """Registered queries of this subpackage and their SQL."""
 
-from barflow.llm import mixing, simhash, site_lines
+from barflow.llm import mixing, sentence_pieces, simhash, site_lines, token_counts
 
 QUERIES = {
+    "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash": simhash.op7_simhash,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_site_lines": site_lines.op10_site_lines,
 }
 

@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their SQL."""
 
-from barflow.llm import mixing, sentence_pieces, simhash, site_lines, token_counts
+from barflow.llm import mixing, quality, sentence_pieces, simhash, site_lines, token_counts
 
 QUERIES = {
     "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
+    "op3_quality": quality.op3_quality,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_simhash": simhash.op7_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_quality": quality.SQL,
     "op6_mix_sources": mixing.SQL,
     "op10_site_lines": site_lines.SQL,
 }

@@ -6,8 +6,8 @@ ratio. Such lines go from every page of the host; all others stay, in order.
 Lines are compared by the hash of their text without outer ASCII white space; a line without text is
 never boilerplate. Each page sends each of its different lines once, so that counting needs one
 shuffle, combined before it. A host has at most (mean different lines per page) / ratio
-boilerplate lines, whatever its number of pages; that list per host joins the pages, and neither
-side needs a host's pages in one task (skewed joins are split, small lists broadcast by size).
+boilerplate lines, whatever its number of pages. These lists are written, so the planner knows their size: below
+its limit they are broadcast and the pages are not moved, above it the join's large hosts are split.
 
 Cases: a null text has no lines and stays null; a null host is a host of its own; repeated rows are
 pages of their own; a text left without lines becomes empty; other columns are carried along.
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.common import table
+from barflow.session import stored
 
 #: Share of a host's pages, and least number of pages, above which a line is boilerplate.
 RATIO = 0.1
@@ -57,7 +58,7 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
                      ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with the boilerplate lines of their hosts taken out of ``text_col``; a struct
     ``_lines`` (total, removed) is added."""
-    gone = boilerplate(docs, text_col, host_col, ratio, min_pages)
+    gone = stored(boilerplate(docs, text_col, host_col, ratio, min_pages), "boilerplate")
     lines = F.split(F.col(text_col), "\n")
     keep = F.filter(F.col("_all"), lambda x: ~F.array_contains(F.col("_gone"), line_key(x)))
     rest = F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(keep)

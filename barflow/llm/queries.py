@@ -1,11 +1,13 @@
 """Registered queries of this subpackage and their SQL."""
 
 from barflow.llm import (
-    mixing, neighbours, quality, sentence_pieces, simhash, site_lines, token_counts, toxicity, warc,
+    language_model, mixing, neighbours, quality, sentence_pieces, simhash, site_lines, token_counts,
+    toxicity, warc,
 )
 
 QUERIES = {
     "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
+    "op2_language_model": language_model.op2_language_model,
     "op3_quality": quality.op3_quality,
     "op4_warc": warc.op4_warc,
     "op5_neighbours": neighbours.op5_neighbours,

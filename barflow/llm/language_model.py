@@ -33,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.common import encoded, table
-from barflow.session import stored
+from barflow.session import scratch_path, stored
 
 FOLDS = 10
-STEP = 48
+STEP = 32
 WIDTH = 32
 BUCKETS = 4096
 BATCH = 128
 TRAIN_BATCH = 48
 RATE = 0.1
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 SEED = 11
 END = ""
 WORD_END = 256
@@ -52,6 +52,26 @@ BLOCKS = 64
 
 # --- texts as chunks ------------------------------------------------------------------------------
 
+def planes(numbers) -> bytes:
+    """int32 numbers as four byte planes, of which the high ones compress to little."""
+    import numpy as np
+
+    return np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def of_planes(raw):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, compressed more."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
     """Rows (chunk, ids, held, sizes, words, vocab, counts) of ``docs`` (id, held_out, text).
 
@@ -73,9 +93,9 @@ def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
         counts[0] = train.sum()
         vocab = pa.array(list(known), pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            [pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
              pa.array([marks], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())),
-             pa.array([flat.tobytes()], pa.binary()),
+             pa.array([planes(flat)], pa.binary()),
              pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), vocab),
              pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()),
                                       pa.array(counts, pa.int64()))],
@@ -96,14 +116,14 @@ def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
                 texts.append(text)
                 size += len(text)
                 if size >= CHUNK_BYTES or len(texts) >= 16384:
-                    yield pack(pa.concat_arrays(ids), marks, texts, f"{part}-{made}")
+                    yield pack(pa.concat_arrays(ids), marks, texts, (part << 24) + made)
                     made += 1
                     ids, marks, texts, size = [], [], [], 0
         if texts:
-            yield pack(pa.concat_arrays(ids), marks, texts, f"{part}-{made}")
+            yield pack(pa.concat_arrays(ids), marks, texts, (part << 24) + made)
 
     return docs.select("id", held, "text").mapInArrow(
-        run, f"chunk string, ids array<{kind}>, held array<boolean>, sizes array<int>, words binary, "
+        run, f"chunk bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, words binary, "
              "vocab array<string>, counts array<bigint>")
 
 
@@ -270,38 +290,51 @@ class Attention:
         return self
 
     def forward(self, tok, first, last, new):
-        """tok, first, last: (B, 2 STEP), tok -1 where there is none; new: (B, STEP) chance to draw."""
+        """tok, first, last: (B, 2 STEP), tok -1 where there is none; new: (B, STEP) chance to draw.
+
+        Equal tokens are few, so their attention is gathered rather than multiplied through.
+        """
         import numpy as np
 
         p = self.p
         there = tok >= 0
-        x = (p["emb"][first] + p["emb"][last]) * there[..., None]
+        x = p["emb"][first]
+        x += p["emb"][last]
+        if not there.all():
+            x *= there[..., None]
         lag1, lag2 = np.zeros_like(x), np.zeros_like(x)
         lag1[:, 1:], lag2[:, 2:] = x[:, :-1], x[:, :-2]
-        q = lag1[:, STEP:] @ p["q1"] + lag2[:, STEP:] @ p["q2"]
-        k = lag1 @ p["k1"] + lag2 @ p["k2"]
-        s = q @ k.transpose(0, 2, 1) + p["dist"][self.gap]
-        ok = self.before & there[:, None, :]
-        s = np.where(ok, s, np.float32(-1e9))
-        top = np.maximum(s.max(axis=2), p["sentinel"][0])
-        a = np.exp(s - top[..., None])
+        q = lag1[:, STEP:] @ p["q1"]
+        q += lag2[:, STEP:] @ p["q2"]
+        k = lag1 @ p["k1"]
+        k += lag2 @ p["k2"]
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(self.before, p["dist"][self.gap], np.float32(-1e9))
+        if not there.all():
+            a += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
+        top = np.maximum(a.max(axis=2), p["sentinel"][0])
+        a -= top[..., None]
+        np.exp(a, out=a)
         sent = np.exp(p["sentinel"][0] - top)
         z = a.sum(axis=2) + sent
-        a /= z[..., None]
         sent = sent / z
-        match = tok[:, None, :] == tok[:, STEP:, None]
-        chance = sent * new + (a * match).sum(axis=2)
-        return lag1, lag2, q, k, a, sent, match, np.maximum(chance, 1e-300)
+        at = np.flatnonzero(tok[:, None, :] == tok[:, STEP:, None])
+        row = at // (2 * STEP)
+        copied = np.bincount(row, a.ravel()[at], z.size).reshape(z.shape) / z
+        return lag1, lag2, q, k, a, z, sent, (at, row), np.maximum(sent * new + copied, 1e-300)
 
     def train(self, tok, first, last, new):
         import numpy as np
 
-        lag1, lag2, q, k, a, sent, match, chance = self.forward(tok, first, last, new)
+        lag1, lag2, q, k, g, z, sent, (at, row), chance = self.forward(tok, first, last, new)
         live = (tok[:, STEP:] >= 0)
         n = max(1, int(live.sum()))
-        inv = np.where(live, 1.0 / chance, 0.0).astype(np.float32)
+        inv = np.where(live, 1.0 / chance, 0.0)
         own = live.astype(np.float32)
-        g = a * (match * inv[..., None] - own[..., None])
+        # d log p / d score: attention x (is it the token) / p, less the attention
+        plus = (g.ravel()[at] / z.ravel()[row] * inv.ravel()[row]).astype(np.float32)
+        g *= (-own / z).astype(np.float32)[..., None]
+        g.ravel()[at] += plus
         grad = {"sentinel": np.array([(sent * (new * inv - own)).sum()], np.float32)}
         grad["dist"] = np.bincount(self.gap.ravel(), np.where(self.before, g.sum(axis=0), 0).ravel(),
                                    2 * STEP).astype(np.float32)
@@ -320,7 +353,9 @@ class Attention:
         dx = (dx * (tok >= 0)[..., None]).reshape(wide)
         rows, back = np.unique(np.concatenate([first.ravel(), last.ravel()]), return_inverse=True)
         both = np.concatenate([dx, dx])
-        demb = np.stack([np.bincount(back, both[:, i], len(rows)) for i in range(WIDTH)], axis=1)
+        order = np.argsort(back, kind="stable")
+        edges = np.searchsorted(back[order], np.arange(len(rows)))
+        demb = np.add.reduceat(both[order], edges, axis=0)
         for name, value in grad.items():
             value = value / n
             self.square[name] += value * value
@@ -339,7 +374,7 @@ def windows(sizes, words):
     tokens = sizes + 1  # and the end, number 0
     blocks = -(-tokens // STEP) + 1  # an empty block in front
     first = np.cumsum(blocks) - blocks
-    padded = np.full(int(blocks.sum()) * STEP, -1, np.int64)
+    padded = np.full(int(blocks.sum()) * STEP, -1, np.int32)
     start = (first + 1) * STEP
     padded[np.arange(len(words)) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)] = words
     padded[start + sizes] = 0
@@ -357,14 +392,18 @@ class Chunk:
     def __init__(self, row, n, v, discount):
         import numpy as np
 
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.held = np.array(row["held"], bool)
-        words = np.frombuffer(row["words"], np.int32)
-        cells = sorted(row["cells"], key=lambda c: c["pos"])
-        self.c = np.array([c["c"] for c in cells], np.float64)
-        self.first = np.array([c["first"] for c in cells], np.int64)
-        self.last = np.array([c["last"] for c in cells], np.int64)
-        spell = 10.0 ** np.array([c["spell"] for c in cells], np.float64)
+        self.sizes = np.asarray(row["sizes"].values, np.int64)
+        self.held = np.asarray(row["held"].values.to_numpy(zero_copy_only=False), bool)
+        words = of_planes(row["words"].as_buffer())
+        cells = row["cells"].values
+        at, c, spell = (cells.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        order = np.argsort(at)  # by number in the vocabulary
+        at, c, spell = at[order], c[order], spell[order]
+        self.c = c.astype(np.float64)
+        rows = at & ((1 << 32) - 1)
+        self.first = (rows // (2 * BUCKETS)).astype(np.int32)
+        self.last = (rows % (2 * BUCKETS)).astype(np.int32)
+        spell = 10.0 ** spell.astype(np.float64)
         if n:
             self.new = np.maximum(self.c - discount, 0) / n + discount * v / n * spell
         else:
@@ -385,7 +424,7 @@ class Chunk:
 def rows_of(batch):
     names = batch.schema.names
     for i in range(batch.num_rows):
-        yield {k: batch.column(j)[i].as_py() for j, k in enumerate(names)}
+        yield {k: batch.column(j)[i] for j, k in enumerate(names)}
 
 
 def trained(chunks: DataFrame, stats) -> DataFrame:
@@ -434,7 +473,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held=
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     held = held_out(id_col, FOLDS) if held is None else held
-    chunks = stored(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"),
+    chunks = kept_table(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"),
                                         F.col(text_col).alias("text"))), "lm-chunks")
     cells = chunks.select("chunk", F.posexplode(F.arrays_zip("vocab", "counts")).alias("pos", "w")) \
         .select("chunk", "pos", F.col("w.vocab").alias("word"), F.col("w.counts").alias("n"))
@@ -446,8 +485,10 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held=
     discount = max(0.1, once / max(1.0, once + 2.0 * twice))
     known = spelled(words, spelling_counts(words))
     per_chunk = cells.join(known, "word").groupBy("chunk").agg(
-        F.collect_list(F.struct("pos", "c", "spell", "first", "last")).alias("cells"))
-    full = stored(chunks.drop("vocab", "counts").join(per_chunk, "chunk"), "lm-full")
+        F.collect_list(F.struct(
+            (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("first") * (2 * BUCKETS)
+             + F.col("last")).alias("at"), "c", "spell")).alias("cells"))
+    full = kept_table(chunks.drop("vocab", "counts").join(per_chunk, "chunk"), "lm-full")
     stats = (n, v, discount)
     total = stored(trained(full.select("held", "sizes", "words", "cells"), stats), "lm-parameters")
     rows = sorted(total.collect(), key=lambda r: r["block"])  # one vector of parameters

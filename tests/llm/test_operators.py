@@ -189,9 +189,10 @@ def test_mixing_meets_targets(spark):
     taken, largest = {}, {}
     for r in rows:
         assert r.taken in (0, r["size"], 2 * r["size"])
-        taken[r.target] = taken.get(r.target, 0) + r.taken
-        largest[r.target] = max(largest.get(r.target, 0), r["size"])
-    assert all(abs(taken[t] - t) <= largest[t] for t in taken)
+        source = (r.source_size, r.target)
+        taken[source] = taken.get(source, 0) + r.taken
+        largest[source] = max(largest.get(source, 0), r["size"])
+    assert all(abs(taken[s] - s[1]) <= largest[s] for s in taken)
 
 
 def test_toxicity_on_held_out_labels(spark):

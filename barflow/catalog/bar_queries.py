@@ -46,7 +46,7 @@ def q_ema_bounded(spark, d):
     df = ind.with_smooths(_prepared(spark, d, 300), [
         ind.ema("ema_20_50", "c", 20, 50), ind.ema("ema_20_100", "c", 20, 100),
         ind.ema("ema_200_300", "c", 200, 300)])
-    return series.drop_halo(df).where("idx >= 199").select(
+    return series.drop_halo(df).select(
         "symbol", micros(), *rounded("ema_20_50", "ema_20_100", "ema_200_300"))
 
 
@@ -57,7 +57,7 @@ def q_rsi_bounded(spark, d):
 
 def q_overheated(spark, d):
     df = series.drop_halo(ind.with_rsi(_prepared(spark, d, 100), 25, out="rsi_25"))
-    return df.where("idx >= 24").select(
+    return df.where("idx >= 14").select(
         "symbol", micros(), *rounded("rsi_25"),
         (F.col("rsi_25") >= Rules().overheated_rsi).cast("int").alias("overheated"))
 
@@ -113,7 +113,7 @@ def q_mtf_live(spark, d):
 
 def q_benchmark_context(spark, d):
     b = bars(spark, d).where(F.col("symbol") == BENCHMARK)
-    df = regime.benchmark_bars(b, CONTEXT_RULES).where("idx >= 199")
+    df = regime.benchmark_bars(b, CONTEXT_RULES)
     return df.select(micros(), *rounded("ema_200", "btc_1h_change", "btc_ema_distance", "btc_adx"),
                      *flags("flash_crash"))
 
@@ -234,14 +234,14 @@ WHERE ts = (SELECT max(ts) FROM bars x WHERE x.symbol = b.symbol)""",
          list(c) OVER {rows(299)} AS d FROM n), e AS (
   SELECT symbol, ts, {sql_smooth('a', 20, '(2 / 21.0)')} AS ema_20_50,
          {sql_smooth('b', 20, '(2 / 21.0)')} AS ema_20_100,
-         {sql_smooth('d', 200, '(2 / 201.0)')} AS ema_200_300 FROM s WHERE idx >= 199)
+         {sql_smooth('d', 200, '(2 / 201.0)')} AS ema_200_300 FROM s)
 SELECT symbol, epoch_us(ts) AS ts, {sql_round('ema_20_50', 'ema_20_100', 'ema_200_300')} FROM e""",
     "rsi_bounded": f"""{sql_rsi(100)}
 SELECT symbol, epoch_us(ts) AS ts, round(100 * up / (up + down), 6) AS rsi FROM u
 WHERE idx >= 14""",
     "overheated": f"""{sql_rsi(25)}
 SELECT symbol, epoch_us(ts) AS ts, round(100 * up / (up + down), 6) AS rsi_25,
-       CAST(100 * up / (up + down) >= 83 AS INTEGER) AS overheated FROM u WHERE idx >= 24""",
+       CAST(100 * up / (up + down) >= 83 AS INTEGER) AS overheated FROM u WHERE idx >= 14""",
     "atr_bounded": f"""{BARS}, {N}, {D}, s AS (
   SELECT symbol, ts, idx, c, list(tr) OVER {rows(98)} AS t FROM d), u AS (
   SELECT symbol, ts, c, {sql_smooth('t', 14, '(1 / 14.0)')} AS atr FROM s WHERE idx >= 14)
@@ -292,9 +292,9 @@ SELECT symbol, epoch_us(ts) AS ts, {sql_round('ema_1h')} FROM e""",
     "benchmark_context": f"""{BENCH}
 SELECT epoch_us(ts) AS ts, {sql_round('ema_200')},
        round((c / c4 - 1) * 100, 6) + 0.0 AS btc_1h_change,
-       round((c / ema_200 - 1) * 100, 6) + 0.0 AS btc_ema_distance, {sql_round('btc_adx')},
+       CASE WHEN ema_200 > 0 THEN round((c / ema_200 - 1) * 100, 6) + 0.0 ELSE 0.0 END AS btc_ema_distance, {sql_round('btc_adx')},
        CAST(flash AS INTEGER) AS flash_crash
-FROM ctx WHERE idx >= 199""",
+FROM ctx""",
     "regime_state": f"""{BENCH}
 SELECT epoch_us(ts) AS ts, btc_ok, CAST(flash AS INTEGER) AS flash_crash, regime,
        CASE WHEN flash THEN 'FLASH_CRASH'

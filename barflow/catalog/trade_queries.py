@@ -69,7 +69,7 @@ def q_trade_pnl(spark, d):
 
 
 def q_vwap(spark, d):
-    fills = table(spark, d, "lineitem").where(F.col("l_linestatus") == "F").select(
+    fills = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("amount"))
@@ -301,7 +301,7 @@ RAGGED_LAYOUTS = {7: RAGGED, 5: ["event_id", "event_type", "value", "score_a", "
 
 def _ragged_lines(spark, d):
     """Lines by three versions of a writer, one of which overflows into a list cell, plus damage."""
-    e = table(spark, d, "events").withColumn("k", F.expr(K)).where(F.col("value").isNotNull())
+    e = table(spark, d, "events").withColumn("k", F.expr(K))
     head = [F.col("event_id").cast("string"), F.concat(F.lit('"'), "event_type", F.lit(',x"')),
             F.col("k").cast("string")]
     tail = [F.lit("a"), F.lit("b")]
@@ -443,7 +443,7 @@ SELECT l_orderkey, l_linenumber,
 FROM t""",
     "vwap": """WITH f AS (
   SELECT l_orderkey, sum(l_extendedprice) / sum(l_quantity) AS w
-  FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+  FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS order_id,
        round(coalesce(CASE WHEN o_orderstatus = 'P' THEN nullif(o_totalprice / 100, 0) END,
                       nullif(w, 0), o_totalprice) / o_totalprice, 9) AS fill_ratio
@@ -548,13 +548,13 @@ FROM (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderda
       UNION ALL BY NAME
       SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders
       WHERE o_orderdate >= '1998-01-01')""",
-    "ragged_repair": f"""WITH e AS (SELECT *, {K_SQL} AS n FROM events WHERE value IS NOT NULL)
+    "ragged_repair": f"""WITH e AS (SELECT *, {K_SQL} AS n FROM events)
 SELECT CAST(event_id AS VARCHAR) AS event_id, event_type || ',x' AS event_type,
        CAST(n AS VARCHAR) AS value, CASE WHEN n % 4 = 0 THEN '-' ELSE CAST(n AS VARCHAR) END AS k,
        CASE WHEN n % 4 = 0 THEN '-' ELSE CAST(user_id AS VARCHAR) END AS user_id, 'a' AS score_a,
        'b' AS score_b
 FROM e WHERE n % 4 < 3""",
-    "ragged_quarantine": f"""WITH e AS (SELECT *, {K_SQL} AS n FROM events WHERE value IS NOT NULL)
+    "ragged_quarantine": f"""WITH e AS (SELECT *, {K_SQL} AS n FROM events)
 SELECT 3 AS n_fields, count(*) AS n FROM e WHERE n % 4 = 3 AND n <> 3 HAVING count(*) > 0""",
     "entry_features": f"""WITH e AS (SELECT *, {K_SQL} AS k FROM events)
 SELECT event_id, CASE WHEN k % 5 = 2 THEN event_type ELSE '' END AS signal,

@@ -9,7 +9,6 @@ from barflow.config import Rules
 from barflow.operators import positions, training
 from barflow.session import stored
 
-TREES = 20
 
 
 def _positions(spark, d):
@@ -21,7 +20,7 @@ def q_train_gate(spark, d):
     """Outcome of the gate for both targets: counts, test AUC, status."""
     data = _positions(spark, d)
     reports = [
-        training.train_gated(data, features, target, Rules(), trees=TREES)[1]
+        training.train_gated(data, features, target, Rules())[1]
         for features, target in ((training.RISK_FEATURES, "is_loss"),
                                  (training.PROFIT_FEATURES, "is_profit"))]
     return spark.createDataFrame(
@@ -33,7 +32,7 @@ def q_score(spark, d):
     """Probability of a profit for every position."""
     data = _positions(spark, d)
     counts = training.class_counts(data, "is_profit")
-    model = training.fit(data, training.PROFIT_FEATURES, "is_profit", counts, trees=TREES)
+    model = training.fit(data, training.PROFIT_FEATURES, "is_profit", counts)
     return training.score(data, model, "ai_score").select("symbol", "is_profit", "ai_score")
 
 

@@ -80,6 +80,7 @@ def advance(held: Held, polls: pd.DataFrame, rules: Rules = Rules()) -> list[dic
     """Apply time-ordered polls (``t, price, rsi_25, vol_faded, flat``) to ``held`` in place and
     return the legs sold."""
     legs: list[dict] = []
+    polls = polls[polls["price"].to_numpy(float) > 0]  # a poll without a price says nothing
     if held.closed or polls.empty:
         return legs
     t, price = polls["t"].to_numpy(float), polls["price"].to_numpy(float)
@@ -199,8 +200,9 @@ def position_polls(entries: DataFrame, polls: DataFrame, bars_known: DataFrame |
 
 
 def poll_vectors(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Columns the rule function needs, thresholds of the position resolved."""
-    return df.select(
+    """Columns the rule function needs, thresholds of the position resolved; polls without a
+    price are left out."""
+    return df.where("price > 0").select(
         F.col("position_id").cast("string").alias("position_id"), "symbol",
         (F.unix_micros("ts") / 1e6).alias("t"), "price", "rsi_25",
         F.coalesce("vol_faded", F.lit(False)).alias("vol_faded"), "flat",

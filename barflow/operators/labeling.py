@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from barflow.operators import series
 
 
 def next_bars(signals: DataFrame, bars: DataFrame, n: int = Rules.label_bars,
-              width: str = "hour", until: str | None = None) -> DataFrame:
+              width: str = "hour", until: int | str | None = None) -> DataFrame:
     """Attach the first ``n`` bars of the symbol that start after the signal, as array ``window``.
 
     Bars are numbered per symbol, so gaps in time do not matter. Each block of n bars is stored with
@@ -88,9 +86,8 @@ def label_signals(signals: DataFrame, bars: DataFrame, as_of_ms: int,
     LABELED has all its bars; GIVE_UP still lacks some long after the signal; WAIT is tried again;
     BAD has no usable price. Rows do not block one another. Signals after ``as_of_ms`` are left out.
     """
-    moment = datetime.fromtimestamp(as_of_ms / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     past = signals.where(F.unix_millis("ts") <= as_of_ms)
-    joined = next_bars(past, bars, rules.label_bars, until=moment)
+    joined = next_bars(past, bars, rules.label_bars, until=as_of_ms * 1000)
     late = F.unix_millis("ts") < as_of_ms - int(rules.label_give_up_h * 3_600_000)
     status = (
         F.when(F.coalesce(F.col("price") <= 0, F.lit(True)), "BAD")

@@ -17,7 +17,7 @@ def label_batch(signals: DataFrame, bars: DataFrame, mark_ms: int, as_of_ms: int
     due = labeling.unlabeled(signals, mark_ms, as_of_ms, labeled, rules)
     since = F.timestamp_millis(F.lit(max(mark_ms, 0)))
     # a signal needs no bar that starts before it, except to number the one it falls into
-    recent = bars.where(F.col("ts") > since) if mark_ms > 0 else bars
+    recent = bars.where(F.col("ts") > since).drop("idx") if mark_ms > 0 else bars
     return labeling.label_signals(due, recent, as_of_ms, rules)
 
 

@@ -33,9 +33,10 @@ def test_stored_net_ratio_is_reproduced(trades):
 
 def test_legs_collapse_to_positions(trades):
     rows = {r.symbol: r for r in positions.collapse_legs(trades).collect()}
-    assert len(rows) == 5 and rows["SUI/USDT"].n_legs == 2
-    assert rows["SUI/USDT"].net == pytest.approx(0.15663658500000024 + 0.09810517500000114)
-    assert rows["SUI/USDT"].ts == dt.datetime(2026, 9, 21, 0, 41, 56, 42043)
+    assert len(rows) == 5 and rows["AAA/USDT"].n_legs == 2
+    legs = [(x * 0.999 - 2.0 * 1.001) / (2.0 * 1.001) * 10.0 for x in (2.06, 2.05)]
+    assert rows["AAA/USDT"].net == pytest.approx(sum(legs))
+    assert rows["AAA/USDT"].ts == dt.datetime(2026, 9, 21, 0, 35, 0, 250000)
 
 
 def test_collapse_keeps_a_missing_signal_and_drops_a_missing_key(spark):
@@ -54,9 +55,9 @@ def test_ragged_rows_go_to_the_layout_that_wrote_them(spark):
     cols = schemas.TRADE_V2_COLUMNS
     clean, bad = logs.repair_ragged(lines, schemas.layouts_of(cols), cols)
     old, new = clean.orderBy("Islem_Zamani").collect()
-    assert old.Sym_ADX is None and old.AI_Skor == "0.778" and old.Stop_Sayisi == "1"
+    assert old.Sym_ADX is None and old.AI_Skor == "0.625" and old.Stop_Sayisi == "1"
     assert (new.Sym_ADX, new.BTC_ADX, new.AI_Skor, new.Filtre_Skor) == (
-        "40.76", "20.54", "0.213", "0.574")
+        "35.5", "22.5", "0.125", "0.875")
     assert new.OB_Oran is None
     (lost,) = bad.collect()
     assert lost.n_fields == 2 and lost.line == V2_LINES[2]
@@ -67,8 +68,8 @@ def test_overflow_cell_opens(spark):
     cols = schemas.LABELED_COLUMNS
     clean, _ = logs.repair_ragged(lines, schemas.layouts_of(cols), cols)
     r = clean.first()
-    assert (r.Sym_ADX, r.BTC_ADX, r.AI_Skor, r.Filtre_Skor) == ("18.25", "16.36", "0.0948", "0.4503")
-    assert (r.Sanal_Sonuc_Pct, r.Min_Kar_Pct) == ("2.425", "-1.769")
+    assert (r.Sym_ADX, r.BTC_ADX, r.AI_Skor, r.Filtre_Skor) == ("18.5", "16.5", "0.125", "0.375")
+    assert (r.Sanal_Sonuc_Pct, r.Min_Kar_Pct) == ("2.5", "-1.5")
 
 
 def test_schema_evolution_and_idempotent_append(spark, tmp_path):

@@ -286,7 +286,7 @@ FROM j WHERE ema_1h IS NOT NULL""",
   SELECT b.symbol, b.ts, list_append((SELECT list(c ORDER BY k) FROM h x
            WHERE x.symbol = h.symbol AND x.k BETWEEN h.k - 49 AND h.k - 1), b.c) AS cs
   FROM bars b JOIN h ON h.symbol = b.symbol AND h.ts = time_bucket(INTERVAL '1 hour', b.ts)
-  WHERE h.k > 20), e AS (
+  WHERE h.k >= 20), e AS (
   SELECT symbol, ts, {sql_smooth('cs', 20, '(2 / 21.0)')} AS ema_1h FROM j)
 SELECT symbol, epoch_us(ts) AS ts, {sql_round('ema_1h')} FROM e""",
     "benchmark_context": f"""{BENCH}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barflow.catalog.adapters import flags, micros, rounded, sql_smooth, sql_ticks, ticks
 from barflow.catalog.bar_queries import W, rows
 from barflow.config import Rules
-from barflow.operators import exits, reports, series
+from barflow.operators import exits, regime, reports, series
 from barflow.operators import indicators as ind
 from barflow.operators.bars import build_bars
 from barflow.plans import position_monitor
@@ -43,10 +43,10 @@ def _entries(path: DataFrame) -> DataFrame:
 
 
 def _regimes(spark, d):
-    """Hourly regime from the parity of the benchmark's hourly quantity."""
+    """Hourly regime from the parity of the benchmark's hourly quantity, known when the hour ends."""
     hours = build_bars(ticks(spark, d).where("symbol = 'view'"), "1h")
-    return hours.select("ts", F.when(F.col("v") % 2 == 0, "YATAY").otherwise("TREND")
-                        .alias("regime"))
+    return regime.known_context(hours.select("ts", F.when(F.col("v") % 2 == 0, "YATAY")
+                                             .otherwise("TREND").alias("regime")), "1 HOUR")
 
 
 def _legs(spark, d):
@@ -63,7 +63,7 @@ def q_exit_monitor(spark, d):
     legs, _ = _legs(spark, d)
     return legs.select("position_id", "symbol", micros(), "exit_code",
                        *rounded("price", "cost", "net", "net_pct", "stop_ratio"),
-                       F.round("age_h", 1).alias("age_h"), *flags("is_final"))
+                       "age_h", *flags("is_final"))
 
 
 def q_exit_report(spark, d):
@@ -114,7 +114,7 @@ LEGS_SQL = f"""WITH RECURSIVE {sql_ticks()}, raw AS (
   SELECT symbol, ts + INTERVAL 15 MINUTE AS known, idx >= 13 AND v3 < vm AS faded,
          {sql_smooth('ups', 14, '(1 / 14.0)')} AS u, {sql_smooth('downs', 14, '(1 / 14.0)')} AS w
   FROM g), reg AS (
-  SELECT time_bucket(INTERVAL '1 hour', ts) AS ts, sum(qty) % 2 = 0 AS flat
+  SELECT time_bucket(INTERVAL '1 hour', ts) + INTERVAL 1 HOUR AS ts, sum(qty) % 2 = 0 AS flat
   FROM ticks WHERE symbol = 'view' GROUP BY 1), p1 AS (
   SELECT s.symbol, s.ts, s.price, e.* EXCLUDE (symbol)
   FROM slots s ASOF JOIN entries e ON s.symbol = e.symbol AND s.ts > e.entry_ts), p2 AS (
@@ -181,7 +181,7 @@ ORACLES = {
     "exit_monitor": f"""{LEGS_SQL}
 SELECT pid AS position_id, symbol, epoch_us(ts) AS ts, exit_code, round(price, 6) AS price,
        round(cost, 6) AS cost, round(net, 6) + 0.0 AS net, round(net_pct, 6) + 0.0 AS net_pct,
-       round(stop_ratio, 6) AS stop_ratio, round(round(age, 2), 1) AS age_h,
+       round(stop_ratio, 6) AS stop_ratio, CAST(printf('%.2f', age) AS DOUBLE) AS age_h,
        CAST(is_final AS INTEGER) AS is_final
 FROM legs""",
     "exit_report": f"""{LEGS_SQL}

@@ -13,7 +13,7 @@ from barflow.catalog.adapters import (
 from barflow.catalog.bar_queries import (
     BENCH, CONTEXT_RULES, W, D, N, rows, sql_adx,
 )
-from barflow.catalog.trade_queries import BANNED_SQL, EXIT_SQL
+from barflow.catalog.trade_queries import BANNED_SQL, EXIT_SQL, STREAK_SQL
 from barflow.config import Rules
 from barflow.operators import bars as bar_ops
 from barflow.operators import decide, labeling, positions, regime, reports, signals, universe
@@ -30,18 +30,22 @@ CYCLE_RULES = Rules(min_rsi=45.0, min_vol_ratio=0.6, max_atr_ratio=9.0, whale_vo
 # --- universe ----------------------------------------------------------------------------------------
 
 
+def _pair(user: str = "symbol"):
+    """The symbol of a user number: most are pairs of the universe, some are banned or quoted otherwise."""
+    number = F.col(user).cast("int")
+    return F.concat(F.when(number % 17 == 0, "EUR").when(number % 19 == 0, "币").otherwise("U"),
+                    F.col(user).cast("string"),
+                    F.when(number % 23 == 0, "/BTC").otherwise("/USDT"))
+
+
 def _day_tickers(spark: SparkSession, d: str) -> DataFrame:
     """Per day and user: last price, change since the day's first price, traded value."""
     t = ticks(spark, d, "user_id").withColumn("day", F.date_trunc("day", "ts"))
     per_day = t.groupBy("day", "symbol").agg(
         F.max_by("price", "ts").alias("last"), F.min_by("price", "ts").alias("first"),
         F.sum(F.col("price") * F.col("qty")).alias("quote_volume"))
-    number = F.col("symbol").cast("int")
     return per_day.select(
-        F.col("day"), F.col("symbol").alias("user"),
-        F.concat(F.when(number % 17 == 0, "EUR").when(number % 19 == 0, "币").otherwise("U"),
-                 "symbol", F.when(number % 23 == 0, "/BTC").otherwise("/USDT")).alias("symbol"),
-        "last", ((F.col("last") / F.col("first") - 1) * 100).alias("pct"), "quote_volume")
+        F.col("day"), F.col("symbol").alias("user"), _pair().alias("symbol"), "last", ((F.col("last") / F.col("first") - 1) * 100).alias("pct"), "quote_volume")
 
 
 def q_universe_top10(spark, d):
@@ -109,19 +113,16 @@ def q_one_pick(spark, d):
 
 def q_signal_cycle(spark, d):
     """The whole cycle: tickers, exclusions, context, signals at the newest bar, decision."""
-    t = _day_tickers(spark, d).where(F.col("symbol").startswith("U")).withColumn(
-        "cycle_ts", F.col("day") + F.expr("INTERVAL 1 DAY"))
-    named = F.concat(F.lit("U"), "symbol", F.lit("/USDT"))
-    b = bars(spark, d, by="user_id").withColumn("symbol", named)
+    t = _day_tickers(spark, d).withColumn("cycle_ts", F.col("day") + F.expr("INTERVAL 1 DAY"))
+    b = bars(spark, d, by="user_id").withColumn("symbol", _pair())
     bench = bars(spark, d).where(F.col("symbol") == BENCHMARK)
     held = table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(
-        F.concat(F.lit("U"), F.col("c_custkey").cast("string"), F.lit("/USDT")).alias("symbol"))
+        _pair("c_custkey").alias("symbol"))
     balances = table(spark, d, "customer").select(
         F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(c_custkey AS INT))")
         .alias("cycle_ts"), (F.abs("c_acctbal") / 100).alias("free_cash"))
-    exits = table(spark, d, "events").where(F.col("event_type").isin("error", "view")).select(
-        F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("/USDT")).alias("symbol"),
-        F.col("ts").cast("timestamp").alias("ts"), F.expr(EXIT_SQL).alias("exit_code"))
+    exits = table(spark, d, "events").select(
+        _pair("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.expr(EXIT_SQL).alias("exit_code"))
     cents = F.round(F.col("last") * 100).cast("bigint")
     inputs = signal_cycle.CycleInputs(
         tickers=t.withColumn("lot_step", F.lit(0.01)), bars=b, hourly=bar_ops.coarsen(b),
@@ -213,16 +214,22 @@ QUERIES = {
 
 # --- SQL ---------------------------------------------------------------------------------------------
 
+
+
+def sql_pair(user: str) -> str:
+    n = f"CAST({user} AS INTEGER)"
+    return (f"(CASE WHEN {n} % 17 = 0 THEN 'EUR' WHEN {n} % 19 = 0 THEN '币' ELSE 'U' END || {user} "
+            f"|| CASE WHEN {n} % 23 = 0 THEN '/BTC' ELSE '/USDT' END)")
+
+
 DAY_SQL = f"""days AS (
-  SELECT day, symbol AS usr, CASE WHEN n % 17 = 0 THEN 'EUR' WHEN n % 19 = 0 THEN '币' ELSE 'U' END
-           || symbol || CASE WHEN n % 23 = 0 THEN '/BTC' ELSE '/USDT' END AS symbol, last,
+  SELECT day, symbol AS usr, {sql_pair('symbol')} AS symbol, last,
          (last / first - 1) * 100 AS pct, quote_volume
-  FROM (SELECT date_trunc('day', ts) AS day, symbol, CAST(symbol AS INTEGER) AS n,
-               arg_max(price, ts) AS last, arg_min(price, ts) AS first,
+  FROM (SELECT date_trunc('day', ts) AS day, symbol, arg_max(price, ts) AS last, arg_min(price, ts) AS first,
                sum(price * qty) AS quote_volume
-        FROM uticks GROUP BY 1, 2, 3)), top AS (
+        FROM uticks GROUP BY 1, 2)), top AS (
   SELECT *, row_number() OVER (PARTITION BY day ORDER BY pct DESC, symbol) AS rank FROM days
-  WHERE {{extra}} regexp_full_match(symbol, '[\\x00-\\x7F]*') AND symbol LIKE '%/USDT'
+  WHERE regexp_full_match(symbol, '[\\x00-\\x7F]*') AND symbol LIKE '%/USDT'
     AND len(list_filter({BANNED_SQL}, lambda b: contains(symbol, b))) = 0
     AND quote_volume > {CYCLE_RULES.min_quote_volume}
   QUALIFY rank <= 10)"""
@@ -258,7 +265,7 @@ def sql_hits(rules: Rules, ticks_name: str = "ticks") -> str:
     AND (msb OR eng) AND c >= ema_1h AND atr / c <= {rules.max_atr_ratio})"""
 
 
-CAND_SQL = f"""WITH {UTICKS}, {DAY_SQL.format(extra='')}, c AS (
+CAND_SQL = f"""WITH {UTICKS}, {DAY_SQL}, c AS (
   SELECT *, CAST(round(last * 100) AS BIGINT) AS cents, dayofyear(day) AS day_no FROM top), k AS (
   SELECT day AS cycle_ts, rank, symbol,
          CASE WHEN cents % 10 > 0 THEN 0.5::DOUBLE + (cents % 50) / 100.0::DOUBLE END AS ai,
@@ -275,8 +282,6 @@ CAND_SQL = f"""WITH {UTICKS}, {DAY_SQL.format(extra='')}, c AS (
               AS reason FROM p)"""
 MODEL_SQL = "(ai IS NULL OR ai < 0.65::DOUBLE OR coalesce(risk > 0.45::DOUBLE, false))"
 
-CYCLE_SQL = f"""{BENCH}, {UTICKS}, {DAY_SQL.format(extra="starts_with(symbol, 'U') AND")}, {{hits}}"""
-
 LABEL_SQL = f"""WITH {sql_ticks()}, {sql_bars()}, b AS (
   SELECT *, row_number() OVER {W} - 1 AS idx FROM bars {{upto}}), s AS (
   SELECT symbol, ts, price, CASE qty % 3 WHEN 0 THEN 'AI_RED' WHEN 1 THEN 'REJIM_YATAY'
@@ -311,7 +316,7 @@ THROTTLE_SQL = """RECURSIVE e AS (
   FROM fold f JOIN e ON e.symbol = f.symbol AND e.k = f.k + 1)"""
 
 ORACLES = {
-    "universe_top10": f"""WITH {UTICKS}, {DAY_SQL.format(extra='')}
+    "universe_top10": f"""WITH {UTICKS}, {DAY_SQL}
 SELECT epoch_us(day) AS cycle_ts, symbol, round(pct, 6) + 0.0 AS pct, rank FROM top""",
     "universe_text": """
 SELECT p_partkey, upper(p_name || '/USDT') AS symbol FROM part
@@ -375,33 +380,33 @@ WHERE n_bars = 16 GROUP BY 1""",
 }
 
 _USER_SERIES = f"""ubars AS (
-  SELECT 'U' || symbol || '/USDT' AS symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts,
+  SELECT {sql_pair('symbol')} AS symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts,
          arg_min(price, ts) AS o, max(price) AS h, min(price) AS l, arg_max(price, ts) AS c,
          sum(qty) AS v FROM uticks GROUP BY 1, 2), un AS (
   SELECT *, row_number() OVER {W} - 1 AS idx, lag(c) OVER {W} AS pc, lag(h) OVER {W} AS ph,
          lag(l) OVER {W} AS pl FROM ubars), d AS (
   SELECT *, greatest(c - pc, 0) AS gain, greatest(pc - c, 0) AS loss,
          greatest(h - l, abs(h - pc), abs(l - pc)) AS tr FROM un WHERE idx > 0), named AS (
-  SELECT 'U' || symbol || '/USDT' AS symbol, ts, price FROM uticks)"""
+  SELECT {sql_pair('symbol')} AS symbol, ts, price FROM uticks)"""
 _ADX_U = reduce(lambda s, p: s.replace(*p), [
     ("moves AS", "umoves AS"), ("fold AS", "ufold AS"), ("FROM fold", "FROM ufold"),
     ("JOIN moves", "JOIN umoves"), ("), adx AS", "), uadx AS")], sql_adx(100, "un"))
 _HITS_U = sql_hits(CYCLE_RULES, "named").replace("FROM n)", "FROM un)")
-_EXITS_U = f"""ex AS (
-  SELECT 'U' || user_id || '/USDT' AS symbol, ts,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k
-  FROM events WHERE event_type IN ('error', 'view'))"""
+_EXITS_U = reduce(lambda s, p: s.replace(*p), [
+    ("RECURSIVE ", ""), ("fold", "streaks"), ("CAST(user_id AS VARCHAR)", sql_pair("user_id"))],
+    STREAK_SQL)
 
 ORACLES["signal_cycle"] = f"""{BENCH}, {UTICKS},
-{DAY_SQL.format(extra="starts_with(symbol, 'U') AND")}, {_USER_SERIES}, {_ADX_U}, {_HITS_U},
+{DAY_SQL}, {_USER_SERIES}, {_ADX_U}, {_HITS_U},
 {_EXITS_U}, cand AS (
   SELECT day + INTERVAL 1 DAY AS cycle_ts, rank, symbol, last FROM top
-  WHERE symbol NOT IN (SELECT 'U' || c_custkey || '/USDT' FROM customer WHERE c_acctbal < 0)), c1 AS (
-  SELECT c.*, e.ts AS last_exit, coalesce(e.k % 2, 0) AS stop_count
-  FROM cand c ASOF LEFT JOIN ex e ON c.symbol = e.symbol AND c.cycle_ts >= e.ts), c2 AS (
-  SELECT c1.*, e.ts AS listed FROM c1 ASOF LEFT JOIN (SELECT * FROM ex WHERE k % 2 = 0) e
+  WHERE symbol NOT IN (SELECT {sql_pair('c_custkey')} FROM customer WHERE c_acctbal < 0)), c1 AS (
+  SELECT c.*, e.ts AS last_exit, coalesce(e.streak, 0) AS stop_count
+  FROM cand c ASOF LEFT JOIN (SELECT * FROM streaks WHERE exit_code <> 'DUST') e ON c.symbol = e.symbol AND c.cycle_ts >= e.ts), c2 AS (
+  SELECT c1.*, e.ts AS listed FROM c1 ASOF LEFT JOIN (SELECT * FROM streaks WHERE blacklisted) e
   ON c1.symbol = e.symbol AND c1.cycle_ts >= e.ts), c3 AS (
-  SELECT c2.*, btc_ok, regime, btc_adx FROM c2 ASOF JOIN ctx ON c2.cycle_ts >= ctx.ts
+  SELECT c2.*, btc_ok, regime, btc_adx FROM c2 ASOF JOIN ctx
+  ON c2.cycle_ts >= ctx.ts + INTERVAL 15 MINUTE
   WHERE NOT coalesce(last_exit + INTERVAL 1 HOUR > cycle_ts, false)
     AND NOT coalesce(listed + INTERVAL 24 HOUR > cycle_ts, false)), c4 AS (
   SELECT c3.*, b.ts AS bar_ts FROM c3 ASOF JOIN (SELECT *, ts + INTERVAL 15 MINUTE AS known FROM ubars) b

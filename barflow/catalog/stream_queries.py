@@ -84,7 +84,7 @@ def q_stream_exits(spark, d):
     legs = drain(keyed.stream_exits(_restream(events, "exit_events"), EXIT_RULES), "stream_exits")
     return legs.select("position_id", "symbol", micros(), "exit_code",
                        *rounded("price", "cost", "net", "net_pct", "stop_ratio"),
-                       F.round("age_h", 1).alias("age_h"), *flags("is_final"))
+                       "age_h", *flags("is_final"))
 
 
 def q_stream_labels(spark, d):

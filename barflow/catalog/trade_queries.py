@@ -46,11 +46,10 @@ def q_legs_to_positions(spark, d):
 
 def q_class_balance(spark, d):
     df = training.with_targets(positions.collapse_legs(_legs(spark, d)))
-    n, pos = F.count(F.lit(1)), F.sum("is_loss")
-    return df.groupBy("signal").agg(
-        n.alias("n"), pos.alias("n_loss"), F.sum("is_profit").alias("n_profit"),
-        F.count_distinct("is_loss").alias("classes"),
-        F.round(F.when(pos > 0, (n - pos) / pos).otherwise(1.0), 6).alias("weight"))
+    counts = df.groupBy("signal").agg(*training.class_measures("is_loss"),
+                                      F.sum("is_profit").alias("n_profit"))
+    return counts.select("signal", "n", F.col("pos").alias("n_loss"), "n_profit", "classes",
+                         *rounded("weight"))
 
 
 def q_trade_pnl(spark, d):

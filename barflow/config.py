@@ -43,6 +43,7 @@ class Rules:
     min_notional: float = 5.1
     min_quote_volume: float = 12_000_000.0
     dust_value: float = 1.0
+    large_cost: float = 30.0
     orphan_value: float = 10.0
     top_n: int = 10
 

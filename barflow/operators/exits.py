@@ -185,7 +185,8 @@ def position_polls(entries: DataFrame, polls: DataFrame, bars_known: DataFrame |
     besides the price.
 
     ``entries``: symbol and POSITION; a symbol holds one position at a time, so a poll belongs to
-    at most one. ``bars_known``: symbol, known_at, rsi_25, vol_faded. ``context``: ts, regime.
+    at most one. ``bars_known``: symbol, known_at, rsi_25, vol_faded. ``context``: regime and,
+    as ts, the time from which it is known.
     """
     rights = [series.Right(entries, POSITION, "entry_ts", strict=True)]
     if bars_known is not None:

@@ -79,10 +79,13 @@ def with_ema_distance(df: DataFrame, ema: str, out: str, price: str = "c") -> Da
 
 def hourly_trend(hourly: DataFrame, lookback: int = 50, n: int = 20) -> DataFrame:
     """Per hourly bar: EMA over the slice that ends there (``ema_1h``) and, for slices whose last
-    bar is still open, the EMA over one bar less (``ema_1h_before``)."""
+    bar is still open, the EMA over one bar less (``ema_1h_before``). With n - 1 bars that EMA has no
+    value yet, but with the open bar there are n: ``first_sum`` adds up the n - 1."""
     df = ind.with_smooths(prepared(hourly, lookback), [
         ind.ema("ema_1h", "c", n, lookback), ind.ema("ema_1h_before", "c", n, lookback - 1)])
-    return series.drop_halo(df).select("symbol", "ts", "ema_1h", "ema_1h_before")
+    first = F.sum("c").over(ind.bar_window().rowsBetween(-(n - 2), 0))
+    df = df.withColumn("first_sum", F.when(F.col("idx") == n - 2, first))
+    return series.drop_halo(df).select("symbol", "ts", "ema_1h", "ema_1h_before", "first_sum")
 
 
 def with_hourly_trend(bars: DataFrame, trend: DataFrame, mode: str = "closed",
@@ -90,12 +93,13 @@ def with_hourly_trend(bars: DataFrame, trend: DataFrame, mode: str = "closed",
     """Attach the hourly EMA(20) known at the close of each 15-minute bar.
 
     ``closed``: the last hour that has ended by then. ``live``: the running hour counts as a bar
-    whose close is the current price, so its EMA is one step on from the hours before it.
+    whose close is the current price, so its EMA is one step on from the hours before it, or the mean
+    of the first n hours, itself the last of them.
     """
     closes = bars.withColumn("_at", F.col("ts") + F.expr("INTERVAL 15 MINUTES"))
     if mode == "closed":
         known = trend.withColumn("known_at", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-        return series.asof(closes, known.drop("ts", "ema_1h_before"), ["ema_1h"],
+        return series.asof(closes, known.select("symbol", "known_at", "ema_1h"), ["ema_1h"],
                            left_ts="_at", right_ts="known_at").drop("_at")
     if mode != "live":
         raise ValueError("mode is 'closed' or 'live'")
@@ -103,9 +107,10 @@ def with_hourly_trend(bars: DataFrame, trend: DataFrame, mode: str = "closed",
     known = trend.withColumn("known_at", F.col("ts") + F.expr("INTERVAL 1 HOUR")).drop("ts")
     alpha = 2.0 / (n + 1)
     return (
-        series.asof(closes.drop("_at"), known, ["ema_1h_before"], right_ts="known_at")
-        .withColumn("ema_1h", F.col("c") * alpha + F.col("ema_1h_before") * (1 - alpha))
-        .drop("ema_1h_before")
+        series.asof(closes.drop("_at"), known, ["ema_1h_before", "first_sum"], right_ts="known_at")
+        .withColumn("ema_1h", F.coalesce(F.col("c") * alpha + F.col("ema_1h_before") * (1 - alpha),
+                                         (F.col("first_sum") + F.col("c")) / n))
+        .drop("ema_1h_before", "first_sum")
     )
 
 

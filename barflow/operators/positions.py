@@ -42,7 +42,7 @@ def mark_to_market(positions: DataFrame, tickers: DataFrame, as_of: str,
         age.alias("age_h"),
         (F.coalesce("max_ratio", F.lit(0.0)) * 100).alias("max_pct"),
         F.coalesce("half_sold", F.lit(False)).alias("half_sold"),
-        (F.col("cost") > 30).alias("large"),
+        (F.col("cost") > rules.large_cost).alias("large"),
     )
 
 

@@ -54,6 +54,11 @@ def with_regime(df: DataFrame, rules: Rules = Rules(), adx: str = "btc_adx") ->
         .otherwise(F.concat_ws(" | ", state, "regime")))
 
 
+def known_context(context: DataFrame, width: str = "15 MINUTES") -> DataFrame:
+    """The context with, as ``ts``, the close of each row's bar: nothing of it is known before."""
+    return context.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {width}"))
+
+
 def market_context(bars: DataFrame, rules: Rules = Rules(),
                    lookback: int = BENCH_LOOKBACK) -> DataFrame:
     """The context table of one benchmark series, one row per bar."""

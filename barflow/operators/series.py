@@ -170,21 +170,24 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], key: str | None
 
 def asof_grid(left: DataFrame, right: DataFrame, columns: list[str], left_ts: str = TS,
               step_s: int = 900) -> DataFrame:
-    """Backward as-of join against one keyless series whose times lie on a grid, as an equi-join.
+    """Backward as-of join against one keyless series on a time grid, as an equi-join.
 
     The series is filled to one row per grid slot (its size is the calendar's, not the data's), so
     the left table is read once and keeps its partitioning if the filled series is small enough to
-    be broadcast at run time. Left rows past the series' end take its last slot.
+    be broadcast at run time. Left rows past the series' end take its last slot. Series rows between two
+    slots count from the next slot on; of several rows in a slot the last counts.
     """
-    slots = right.selectExpr(f"unix_seconds(ts) div {step_s} AS _slot", *columns)
+    micros = step_s * 1_000_000
+    slots = right.selectExpr(f"(unix_micros(ts) + {micros - 1}) div {micros} AS _slot",
+                             f"struct({', '.join(columns)}) AS _v", "ts") \
+        .groupBy("_slot").agg(F.max_by("_v", "ts").alias("_v"))
     ends = slots.agg(F.min("_slot").alias("lo"), F.max("_slot").alias("hi")).first()
     if ends.hi is None:
         return left.selectExpr("*", *[f"CAST(NULL AS {right.schema[c].dataType.simpleString()}) "
                                       f"AS {c}" for c in columns])
     every = left.sparkSession.range(ends.lo, ends.hi + 1).withColumnRenamed("id", "_slot")
     part = "_slot div 2880"
-    filled = every.join(slots.selectExpr("_slot", f"struct({', '.join(columns)}) AS _v"), "_slot",
-                        "left").selectExpr("*", f"{part} AS _part")
+    filled = every.join(slots, "_slot", "left").selectExpr("*", f"{part} AS _part")
     filled = running(filled, {"_at": ("last", "_v")}, [], "_part", ["_slot"]).select(
         "_slot", "_at.*")
     slot = f"least(unix_seconds({left_ts}) div {step_s}, {ends.hi})"

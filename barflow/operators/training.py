@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.config import Rules
@@ -27,14 +27,16 @@ def with_targets(positions: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def class_counts(df: DataFrame, target: str):
-    """(rows, positives, distinct classes), one small row on the driver."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(target), F.lit(0)).alias("pos"),
-                  F.count_distinct(target).alias("classes")).first()
+    """(rows, positives, distinct classes, weight of the positives), one small row on the driver."""
+    return df.agg(*class_measures(target)).first()
 
 
-def positive_weight(n: int, pos: int) -> float:
-    """Weight of the positive class: negatives per positive, 1 without positives."""
-    return (n - pos) / pos if pos > 0 else 1.0
+def class_measures(target: str) -> list[Column]:
+    """Aggregates of ``class_counts``; a positive weighs as the negatives per positive, 1 without any."""
+    n, pos = F.count(F.lit(1)), F.coalesce(F.sum(target), F.lit(0))
+    weight = F.when(pos > 0, (n - pos) / pos).otherwise(1.0)
+    return [n.alias("n"), pos.alias("pos"), F.count_distinct(target).alias("classes"),
+            weight.alias("weight")]
 
 
 def pipeline(features: list[str], target: str, trees: int = 100) -> Pipeline:
@@ -45,7 +47,7 @@ def pipeline(features: list[str], target: str, trees: int = 100) -> Pipeline:
 
 
 def fit(df: DataFrame, features: list[str], target: str, counts, trees: int = 100) -> PipelineModel:
-    weight = F.when(F.col(target) == 1, positive_weight(counts.n, counts.pos)).otherwise(1.0)
+    weight = F.when(F.col(target) == 1, counts.weight).otherwise(1.0)
     shared_dir(df.sparkSession)  # the booster checkpoints its lineage there
     return pipeline(features, target, trees).fit(df.withColumn("weight", weight))
 

@@ -22,16 +22,21 @@ def label_batch(signals: DataFrame, bars: DataFrame, mark_ms: int, as_of_ms: int
 
 
 def run(spark: SparkSession, signals: DataFrame, bars: DataFrame, target: str, mark_path: str,
-        as_of_ms: int, rules: Rules = Rules()) -> dict:
+        as_of_ms: int, rules: Rules = Rules(), rejects: str | None = None) -> dict:
     """Label, append (only rows the target does not hold), then advance the mark.
 
-    A failure between the two steps repeats the labels, which the append drops again.
+    Rows that never get a label (BAD, GIVE_UP) go with their status to ``rejects``, by default beside
+    the target, before the mark passes them. A failure between the steps repeats them, and the
+    appends drop what is there.
     """
     mark = sinks.read_mark(spark, mark_path)
     result = stored(label_batch(signals, bars, mark, as_of_ms, sinks.read_table(spark, target),
                                 rules), "labels")
     done = result.where(F.col("status") == "LABELED").drop("status", "n_bars")
     sinks.append_new(done, target, ["ts_ms", "symbol"])
+    never = result.where(F.col("status").isin("BAD", "GIVE_UP")).select(*signals.columns, "status",
+                                                                        "n_bars")
+    sinks.append_new(never, rejects or f"{target}_rejects", ["ts_ms", "symbol"])
     advanced = labeling.next_mark(result, mark)
     sinks.write_mark(spark, mark_path, advanced)
     counts = {r.status: r.n for r in result.groupBy("status").agg(

@@ -11,7 +11,7 @@ from barflow import schemas
 from barflow.config import Rules
 from barflow.functions import book
 from barflow.functions.values import signal_code
-from barflow.operators import decide, positions, series, signals, training, universe
+from barflow.operators import decide, positions, regime, series, signals, training, universe
 from barflow.operators.throttle import throttle
 from barflow.session import stored
 from barflow.sources.logs import filed
@@ -20,7 +20,7 @@ from barflow.sources.logs import filed
 @dataclass
 class CycleInputs:
     """Tables of the cycle. ``tickers``: cycle_ts, symbol, last, pct, quote_volume, lot_step;
-    ``context``: ts, btc_ok, regime, ...; ``balances``: cycle_ts, free_cash; ``books``: cycle_ts,
+    ``context``: ts (its bar's start), btc_ok, regime, ...; ``balances``: cycle_ts, free_cash; ``books``: cycle_ts,
     symbol, bids, asks; ``held``: symbol; ``exits``: symbol, ts, exit_code."""
 
     tickers: DataFrame
@@ -46,6 +46,7 @@ def candidates_with_features(inputs: CycleInputs, rules: Rules = Rules(),
     """Top symbols of each cycle that pass exclusions and rules, with every feature.
 
     The ranking cuts each cycle to a few symbols first; exclusions follow; features join last.
+    In closed mode a cycle reads no bar, of its symbols or of the benchmark, that is still open.
     """
     ranked = universe.top_gainers(inputs.tickers, rules)
     ranked = ranked.join(inputs.held.select("symbol").distinct(), "symbol", "left_anti")
@@ -54,6 +55,8 @@ def candidates_with_features(inputs: CycleInputs, rules: Rules = Rules(),
     ranked = ranked.where(~F.col("cooling") & ~F.col("blacklisted"))
     context = inputs.context.select("ts", "btc_ok", "regime", "btc_1h_change", "btc_ema_distance",
                                     "btc_adx")
+    if mode == "closed":
+        context = regime.known_context(context)
     ranked = series.asof_grid(ranked, stored(context, "context"), context.columns[1:], "cycle_ts")
     ranked = stored(ranked.where(F.coalesce("btc_ok", F.lit(False))), "ranked")
     found = signals.find_signals(inputs.bars, inputs.hourly, rules, mode)

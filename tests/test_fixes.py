@@ -59,3 +59,42 @@ def test_carries_end_with_the_last_left_row(spark):
     assert got.count() == 1
     past = [r for r in rows if r[0] == "A" and r[1] <= T0 + dt.timedelta(hours=3)]
     assert got.first().c == (max(past, key=lambda r: r[1])[5] if past else None)
+
+
+def test_context_is_known_at_the_close(spark):
+    """A cycle at a bar's start reads the bar before it: the open bar's values change nothing."""
+    from barflow.operators import regime, series
+
+    for open_bar in (1.0, 99.0):
+        context = spark.createDataFrame(
+            [(T0, 5.0), (T0 + dt.timedelta(minutes=15), open_bar)], "ts timestamp, btc_adx double")
+        cycle = spark.createDataFrame([(T0 + dt.timedelta(minutes=15),)], "cycle_ts timestamp")
+        got = series.asof_grid(cycle, regime.known_context(context), ["btc_adx"], "cycle_ts").first()
+        assert got.btc_adx == 5.0
+
+
+def test_grid_of_ragged_times(spark):
+    """Rows inside a slot count from the next slot on, the last one of several."""
+    from barflow.operators import series
+
+    at = [T0 + dt.timedelta(seconds=s) for s in (0, 100, 200, 1000)]
+    grid = spark.createDataFrame([(t, i) for i, t in enumerate(at)], "ts timestamp, v int")
+    left = spark.createDataFrame([(T0 + dt.timedelta(seconds=s),) for s in (0, 150, 899, 900, 1800)],
+                                 "ts timestamp")
+    got = {r.ts: r.v for r in series.asof_grid(left, grid, ["v"]).collect()}
+    assert [got[t] for t in sorted(got)] == [0, 0, 0, 2, 3]
+
+
+def test_live_hour_average_from_the_twentieth_hour(spark):
+    from barflow.operators import features
+    from barflow.operators.bars import coarsen
+
+    rows = [("a", T0 + dt.timedelta(hours=h), 1.0, 1.0, 1.0, float(h * h % 7), 1.0) for h in range(22)]
+    bars = bars_frame(spark, rows)
+    got = {r.ts: r.ema_1h for r in features.with_hourly_trend(
+        bars, features.hourly_trend(coarsen(bars)), mode="live").collect()}
+    closes = [r[5] for r in rows]
+    mean = sum(closes[:20]) / 20
+    want = [None] * 19 + [mean, mean + (closes[20] - mean) * 2 / 21]
+    assert [got[r[1]] for r in rows[:19]] == want[:19]
+    assert all(abs(got[rows[i][1]] - want[i]) < 1e-9 for i in (19, 20))

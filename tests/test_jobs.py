@@ -50,7 +50,9 @@ def test_gate_rejects_noise_and_one_class(spark):
     assert model is None and report["status"] == "BELOW_GATE"
     one = df.selectExpr(*[("0 AS is_loss" if c == "is_loss" else c) for c in df.columns])
     assert training.train_gated(one, training.RISK_FEATURES, "is_loss")[1]["status"] == "ONE_CLASS"
-    assert training.positive_weight(10, 4) == 1.5 and training.positive_weight(10, 0) == 1.0
+    ten = spark.range(10).selectExpr("CAST(id < 4 AS INT) AS some", "0 AS none")
+    assert training.class_counts(ten, "some").weight == 1.5
+    assert training.class_counts(ten, "none").weight == 1.0
 
 
 def test_training_job(spark, tmp_path):

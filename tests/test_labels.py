@@ -102,4 +102,8 @@ def test_job_is_repeatable(spark, tmp_path):
     last = labeling_job.run(spark, signals, bars, target, mark, ms + 60 * 3_600_000)
     assert last["GIVE_UP"] == 1 and last["mark"] == ms
     assert spark.read.parquet(target).count() == 5
+    bad = spark.createDataFrame([("z", T0, None, ms)], "symbol string, ts timestamp, price double, ts_ms bigint")
+    labeling_job.run(spark, bad, bars, target, str(tmp_path / "other"), ms + 60 * 3_600_000)
+    kept = spark.read.parquet(f"{target}_rejects").collect()
+    assert sorted(r.status for r in kept) == ["BAD", "GIVE_UP"]
     assert Rules().label_bars == 16

@@ -11,7 +11,8 @@ p_new is an absolute-discount word model whose held-back mass is spelled byte by
 before (up to four, hashed, backing off to two), so every text has a probability; its counts come
 from all training texts. Windows of 2 x STEP tokens
 overlap by STEP: each token is scored once, in the later half of its window, with at least STEP
-tokens of context where the text has them. Windows are stacked and masked in batches.
+tokens of context where the text has them. Windows are stacked and masked in batches, in which neighbours
+share the vectors and keys of the block they overlap in.
 
 Training goes over all training texts once: every task starts from the same seeded parameters
 and ascends the likelihood of its own windows (Adagrad); the parameters are then averaged, weighted by
@@ -261,7 +262,11 @@ def spelled(words: DataFrame, counts: DataFrame) -> DataFrame:
 # --- the model ------------------------------------------------------------------------------------
 
 class Attention:
-    """Parameters, likelihood and gradient of windows of tokens."""
+    """Parameters, likelihood and gradient of runs of blocks of STEP tokens.
+
+    A window is a block and the one before it; neighbouring windows share the vectors and keys of a
+    block. A run starts with the two tokens before its first block, which is context only.
+    """
 
     def __init__(self):
         import numpy as np
@@ -270,7 +275,8 @@ class Attention:
         eye = np.eye(WIDTH, dtype=np.float32)
         self.p = {
             "emb": rng.normal(0, 0.5, (2 * BUCKETS, WIDTH)).astype(np.float32),
-            "q1": eye.copy(), "k1": eye.copy(), "q2": 0.5 * eye, "k2": 0.5 * eye,
+            # from the vectors of the last two tokens to a query and a key
+            "mix": np.block([[eye, eye], [0.5 * eye, 0.5 * eye]]).astype(np.float32),
             "dist": np.zeros(2 * STEP, np.float32), "sentinel": np.full(1, 8.0, np.float32)}
         self.square = {k: np.full_like(v, 1e-5) for k, v in self.p.items()}
         self.gap = STEP + np.arange(STEP)[:, None] - np.arange(2 * STEP)[None, :]
@@ -290,100 +296,108 @@ class Attention:
         return self
 
     def forward(self, tok, first, last, new):
-        """tok, first, last: (B, 2 STEP), tok -1 where there is none; new: (B, STEP) chance to draw.
+        """tok, first, last: a run (-1 where there is no token); new: (windows, STEP) chance to draw.
 
         Equal tokens are few, so their attention is gathered rather than multiplied through.
         """
         import numpy as np
 
-        p = self.p
-        there = tok >= 0
+        p, there = self.p, tok >= 0
         x = p["emb"][first]
         x += p["emb"][last]
-        if not there.all():
-            x *= there[..., None]
-        lag1, lag2 = np.zeros_like(x), np.zeros_like(x)
-        lag1[:, 1:], lag2[:, 2:] = x[:, :-1], x[:, :-2]
-        q = lag1[:, STEP:] @ p["q1"]
-        q += lag2[:, STEP:] @ p["q2"]
-        k = lag1 @ p["k1"]
-        k += lag2 @ p["k2"]
+        x *= there[:, None]
+        lags = np.concatenate([x[1:-1], x[:-2]], axis=1)
+        both = lags @ p["mix"]
+        q = both[STEP:, :WIDTH].reshape(-1, STEP, WIDTH)
+        k = overlapping(both[:, WIDTH:])
+        seen = overlapping(tok[2:])
         a = q @ k.transpose(0, 2, 1)
         a += np.where(self.before, p["dist"][self.gap], np.float32(-1e9))
-        if not there.all():
-            a += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
+        a += np.where(seen < 0, np.float32(-1e9), np.float32(0))[:, None, :]
         top = np.maximum(a.max(axis=2), p["sentinel"][0])
         a -= top[..., None]
         np.exp(a, out=a)
         sent = np.exp(p["sentinel"][0] - top)
         z = a.sum(axis=2) + sent
         sent = sent / z
-        at = np.flatnonzero(tok[:, None, :] == tok[:, STEP:, None])
+        own = seen[:, STEP:]
+        at = np.flatnonzero(seen[:, None, :] == np.where(own < 0, -2, own)[:, :, None])
         row = at // (2 * STEP)
         copied = np.bincount(row, a.ravel()[at], z.size).reshape(z.shape) / z
-        return lag1, lag2, q, k, a, z, sent, (at, row), np.maximum(sent * new + copied, 1e-300)
+        return (x, lags, both, q, k, a, z, sent, (at, row),
+                np.maximum(sent * new + copied, 1e-300))
 
     def train(self, tok, first, last, new):
         import numpy as np
 
-        lag1, lag2, q, k, g, z, sent, (at, row), chance = self.forward(tok, first, last, new)
-        live = (tok[:, STEP:] >= 0)
+        x, lags, both, q, k, g, z, sent, (at, row), chance = self.forward(tok, first, last, new)
+        there = tok >= 0
+        live = there[2 + STEP:].reshape(-1, STEP)
         n = max(1, int(live.sum()))
         inv = np.where(live, 1.0 / chance, 0.0)
         own = live.astype(np.float32)
         # d log p / d score: attention x (is it the token) / p, less the attention
         plus = (g.ravel()[at] / z.ravel()[row] * inv.ravel()[row]).astype(np.float32)
-        g *= (-own / z).astype(np.float32)[..., None]
+        g *= (-own / z)[..., None]
         g.ravel()[at] += plus
         grad = {"sentinel": np.array([(sent * (new * inv - own)).sum()], np.float32)}
         grad["dist"] = np.bincount(self.gap.ravel(), np.where(self.before, g.sum(axis=0), 0).ravel(),
                                    2 * STEP).astype(np.float32)
-        dq, dk = g @ k, g.transpose(0, 2, 1) @ q
-        p, wide = self.p, (-1, WIDTH)
-        half1, half2 = lag1[:, STEP:].reshape(wide), lag2[:, STEP:].reshape(wide)
-        fq, fk = dq.reshape(wide), dk.reshape(wide)
-        grad["q1"], grad["q2"] = half1.T @ fq, half2.T @ fq
-        grad["k1"], grad["k2"] = lag1.reshape(wide).T @ fk, lag2.reshape(wide).T @ fk
-        d1, d2 = dk @ p["k1"].T, dk @ p["k2"].T
-        d1[:, STEP:] += dq @ p["q1"].T
-        d2[:, STEP:] += dq @ p["q2"].T
-        dx = np.zeros_like(d1)
-        dx[:, :-1] += d1[:, 1:]
-        dx[:, :-2] += d2[:, 2:]
-        dx = (dx * (tok >= 0)[..., None]).reshape(wide)
-        rows, back = np.unique(np.concatenate([first.ravel(), last.ravel()]), return_inverse=True)
-        both = np.concatenate([dx, dx])
-        order = np.argsort(back, kind="stable")
-        edges = np.searchsorted(back[order], np.arange(len(rows)))
-        demb = np.add.reduceat(both[order], edges, axis=0)
+        dk = g.transpose(0, 2, 1) @ q
+        d = np.zeros_like(both)
+        d[STEP:, :WIDTH] = (g @ k).reshape(-1, WIDTH)
+        d[:-STEP, WIDTH:] = dk[:, :STEP].reshape(-1, WIDTH)
+        d[STEP:, WIDTH:] += dk[:, STEP:].reshape(-1, WIDTH)
+        grad["mix"] = lags.T @ d
+        p = self.p
+        dlags = d @ p["mix"].T
+        dx = np.zeros_like(x)
+        dx[1:-1] = dlags[:, :WIDTH]
+        dx[:-2] += dlags[:, WIDTH:]
+        dx *= there[:, None]
+        met = np.zeros(2 * BUCKETS, bool)
+        met[first] = met[last] = True
+        rows = np.flatnonzero(met)
+        place = (np.cumsum(met) - 1) * WIDTH
+        each, dx = np.arange(WIDTH), dx.ravel()
+        demb = np.bincount((place[first][:, None] + each).ravel(), dx, len(rows) * WIDTH)
+        demb += np.bincount((place[last][:, None] + each).ravel(), dx, len(rows) * WIDTH)
+        demb = demb.reshape(-1, WIDTH)
         for name, value in grad.items():
             value = value / n
             self.square[name] += value * value
             p[name] += RATE * value / np.sqrt(self.square[name])
         demb = (demb / n).astype(np.float32)
-        self.square["emb"][rows] += demb * demb
-        p["emb"][rows] += RATE * demb / np.sqrt(self.square["emb"][rows])
+        square = self.square["emb"][rows] + demb * demb
+        self.square["emb"][rows] = square
+        p["emb"][rows] += RATE * demb / np.sqrt(square)
         return float(np.log(chance[live]).sum()), n
 
 
-def windows(sizes, words):
-    """Token numbers of all texts' windows (-1: none) and each window's text."""
+def overlapping(rows):
+    """Rows of consecutive blocks as windows of two blocks, each STEP rows on from the last (a view)."""
+    import numpy as np
+
+    step = rows.strides[0]
+    return np.lib.stride_tricks.as_strided(
+        rows, (len(rows) // STEP - 1, 2 * STEP, *rows.shape[1:]), (STEP * step, *rows.strides),
+        writeable=False)
+
+
+def blocks_of(sizes, words):
+    """Blocks of token numbers (-1: none) and each block's text. Every text has an empty block in
+    front; one more comes before all."""
     import numpy as np
 
     sizes = np.asarray(sizes, np.int64)
     tokens = sizes + 1  # and the end, number 0
-    blocks = -(-tokens // STEP) + 1  # an empty block in front
-    first = np.cumsum(blocks) - blocks
-    padded = np.full(int(blocks.sum()) * STEP, -1, np.int32)
+    blocks = -(-tokens // STEP) + 1
+    first = 1 + np.cumsum(blocks) - blocks
+    padded = np.full((1 + int(blocks.sum())) * STEP, -1, np.int32)
     start = (first + 1) * STEP
     padded[np.arange(len(words)) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)] = words
     padded[start + sizes] = 0
-    padded = padded.reshape(-1, STEP)
-    doc = np.repeat(np.arange(len(sizes)), blocks)
-    later = np.ones(len(padded), bool)
-    later[first] = False
-    at = np.flatnonzero(later)
-    return np.concatenate([padded[at - 1], padded[at]], axis=1), doc[at]
+    return padded.reshape(-1, STEP), np.r_[0, np.repeat(np.arange(len(sizes)), blocks)]
 
 
 class Chunk:
@@ -409,16 +423,22 @@ class Chunk:
         else:
             self.new = spell
         self.words = words
-        self.tok, self.doc = windows(self.sizes, words)
+        self.blocks, self.doc = blocks_of(self.sizes, words)
 
-    def batches(self, keep=None, size: int = BATCH):
+    def runs(self, keep=None, size: int = BATCH):
+        """Runs of at most ``size`` windows over all texts, or those of ``keep``: the text of each
+        window, and what the model takes."""
         import numpy as np
 
-        rows = np.arange(len(self.tok)) if keep is None else np.flatnonzero(keep[self.doc])
-        for at in range(0, len(rows), size):
-            own = rows[at:at + size]
-            tok = self.tok[own]
-            yield own, tok, self.first[tok], self.last[tok], self.new[tok[:, STEP:]]
+        blocks, doc = self.blocks, self.doc
+        if keep is not None:
+            own = np.flatnonzero(np.r_[True, keep[doc[1:]]])
+            blocks, doc = blocks[own], doc[own]
+        flat = blocks.ravel()
+        for at in range(2, len(blocks), size):
+            upto = min(at + size, len(blocks))
+            tok = flat[(at - 1) * STEP - 2:upto * STEP]
+            yield (doc[at:upto], tok, self.first[tok], self.last[tok], self.new[blocks[at:upto]])
 
 
 def rows_of(batch):
@@ -438,7 +458,7 @@ def trained(chunks: DataFrame, stats) -> DataFrame:
         for batch in batches:
             for row in rows_of(batch):
                 chunk = Chunk(row, *stats)
-                for _, tok, first, last, new in chunk.batches(~chunk.held, TRAIN_BATCH):
+                for _, tok, first, last, new in chunk.runs(~chunk.held, TRAIN_BATCH):
                     tokens += model.train(tok, first, last, new)[1]
         if tokens:
             parts = np.array_split(model.flat().astype(np.float64) * tokens, BLOCKS)
@@ -505,10 +525,11 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held=
             for at, row in enumerate(rows_of(batch.drop_columns("ids"))):
                 chunk = Chunk(row, *stats)
                 total = np.zeros(len(chunk.sizes))
-                for own, tok, first, last, new in chunk.batches():
+                for own, tok, first, last, new in chunk.runs():
                     chance = model.forward(tok, first, last, new)[-1]
-                    logs = np.where(tok[:, STEP:] >= 0, np.log10(chance), 0.0).sum(axis=1)
-                    total += np.bincount(chunk.doc[own], logs, len(total))
+                    live = tok[2 + STEP:].reshape(-1, STEP) >= 0
+                    logs = np.where(live, np.log10(chance), 0.0).sum(axis=1)
+                    total += np.bincount(own, logs, len(total))
                 draw = np.log10(np.maximum(chunk.new, 1e-300))
                 base = np.log10((chunk.c + 0.1) / (n + 0.1 * (v + 1)))
                 doc = np.repeat(np.arange(len(total)), chunk.sizes)

@@ -117,20 +117,55 @@ def test_attention_gradient_and_causality():
 
     model, step = language_model.Attention(), language_model.STEP
     rng = np.random.default_rng(0)
-    tok = rng.integers(0, 12, (3, 2 * step)).astype(np.int32)
-    tok[0, :step] = -1
+    tok = np.concatenate([np.full(2 + step, -1), rng.integers(0, 12, 3 * step)]).astype(np.int32)
     new = rng.uniform(0.01, 0.1, (3, step))
     chance = model.forward(tok, tok, tok + language_model.BUCKETS, new)[-1]
     later = tok.copy()
-    later[:, -1] = 99
+    later[-5] = 99
     again = model.forward(later, later, later + language_model.BUCKETS, new)[-1]
-    assert np.allclose(chance[:, :-1], again[:, :-1])  # a token says nothing of those before it
+    # a token says nothing of those before it
+    assert np.allclose(chance.ravel()[:-5], again.ravel()[:-5])
+    # a run gives what its parts give
+    part = model.forward(tok[2 * step:], tok[2 * step:], tok[2 * step:] + language_model.BUCKETS, new[2:])[-1]
+    assert np.allclose(chance[2:], part)
     before = np.log(chance).sum()
     for _ in range(30):
         model.train(tok, tok, tok + language_model.BUCKETS, new)
     assert np.log(model.forward(tok, tok, tok + language_model.BUCKETS, new)[-1]).sum() > before
 
 
+def test_attention_gradient_by_differences():
+    import numpy as np
+
+    step = language_model.STEP
+    rng = np.random.default_rng(3)
+    tok = np.concatenate([np.full(2 + step, -1), rng.integers(0, 9, 2 * step)]).astype(np.int32)
+    tok[-7:] = -1
+    args = tok, tok, tok + language_model.BUCKETS, rng.uniform(0.01, 0.1, (2, step))
+
+    def total(model):
+        return np.log(model.forward(*args)[-1][tok[2 + step:].reshape(-1, step) >= 0]).sum()
+
+    model = language_model.Attention()
+    for v in model.p.values():  # with more digits than in use
+        v += rng.normal(0, 0.05, v.shape).astype(np.float32)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    # with squares of a very large start, a step is RATE x gradient / (n x 1e3)
+    moved = language_model.Attention()
+    moved.p = {k: v.copy() for k, v in model.p.items()}
+    moved.square = {k: np.full(v.shape, 1e6) for k, v in model.p.items()}
+    _, n = moved.train(*args)
+    for name in model.p:
+        slope = (moved.p[name] - model.p[name]) * n * 1e3 / language_model.RATE
+        way = rng.normal(size=slope.shape) * (slope != 0)
+        ends = []
+        for sign in (1, -1):
+            near = language_model.Attention()
+            near.p = {k: v + sign * 1e-5 * way if k == name else v for k, v in model.p.items()}
+            ends.append(total(near))
+        assert np.isclose((ends[0] - ends[1]) / 2e-5, (slope * way).sum(), rtol=2e-2, atol=1e-2), name
+
+
 def test_quality_keeps_one_of_copies_and_rejects_depleted(spark, docs_of):
     body = " ".join(f"shared{i}" for i in range(60))
     rows = [(i, f"{body}\nown{i}", "a") for i in range(30)]  # near copies on one host

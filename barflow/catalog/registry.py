@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from barflow.catalog import (
-    bar_queries, exit_queries, signal_queries, stream_queries, trade_queries, training_queries,
+    bar_queries, exit_queries, signal_queries, source_queries, stream_queries, trade_queries,
+    training_queries,
 )
 
 MODULES = (signal_queries, bar_queries, trade_queries, exit_queries, training_queries,
-           stream_queries)
+           stream_queries, source_queries)
 
 
 def queries():

@@ -9,7 +9,7 @@ from barflow.catalog.adapters import flags, micros, rounded, sql_ticks, table, t
 from barflow.config import BANNED, Rules
 from barflow.functions import book, money, values
 from barflow.operators import ordering, positions, reports, series, training
-from barflow.session import stored
+from barflow.session import scratch_path, stored
 from barflow.sources import logs, market, sinks
 
 RULES = Rules()
@@ -191,10 +191,11 @@ def q_cumulative_profit(spark, d):
 def q_running_top(spark, d):
     """Running maximum of the net return since the symbol's first tick, never below zero."""
     t = ticks(spark, d, "user_id").withColumn("day", series.time_chunk("ts"))
-    t = series.running(t, {"entry": ("first", "price")}, "symbol", "day", ["ts"])
-    t = t.withColumn("ratio", money.net_ratio("entry", "price"))
-    t = series.running(t, {"top": ("max", "ratio")}, "symbol", "day", ["ts"])
-    return t.select("symbol", micros(), F.round(F.greatest("top", F.lit(0.0)), 6).alias("top"))
+    # the return grows with the price, so its running maximum is that of the highest price
+    t = series.running(t, {"entry": ("first", "price"), "highest": ("max", "price")}, "symbol",
+                       "day", ["ts"])
+    top = F.greatest(money.net_ratio("entry", "highest"), F.lit(0.0))
+    return t.select("symbol", micros(), F.round(top, 6).alias("top"))
 
 
 def q_pnl_rollup(spark, d):
@@ -313,13 +314,20 @@ def _ragged_lines(spark, d):
         .otherwise(F.concat_ws(",", *head)).alias("value"))
 
 
+def _ragged_file(spark, d):
+    """The lines as a text file, read as the tolerant reader does: (clean, quarantine)."""
+    path = scratch_path(spark, "ragged")
+    _ragged_lines(spark, d).write.text(path)
+    return logs.read_ragged(spark, path, RAGGED, RAGGED_LAYOUTS)
+
+
 def q_ragged_repair(spark, d):
-    clean, _ = logs.repair_ragged(_ragged_lines(spark, d), RAGGED_LAYOUTS, RAGGED)
+    clean, _ = _ragged_file(spark, d)
     return clean.select(*[F.coalesce(c, F.lit("-")).alias(c) for c in RAGGED])
 
 
 def q_ragged_quarantine(spark, d):
-    _, bad = logs.repair_ragged(_ragged_lines(spark, d), RAGGED_LAYOUTS, RAGGED)
+    _, bad = _ragged_file(spark, d)
     return bad.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -70,6 +72,20 @@ def score(df: DataFrame, model: PipelineModel | None, out: str) -> DataFrame:
                          value.alias(out))
 
 
+def gate(split: DataFrame, target: str, scored: Callable[[DataFrame], DataFrame],
+         rules: Rules = Rules()) -> tuple[float | None, str]:
+    """(test AUC, status) of scores on the newest rows of a split; ``scored`` adds ``_score`` to them
+    and is asked only if both sides hold both classes."""
+    in_train, in_test = (class_counts(split.where(side), target)
+                         for side in ("NOT is_test", "is_test"))
+    if in_train.classes < 2 or in_test.classes < 2:
+        return None, "ONE_CLASS"
+    auc = average_rank_auc(scored(split.where("is_test")), target, "_score").first().auc
+    if auc is None:
+        return None, "NO_AUC"
+    return auc, "BELOW_GATE" if auc < rules.min_auc else "ACCEPTED"
+
+
 def train_gated(positions: DataFrame, features: list[str], target: str, rules: Rules = Rules(),
                 trees: int = 100) -> tuple[PipelineModel | None, dict]:
     """Train on the older rows, test on the newest; if the AUC passes, refit on all rows.
@@ -77,18 +93,15 @@ def train_gated(positions: DataFrame, features: list[str], target: str, rules: R
     Returns (model or None, report). A report's ``status`` says why there is no model.
     """
     split = stored(chronological_split(positions, ORDER, rules.test_share), "split")
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-    in_train, in_test = class_counts(train, target), class_counts(test, target)
-    report = {"target": target, "n_rows": in_train.n + in_test.n,
-              "n_positive": in_train.pos + in_test.pos, "auc": None}
-    if in_train.classes < 2 or in_test.classes < 2:
-        return None, {**report, "status": "ONE_CLASS"}
-    model = fit(train, features, target, in_train, trees)
-    auc = average_rank_auc(score(test, model, "_score"), target, "_score").first().auc
-    report["auc"] = auc
-    if auc is None:
-        return None, {**report, "status": "NO_AUC"}
-    if auc < rules.min_auc:
-        return None, {**report, "status": "BELOW_GATE"}
-    return fit(split, features, target, class_counts(split, target), trees), {
-        **report, "status": "ACCEPTED"}
+    counts = class_counts(split, target)
+
+    def by_older_rows(test: DataFrame) -> DataFrame:
+        train = split.where(~F.col("is_test"))
+        return score(test, fit(train, features, target, class_counts(train, target), trees), "_score")
+
+    auc, status = gate(split, target, by_older_rows, rules)
+    report = {"target": target, "n_rows": counts.n, "n_positive": counts.pos, "auc": auc,
+              "status": status}
+    if status != "ACCEPTED":
+        return None, report
+    return fit(split, features, target, counts, trees), report

@@ -35,8 +35,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Append as CSV parts; every part has its own header, so none is repeated inside a file."""
-    reindexed(df, columns).write.mode("append").option("header", True).csv(path)
+    """Append as CSV parts; every part has its own header, so none is repeated inside a file. Quotes
+    in a text are doubled, as the readers expect them."""
+    reindexed(df, columns).write.mode("append").option("header", True).option(
+        "escape", '"').csv(path)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -70,10 +72,10 @@ def read_mark(spark: SparkSession, path: str) -> int:
 
 
 def write_mark(spark: SparkSession, path: str, mark: int) -> None:
-    """Persist the mark if it advanced."""
+    """Persist the mark if it advanced, beside the older ones: a crash leaves the last mark as it is."""
     if mark > read_mark(spark, path):
         spark.range(1).select(F.lit(str(mark)).alias("value")).coalesce(1).write.mode(
-            "overwrite").text(path)
+            "append").text(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

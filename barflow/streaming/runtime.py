@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barflow.session import scratch_path
+from barflow.session import scratch_path, stored
 from barflow.sources import sinks
 
 # Seconds between passes of the signal cycle, the position monitor and the wallet scan.
@@ -41,7 +41,7 @@ def trade_batches(short_path: str, long_path: str, keys: list[str]) -> Callable:
     """``foreachBatch`` sink for both trade records of each batch of legs."""
 
     def write(batch: DataFrame, _: int) -> None:
-        short, extended = sinks.trade_records(batch)
+        short, extended = sinks.trade_records(stored(batch, "legs"))
         sinks.append_new(short, short_path, keys)
         sinks.append_new(extended, long_path, keys)
 

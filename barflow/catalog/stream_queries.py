@@ -106,17 +106,27 @@ QUERIES = {
     "stream_exits": q_stream_exits, "stream_labels": q_stream_labels,
 }
 
+def _passed(sql: str, end: str) -> str:
+    """Rows of ``sql`` that the last watermark (a minute before the newest event, in whole
+    milliseconds) has passed."""
+    return f"SELECT q.* FROM ({sql}) q, ({end}) e WHERE q.ts <= (e.t // 1000 - 60000) * 1000"
+
+
+TICK_END = "SELECT max(epoch_us(ts)) AS t FROM events WHERE value > 0"
+
 ORACLES = {
     # a bar leaves the stream when the watermark (newest tick minus a minute) has passed its end
     "stream_bars": f"""WITH {sql_ticks()}, {sql_bars()}
 SELECT symbol, epoch_us(ts) AS ts, o, h, l, c, v FROM bars
 WHERE ts + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 1 MINUTE""",
-    "stream_throttle": SIGNAL_ORACLES["throttle"],
-    "stream_expiries": TRADE_ORACLES["stop_streak"],
-    "stream_context": f"""{BENCH}
+    "stream_throttle": _passed(SIGNAL_ORACLES["throttle"], TICK_END),
+    "stream_expiries": _passed(TRADE_ORACLES["stop_streak"],
+                               "SELECT max(epoch_us(ts)) AS t FROM events"),
+    "stream_context": _passed(f"""{BENCH}
 SELECT epoch_us(ts) AS ts, btc_ok, CAST(flash AS INTEGER) AS flash_crash, regime,
-       round(btc_adx, 6) AS btc_adx FROM ctx""",
-    "stream_exits": EXIT_ORACLES["exit_monitor"],
+       round(btc_adx, 6) AS btc_adx FROM ctx""", f"""SELECT max(epoch_us(time_bucket(
+  INTERVAL '15 minutes', ts))) AS t FROM events WHERE value > 0 AND event_type = '{BENCHMARK}'"""),
+    "stream_exits": _passed(EXIT_ORACLES["exit_monitor"], TICK_END),
     "stream_labels": f"""WITH {sql_ticks()}, {sql_bars()}, b AS (
   SELECT *, row_number() OVER {W} AS k, ts + INTERVAL 899 SECOND AS sig FROM bars), j AS (
   SELECT s.symbol, s.sig, s.c AS price, b.k - s.k AS k, b.h / s.c - 1 AS up, b.l / s.c - 1 AS down,

@@ -109,15 +109,19 @@ def advance(held: Held, polls: pd.DataFrame, rules: Rules = Rules()) -> list[dic
     i, n = 0, len(t)
     while i < n and not held.closed:
         rest = slice(i, n)
-        exit_line = (full_after_half if held.half else full_at)[rest]
-        acts = ratio[rest] <= exit_line
+        # polls whose order would be too small act only where they change the state
+        sells = held.qty * price[rest] > rules.min_notional
+        beyond = ratio[rest] <= (full_after_half if held.half else full_at)[rest]
+        acts = beyond & sells
         if not held.half:
             age = (t[rest] - held.clock_t) / 3600
             acts |= (ratio[rest] >= rules.overheated_ratio) & (
                 t[rest] - held.rsi_checked_t > rules.overheated_every_s)
-            acts |= tiered[rest] & (ratio[rest] <= half_at[rest])
-            acts |= age >= rules.max_age_h
-            acts |= flat[rest] & (age >= rules.stale_age_h) & (
+            acts |= tiered[rest] & (ratio[rest] <= half_at[rest]) & (
+                _half_lot(held) * price[rest] > rules.min_notional)
+            acts |= ~beyond & (age >= rules.max_age_h) & (
+                sells | (ratio[rest] >= rules.min_expectation))
+            acts |= ~beyond & flat[rest] & (age >= rules.stale_age_h) & (
                 np.abs(ratio[rest]) < rules.stale_band) & (
                 t[rest] - held.stale_checked_t > rules.stale_every_s)
         found = np.flatnonzero(acts)

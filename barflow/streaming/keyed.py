@@ -1,12 +1,18 @@
-"""Operators with state per symbol. A micro-batch may bring a symbol's rows in any order, so each
-call sorts what it got; its size is bounded by the source's batch limit."""
+"""Operators with state per symbol, in event time.
+
+Rows wait in the symbol's state until the watermark has passed them and are then taken in time order,
+so the result does not depend on the order of files. Rows behind the watermark are dropped by Spark,
+which counts them (``numRowsDroppedByWatermark``). The state holds the rows of one ``delay``; a call
+holds those and the symbol's rows of one micro-batch, which the source's batch limit bounds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,62 +31,107 @@ def _times(seconds) -> pd.Series:
     return pd.to_datetime((np.asarray(seconds, float) * 1e6).round().astype("int64"), unit="us")
 
 
+def _packed(pdf: pd.DataFrame) -> bytes | None:
+    if pdf.empty:
+        return None
+    table, sink = pa.Table.from_pandas(pdf, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes | None) -> list[pd.DataFrame]:
+    return [pa.ipc.open_stream(bytes(held)).read_all().to_pandas()] if held else []
+
+
+def in_event_time(rows: DataFrame, take: Callable, schema, state_schema: str, by: list[str],
+                  delay: str) -> DataFrame:
+    """Run ``take(symbol, sorted rows, state or None) -> (state or None, output or None)`` over each
+    symbol's rows in time order, as the watermark (newest ``ts`` minus ``delay``) passes them."""
+    fields = len(state_schema.split(", "))
+
+    def follow(key, frames, state: GroupState):
+        *values, held = state.get if state.exists else [None] * (fields + 2)
+        *values, started = values
+        parts = _unpacked(held)
+        if not state.hasTimedOut:
+            parts += [f for f in frames if not f.empty]
+        pdf = pd.concat(parts, ignore_index=True).sort_values(by, ignore_index=True)
+        passed = (pdf["_us"] <= state.getCurrentWatermarkMs() * 1000).to_numpy()
+        ready, waiting = pdf[passed].reset_index(drop=True), pdf[~passed]
+        new, out = tuple(values) if started else None, None
+        if len(ready):
+            new, out = take(key[0], ready, new)
+        if new is None and waiting.empty:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*(new or [None] * fields), new is not None, _packed(waiting)))
+            if len(waiting):
+                state.setTimeoutTimestamp(int(-(-waiting["_us"].min() // 1000)))
+        if out is not None and len(out):
+            yield out
+
+    return (
+        rows.where("ts IS NOT NULL").withWatermark("ts", delay)
+        .withColumn("_us", F.unix_micros("ts")).groupBy("symbol").applyInPandasWithState(
+            follow, schema, f"{state_schema}, _started boolean, _waiting binary", "append",
+            GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 # --- throttle ----------------------------------------------------------------------------------------
 
 
-def stream_throttle(events: DataFrame, gap_s: int = 900) -> DataFrame:
+def stream_throttle(events: DataFrame, gap_s: int = 900, delay: str = "1 minute") -> DataFrame:
     """Greedy throttle; the state of a symbol is the time of its last kept event."""
     gap = gap_s * 1_000_000
     columns = events.columns
 
-    def keep(key, frames, state: GroupState):
-        pdf = _sorted(frames, ["_us"])
+    def keep(symbol, pdf, state):
         times = pdf["_us"].to_numpy()
-        at = int(np.searchsorted(times, state.get[0] + gap)) if state.exists else 0
+        at = int(np.searchsorted(times, state[0] + gap)) if state else 0
         kept = []
         while at < len(times):
             kept.append(at)
             at = int(np.searchsorted(times, times[at] + gap))
-        if kept:
-            state.update((int(times[kept[-1]]),))
-            yield pdf.iloc[kept][columns]
+        if not kept:
+            return state, None
+        return (int(times[kept[-1]]),), pdf.iloc[kept][columns]
 
-    return events.withColumn("_us", F.unix_micros("ts")).groupBy("symbol").applyInPandasWithState(
-        keep, events.schema, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    return in_event_time(events, keep, events.schema, "last_us long", ["_us"], delay)
 
 
 # --- expiries after exits ----------------------------------------------------------------------------
 
 
-def stream_expiries(exit_rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def stream_expiries(exit_rows: DataFrame, rules: Rules = Rules(),
+                    delay: str = "1 minute") -> DataFrame:
     """Streak, cooldown and blacklist after each exit (``symbol, ts, exit_code``)."""
     schema = ("symbol string, ts timestamp, exit_code string, streak int, blacklisted boolean, "
               "cooldown_until timestamp, blacklist_until timestamp")
 
-    def follow(key, frames, state: GroupState):
-        pdf = _sorted(frames, ["ts"])
+    def follow(symbol, pdf, state):
         code = pdf["exit_code"].to_numpy()
-        stops = np.cumsum(code == "STOP") + (state.get[0] if state.exists else 0)
+        stops = np.cumsum(code == "STOP") + (state[0] if state else 0)
         resets = np.isin(code, ["TREND", "DUST"])
         base = np.maximum.accumulate(np.where(resets, stops, 0))
         streak = (stops - base) % rules.blacklist_stops
         listed = (code == "STOP") & (streak == 0)
-        state.update((int(streak[-1]),))
         cooled = pdf["ts"] + pd.Timedelta(seconds=rules.cooldown_s)
         barred = pdf["ts"] + pd.Timedelta(seconds=rules.blacklist_s)
-        yield pdf[["symbol", "ts", "exit_code"]].assign(
+        return (int(streak[-1]),), pdf[["symbol", "ts", "exit_code"]].assign(
             streak=streak.astype("int32"), blacklisted=listed,
             cooldown_until=cooled.where(code != "DUST"), blacklist_until=barred.where(listed))
 
-    return exit_rows.groupBy("symbol").applyInPandasWithState(
-        follow, schema, "stops int", "append", GroupStateTimeout.NoTimeout)
+    return in_event_time(exit_rows, follow, schema, "stops int", ["_us"], delay)
 
 
 # --- market context ----------------------------------------------------------------------------------
 
 
 def stream_context(bars: DataFrame, rules: Rules = Rules(), lookback: int = 300,
-                   n: int = 200) -> DataFrame:
+                   n: int = 200, delay: str = "1 minute") -> DataFrame:
     """Market context per benchmark bar; state: the bars of one lookback and the on/off switch."""
     schema = ("symbol string, ts timestamp, ema_200 double, btc_adx double, flash_crash boolean, "
               "btc_ok boolean, regime string")
@@ -94,9 +145,8 @@ def stream_context(bars: DataFrame, rules: Rules = Rules(), lookback: int = 300,
         weights = (1 - alpha) ** np.arange(len(rest) - 1, -1, -1)
         return (1 - alpha) ** len(rest) * close[:n].mean() + alpha * float(weights @ rest)
 
-    def follow(key, frames, state: GroupState):
-        pdf = _sorted(frames, ["ts"])
-        hi, lo, cl, on = state.get if state.exists else ([], [], [], False)
+    def follow(symbol, pdf, state):
+        hi, lo, cl, on = state or ([], [], [], False)
         old = len(cl)
         high, low, close = (np.concatenate([np.array(a, float), pdf[c].to_numpy(float)])
                             for a, c in ((hi, "h"), (lo, "l"), (cl, "c")))
@@ -112,15 +162,15 @@ def stream_context(bars: DataFrame, rules: Rules = Rules(), lookback: int = 300,
                                                      np.nan)))
         ok = sets.ffill().fillna(float(on)).astype(bool).to_numpy()
         tail = slice(max(len(close) - lookback + 1, 0), None)
-        state.update((high[tail].tolist(), low[tail].tolist(), close[tail].tolist(), bool(ok[-1])))
-        yield pd.DataFrame({
+        kept = (high[tail].tolist(), low[tail].tolist(), close[tail].tolist(), bool(ok[-1]))
+        return kept, pd.DataFrame({
             "symbol": pdf["symbol"], "ts": pdf["ts"], "ema_200": ema, "btc_adx": adx,
             "flash_crash": flash, "btc_ok": ok,
             "regime": np.where(adx >= rules.adx_trend, REGIME_TREND, REGIME_FLAT)})
 
-    return bars.groupBy("symbol").applyInPandasWithState(
-        follow, schema, "h array<double>, l array<double>, c array<double>, btc_ok boolean",
-        "append", GroupStateTimeout.NoTimeout)
+    return in_event_time(
+        bars, follow, schema, "h array<double>, l array<double>, c array<double>, btc_ok boolean",
+        ["_us"], delay)
 
 
 # --- exits -------------------------------------------------------------------------------------------
@@ -129,17 +179,16 @@ EVENT_COLUMNS = ["position_id", "symbol", "t", "price", "rsi_25", "vol_faded", "
                  "entry_price", "cost", "qty", "lot_step", "stop_ratio", "first_tier", "is_entry"]
 
 
-def stream_exits(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def stream_exits(events: DataFrame, rules: Rules = Rules(), delay: str = "1 minute") -> DataFrame:
     """Exit monitor over a stream of entries and polls (EVENT_COLUMNS; polls need only the symbol,
     time, price and context). State: the symbol's open position. Same rule function as in batch."""
 
-    def follow(key, frames, state: GroupState):
-        pdf = _sorted(frames, ["t", "is_entry"])
+    def follow(symbol, pdf, state):
         pid, held = None, None
-        if state.exists:
-            pid, *values = state.get
+        if state:
+            pid, *values = state
             held = exits.Held(*values)
-        legs, symbol = [], key[0]
+        legs = []
         segment = pdf["is_entry"].cumsum()
         for _, rows in pdf.groupby(segment, sort=True):
             if rows["is_entry"].iloc[0]:
@@ -149,16 +198,12 @@ def stream_exits(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 sold = exits.advance(held, rows, rules)
                 if sold:
                     legs.append(exits.legs_frame(sold, pid, symbol))
-        if held is not None and not held.closed:
-            state.update((pid, *held.as_row()))
-        elif state.exists:
-            state.remove()
-        if legs:
-            yield pd.concat(legs, ignore_index=True)
-
-    return events.groupBy("symbol").applyInPandasWithState(
-        follow, exits.LEG_SCHEMA, "position_id string, " + exits.HELD_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+        left = (pid, *held.as_row()) if held is not None and not held.closed else None
+        return left, pd.concat(legs, ignore_index=True) if legs else None
+
+    timed = events.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("bigint")))
+    return in_event_time(timed, follow, exits.LEG_SCHEMA, "position_id string, "
+                         + exits.HELD_SCHEMA, ["t", "is_entry"], delay)
 
 
 # --- labels ------------------------------------------------------------------------------------------

@@ -19,12 +19,11 @@ def cadence(name: str) -> dict:
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None,
-                files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+                files_per_batch: int = 16) -> DataFrame:
+    """Parquet files as a stream, a bounded number of them per micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
 
 

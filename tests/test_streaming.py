@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from data import T0, bars_frame, random_bars
 
 from barflow.config import Rules
@@ -17,15 +18,25 @@ from barflow.streaming.runtime import append_batches, cadence, drain, read_strea
 DAY = dt.timedelta(days=1)
 
 
-def in_batches(spark, df, order, folder, n):
-    """Write n files in time order and stream them one per batch."""
+def in_batches(spark, df, order, folder, n, flush=False, shuffled=False, late=()):
+    """Write n files in time order, or shuffled, and stream them one per batch. ``flush`` adds a row
+    of another symbol a month later, which takes the watermark past all others; ``late`` rows follow
+    after it."""
     import os
 
     rows = df.orderBy(*order).collect()
     size = -(-len(rows) // n)
+    parts = [rows[i * size:(i + 1) * size] for i in range(n)]
+    if shuffled:
+        random.Random(n).shuffle(parts)
+    if flush:
+        time = order[0]
+        month = 30 * DAY if time == "ts" else 30 * 86_400
+        parts.append([Row(**{**rows[-1].asDict(), "symbol": "~", time: rows[-1][time] + month})])
+        parts += [list(late)] if late else []
     os.makedirs(folder)
-    for i in range(n):
-        part = spark.createDataFrame(rows[i * size:(i + 1) * size], df.schema)
+    for i, chosen in enumerate(parts):
+        part = spark.createDataFrame(chosen, df.schema)
         (table,) = [part.toArrow()]
         import pyarrow.parquet as pq
         path = f"{folder}/{i:03d}.parquet"
@@ -47,11 +58,32 @@ def ticks(spark):
 
 
 def test_throttle(spark, ticks, tmp_path):
-    stream = in_batches(spark, ticks, ["ts"], f"{tmp_path}/in", 4)
+    stream = in_batches(spark, ticks, ["ts"], f"{tmp_path}/in", 4, flush=True)
+    got = drain(keyed.stream_throttle(stream), "t")
+    assert sorted(got.collect()) == sorted(throttle(ticks).collect())
+
+
+def test_order_of_files_does_not_matter(spark, ticks, tmp_path):
+    stream = in_batches(spark, ticks, ["ts"], f"{tmp_path}/in", 9, flush=True, shuffled=True)
+    got = drain(keyed.stream_throttle(stream, delay="10 days"), "t")
+    assert sorted(got.collect()) == sorted(throttle(ticks).collect())
+
+
+def test_rows_behind_the_watermark_change_nothing(spark, ticks, tmp_path):
+    late = [Row(symbol="a", ts=T0 - DAY, price=1.0, qty=1.0)]
+    stream = in_batches(spark, ticks, ["ts"], f"{tmp_path}/in", 3, flush=True, late=late)
     got = drain(keyed.stream_throttle(stream), "t")
     assert sorted(got.collect()) == sorted(throttle(ticks).collect())
 
 
+def test_rows_wait_for_the_watermark(spark, ticks, tmp_path):
+    stream = in_batches(spark, ticks, ["ts"], f"{tmp_path}/in", 4)
+    got = drain(keyed.stream_throttle(stream, delay="2 hours"), "t").collect()
+    newest = max(r.ts for r in ticks.collect())
+    assert sorted(got) == sorted(r for r in throttle(ticks).collect()
+                                 if r.ts <= newest - dt.timedelta(hours=2))
+
+
 def test_bars_closed_mode(spark, ticks, tmp_path):
     stream = in_batches(spark, ticks, ["ts"], f"{tmp_path}/in", 3)
     got = drain(stream_bars(stream), "b").collect()
@@ -65,8 +97,8 @@ def test_expiries(spark, tmp_path):
     rows = [(rnd.choice("ab"), T0 + dt.timedelta(hours=i),
              rnd.choice(["STOP", "STOP", "TREND", "LOCK", "DUST"])) for i in range(120)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, exit_code string")
-    stream = in_batches(spark, df, ["ts"], f"{tmp_path}/in", 5)
-    got = drain(keyed.stream_expiries(stream), "e").select(
+    stream = in_batches(spark, df, ["ts"], f"{tmp_path}/in", 5, flush=True, shuffled=True)
+    got = drain(keyed.stream_expiries(stream, delay="10 days"), "e").select(
         *positions.stop_streaks(df).columns).collect()
     assert sorted(map(str, got)) == sorted(map(str, positions.stop_streaks(df).collect()))
 
@@ -75,8 +107,8 @@ def test_context(spark, tmp_path):
     rules = Rules(flash_drop=0.02)
     bars = bars_frame(spark, random_bars(("BTC",), 380, seed=3))
     want = {r.ts: r for r in regime.market_context(bars, rules).collect()}
-    stream = in_batches(spark, bars, ["ts"], f"{tmp_path}/in", 4)
-    got = drain(keyed.stream_context(stream, rules), "c").collect()
+    stream = in_batches(spark, bars, ["ts"], f"{tmp_path}/in", 8, flush=True, shuffled=True)
+    got = drain(keyed.stream_context(stream, rules, delay="10 days"), "c").collect()
     assert len(got) == 380
     for r in got:
         w = want[r.ts]
@@ -140,8 +172,9 @@ def test_exits_match_batch(spark, tmp_path):
                        stop_width("atr_pct", "is_whale").alias("stop_ratio"),
                        first_tier("atr_pct").alias("first_tier"))
     events = starts.unionByName(polls, allowMissingColumns=True).select(*keyed.EVENT_COLUMNS)
-    stream = in_batches(spark, events, ["t", "is_entry"], f"{tmp_path}/in", 7)
-    got = drain(keyed.stream_exits(stream), "x")
+    stream = in_batches(spark, events, ["t", "is_entry"], f"{tmp_path}/in", 8, flush=True,
+                        shuffled=True)
+    got = drain(keyed.stream_exits(stream, delay="10 days"), "x")
     assert sorted(map(str, got.collect())) == want and len(want) > 8
     assert price_for(0.0) > 100
 

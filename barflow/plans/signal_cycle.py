@@ -33,19 +33,30 @@ class CycleInputs:
     books: DataFrame | None = None
 
 
-def at_newest_bar(candidates: DataFrame, bars: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates whose newest closed bar at the cycle is a signal, with the signal's features."""
-    known = bars.select("symbol", F.col("ts").alias("bar_ts"),
+def at_newest_bar(candidates: DataFrame, bars: DataFrame) -> DataFrame:
+    """Candidates with time and number of their newest closed bar at the cycle."""
+    known = bars.select("symbol", "idx", F.col("ts").alias("bar_ts"),
                         (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("known_at"))
-    placed = series.asof(candidates, known, ["bar_ts"], left_ts="cycle_ts", right_ts="known_at")
-    return placed.join(found.withColumnRenamed("ts", "bar_ts"), ["symbol", "bar_ts"])
+    return series.asof(candidates, known, ["bar_ts", "idx"], left_ts="cycle_ts",
+                       right_ts="known_at").where("idx IS NOT NULL")
+
+
+def near(bars: DataFrame, placed: DataFrame, rows: int = 128) -> DataFrame:
+    """Numbered bars in the blocks of ``rows`` that hold a candidate's bar and in the blocks before
+    them: every candidate's bar keeps at least ``rows`` bars before it, more than any feature reads.
+    """
+    block = F.expr(f"idx div {rows}")
+    wanted = placed.select("symbol", F.explode(F.array(block, block - 1)).alias("_block"))
+    return bars.withColumn("_block", block).join(
+        wanted.distinct(), ["symbol", "_block"], "left_semi").drop("_block")
 
 
 def candidates_with_features(inputs: CycleInputs, rules: Rules = Rules(),
                              mode: str = "closed") -> DataFrame:
     """Top symbols of each cycle that pass exclusions and rules, with every feature.
 
-    The ranking cuts each cycle to a few symbols first; exclusions follow; features join last.
+    The ranking cuts each cycle to a few symbols first; exclusions follow; features are computed
+    last, from the bars around the candidates only.
     In closed mode a cycle reads no bar, of its symbols or of the benchmark, that is still open.
     """
     ranked = universe.top_gainers(inputs.tickers, rules)
@@ -59,8 +70,11 @@ def candidates_with_features(inputs: CycleInputs, rules: Rules = Rules(),
         context = regime.known_context(context)
     ranked = series.asof_grid(ranked, stored(context, "context"), context.columns[1:], "cycle_ts")
     ranked = stored(ranked.where(F.coalesce("btc_ok", F.lit(False))), "ranked")
-    found = signals.find_signals(inputs.bars, inputs.hourly, rules, mode)
-    df = at_newest_bar(ranked, inputs.bars, found)
+    bars = series.with_row_index(inputs.bars)
+    placed = stored(at_newest_bar(ranked, bars), "placed")
+    hourly = inputs.hourly.join(placed.select("symbol").distinct(), "symbol", "left_semi")
+    found = signals.find_signals(near(bars, placed), hourly, rules, mode)
+    df = placed.drop("idx").join(found.withColumnRenamed("ts", "bar_ts"), ["symbol", "bar_ts"])
     if inputs.books is not None:
         books = inputs.books.select(
             "cycle_ts", "symbol", book.imbalance(F.col("bids"), F.col("asks")).alias("book_ratio"),

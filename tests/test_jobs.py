@@ -1,12 +1,15 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from data import T0, bars_frame, random_bars
 
 from barflow import schemas
 from barflow.config import Rules
-from barflow.operators import training
+from barflow.operators import series, signals, training
+from barflow.operators.bars import coarsen
 from barflow.plans import signal_cycle, training_job
 from barflow.plans.position_monitor import trade_rows
 from barflow.sources import logs, market, sinks
@@ -143,3 +146,26 @@ def test_signals_by_mode(spark):
         assert r.idx >= 29 and r.atr_pct <= 5 and r.cash == (40.0 if r.is_whale else 20.0)
     with pytest.raises(ValueError):
         signals.find_signals(bars, hourly, rules, mode="other")
+
+
+def test_bars_around_candidates_give_the_same_features(spark):
+    rules = Rules(min_rsi=1.0, min_vol_ratio=0.1, max_atr_ratio=9.0)
+    bars = series.with_row_index(bars_frame(spark, random_bars(("a", "b"), 900, seed=11)))
+    placed = bars.where("idx BETWEEN 128 AND 255 OR idx BETWEEN 640 AND 680").select(
+        "symbol", "idx", "ts")
+    around = signal_cycle.near(bars, placed)
+    assert around.count() == 2 * 512  # blocks 0, 1, 4 and 5 of both symbols
+    hourly = coarsen(bars)
+    whole = signals.find_signals(bars, hourly, rules).join(placed, ["symbol", "idx", "ts"])
+    cut = signals.find_signals(around, hourly, rules).join(placed, ["symbol", "idx", "ts"])
+    want, got = (df.orderBy("symbol", "idx").select(sorted(df.columns)).toPandas()
+                 for df in (whole, cut))
+    assert len(want) > 5
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
+def test_only_blocks_of_candidates_are_read(spark):
+    bars = series.with_row_index(bars_frame(spark, random_bars(("a", "b"), 900, seed=11)))
+    placed = bars.where("symbol = 'a' AND idx = 600").select("symbol", "idx")
+    around = signal_cycle.near(bars, placed).agg(F.min("idx"), F.max("idx"), F.count("*")).first()
+    assert tuple(around) == (384, 639, 256)

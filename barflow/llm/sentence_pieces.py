@@ -94,7 +94,7 @@ class Lattice:
         import numpy as np
 
         self.units.clear()
-        self.found: dict[str, list[float]] = {}
+        self.found: dict[str, list[tuple[float, list[str]]]] = {}
         self.best = np.zeros(0)
         self.loss = np.zeros(0)
         self.size = np.zeros(0, np.int64)
@@ -255,6 +255,12 @@ class Lattice:
     def encode(self, texts: list[str], n: int):
         """Piece ids of all texts one after another, their number per text, and each text's n
         best scores."""
+        ids, counts, found = self.encode_n_best(texts, n)
+        return ids, counts, [[score for score, _ in x] for x in found]
+
+    def encode_n_best(self, texts: list[str], n: int):
+        """As ``encode``, with (score, changes) for each text's n best segmentations: a change (start,
+        stop, pieces) replaces that part of the text's best pieces; the changes are in order."""
         import numpy as np
 
         if len(self.units) > KEPT_UNITS or len(self.found) > KEPT_UNITS:
@@ -266,23 +272,35 @@ class Lattice:
         at = np.concatenate(every) if every else np.zeros(0, np.int64)
         ids = self.flat[spread(self.start[at], self.size[at])]
         counts = [int(self.size[x].sum()) for x in every]
-        return ids, counts, [self.best_sums(u, x, n) for u, x in zip(split, every, strict=True)]
+        return ids, counts, [self.n_best(u, x, n) for u, x in zip(split, every, strict=True)]
 
-    def best_sums(self, units: list[str], at, n: int) -> list[float]:
-        """The n largest sums of one segmentation score of each unit."""
+    def n_best(self, units: list[str], at, n: int) -> list[tuple[float, list]]:
+        """The n largest sums of one segmentation score of each unit, and what they change."""
         import numpy as np
 
         total, loss = float(self.best[at].sum()), self.loss[at]
         low = np.argpartition(loss, n - 1)[:n - 1] if len(loss) > n else np.arange(len(loss))
-        sums = [0.0]
+        sums: list[tuple[float, tuple]] = [(0.0, ())]
         for j in low.tolist():
             if not np.isfinite(loss[j]):
                 continue
-            scores = self.found.get(units[j])
-            if scores is None or len(scores) < n:
-                scores = self.found[units[j]] = [x for x, _ in self.search(units[j], n)]
-            sums = heapq.nsmallest(n, [x + scores[0] - y for x in sums for y in scores])
-        return [total - x for x in sums]
+            found = self.found.get(units[j])
+            if found is None or len(found) < n:
+                found = self.found[units[j]] = self.search(units[j], n)
+            sums = heapq.nsmallest(n, [(x + found[0][0] - y, (*took, (j, k)) if k else took)
+                                       for x, took in sums for k, (y, _) in enumerate(found)],
+                                   key=lambda s: s[0])
+        ends = np.cumsum(self.size[at]) if any(took for _, took in sums) else None
+        return [(total - x, [(int(ends[j] - self.size[at[j]]), int(ends[j]),
+                              self.ids_of(self.found[units[j]][k][1])) for j, k in sorted(took)])
+                for x, took in sums]
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        """Ids of pieces; characters without a piece become their bytes."""
+        out: list[int] = []
+        for p in pieces:
+            out += [self.id[p]] if p in self.id else [self.bytes[b] for b in p.encode("utf-8", "replace")]
+        return out
 
     def decode_all(self, ids, counts: list[int]) -> list[str]:
         """Texts of consecutive runs of piece ids; control pieces say nothing, broken bytes become
@@ -328,8 +346,9 @@ def lattice_of(path: str | None) -> Lattice:
 
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N_BEST,
            path: str | None = None) -> DataFrame:
-    """Rows (id, pieces array<int>, scores array<double>, round_trip boolean).
+    """Rows (id, pieces array<int>, scores array<double>, round_trip boolean, changes).
 
+    ``changes``: for each score the parts of ``pieces`` that its segmentation replaces (none for the first).
     ``round_trip``: decoding the pieces gives the text back. ``path``: the model file, as
     executors see it.
     """
@@ -342,16 +361,22 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: i
         model = lattice_of(path)
         for batch in slices(batches, 256):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, counts, scores = model.encode(texts, n)
+            ids, counts, found = model.encode_n_best(texts, n)
+            scores = [[score for score, _ in x] for x in found]
+            changes = [[[dict(zip(("start", "stop", "pieces"), c, strict=True)) for c in own]
+                        for _, own in x] for x in found]
             back = [a == b for a, b in zip(model.decode_all(ids, counts), texts, strict=True)]
             ends = np.cumsum([0, *counts]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
-                pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.bool_())],
-                names=["id", "pieces", "scores", "round_trip"])
+                pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.bool_()),
+                pa.array(changes, pa.list_(pa.list_(pa.struct([
+                    ("start", pa.int32()), ("stop", pa.int32()), ("pieces", pa.list_(pa.int32()))]))))],
+                names=["id", "pieces", "scores", "round_trip", "changes"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, pieces array<int>, scores array<double>, round_trip boolean")
+        run, f"id {kind}, pieces array<int>, scores array<double>, round_trip boolean, "
+             "changes array<array<struct<start: int, stop: int, pieces: array<int>>>>")
 
 
 def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -376,4 +401,5 @@ def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
 def op1_sentence_pieces(spark, sf_dir: str) -> DataFrame:
     done = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(F.col("id").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces",
-                       F.col("scores").alias("n_best_scores"), "round_trip")
+                       F.col("scores").alias("n_best_scores"), "round_trip",
+                       F.col("changes").alias("n_best_changes"))

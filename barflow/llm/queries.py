@@ -1,7 +1,7 @@
 """Registered queries of this subpackage and their SQL."""
 
 from barflow.llm import (
-    language_model, merkle, mixing, neighbours, quality, sentence_pieces, simhash, site_lines, token_counts,
+    additive, language_model, merkle, mixing, neighbours, phrases, quality, sentence_pieces, simhash, site_lines, token_counts,
     toxicity, warc,
 )
 
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_site_lines": site_lines.op10_site_lines,
+    "op11_quality_model": additive.op11_quality_model,
+    "op12_phrases": phrases.op12_phrases,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -24,5 +26,6 @@ ORACLES = {
     "op3_quality": quality.SQL,
     "op6_mix_sources": mixing.SQL,
     "op10_site_lines": site_lines.SQL,
+    "op12_phrases": phrases.SQL,
     "op13_merkle": merkle.SQL,
 }

@@ -273,35 +273,37 @@ def signed(keys):
     return keys.view(np.int64)
 
 
-def counted(rows: DataFrame, n: int, tables, key_bits: int = 64) -> DataFrame:
+def counted(rows: DataFrame, n: int, tables, filter_bits: int = FILTER_BITS, key_bits: int = 64) -> DataFrame:
     """Rows (key, count): for each block the different fingerprints of its n-grams that may be frequent."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        known = unpacked(tables.value, filter_bits)
         for block in blocks(batches, key_bits):
-            keys, count = np.unique(block.candidates(n, tables.value)[1], return_counts=True)
+            keys, count = np.unique(block.candidates(n, known)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(keys)), pa.array(count.astype(np.int64))], names=["key", "count"])
 
     return rows.mapInArrow(run, "key long, count long")
 
 
-def frequent(rows: DataFrame, n: int, tables, min_count: int, key_bits: int = 64) -> DataFrame:
+def frequent(rows: DataFrame, n: int, tables, min_count: int, filter_bits: int = FILTER_BITS,
+             key_bits: int = 64) -> DataFrame:
     """Fingerprints that n-grams share ``min_count`` times or more."""
-    return counted(rows, n, tables, key_bits).groupBy("key").agg(F.sum("count").alias("count")).where(
+    return counted(rows, n, tables, filter_bits, key_bits).groupBy("key").agg(F.sum("count").alias("count")).where(
         F.col("count") >= min_count)
 
 
-def bit_table(found: DataFrame, bits: int = FILTER_BITS):
-    """The fingerprints of ``found`` as a table of 2^bits bits, whatever their number."""
-    import zlib
-
-    import numpy as np
-
+def bit_table(found: DataFrame, bits: int = FILTER_BITS) -> dict[int, bytes]:
+    """The fingerprints of ``found`` as a table of 2^bits bits, whatever their number: its segments that have any,
+    compressed."""
     segment_bits = min(SEGMENT_BITS, bits)
 
     def packed(key, frame):
+        import zlib
+
+        import numpy as np
         import pandas as pd
 
         flags = np.zeros(1 << segment_bits, np.uint8)
@@ -313,10 +315,20 @@ def bit_table(found: DataFrame, bits: int = FILTER_BITS):
     parts = found.select(F.shiftright(slot, segment_bits).alias("segment"), slot.bitwiseAND(
         F.lit((1 << segment_bits) - 1)).alias("slot")).distinct().groupBy("segment").applyInPandas(
         packed, "segment long, part binary")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    width = 1 << (segment_bits - 3)
-    for r in parts.collect():  # at most 2^bits bits
-        out[r["segment"] * width:(r["segment"] + 1) * width] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
+    return {r["segment"]: bytes(r["part"]) for r in parts.collect()}  # at most 2^bits bits
+
+
+def unpacked(tables: dict[int, dict[int, bytes]], bits: int) -> dict:
+    """Bit tables by length, as bytes in memory."""
+    import zlib
+
+    import numpy as np
+
+    width, out = 1 << (min(SEGMENT_BITS, bits) - 3), {}
+    for n, parts in tables.items():
+        out[n] = np.zeros(1 << (bits - 3), np.uint8)
+        for segment, part in parts.items():
+            out[n][segment * width:(segment + 1) * width] = np.frombuffer(zlib.decompress(part), np.uint8)
     return out
 
 
@@ -326,7 +338,7 @@ def bit_table(found: DataFrame, bits: int = FILTER_BITS):
 PLACES = "key long, high long, low long, words int, count long, row long, word long"
 
 
-def places(rows: DataFrame, tables, max_words: int, key_bits: int = 64) -> DataFrame:
+def places(rows: DataFrame, tables, max_words: int, filter_bits: int = FILTER_BITS, key_bits: int = 64) -> DataFrame:
     """Rows of PLACES for each block: the n-grams with listed fingerprints, compared byte by byte, so that one row counts
     one text."""
     def run(batches):
@@ -334,10 +346,11 @@ def places(rows: DataFrame, tables, max_words: int, key_bits: int = 64) -> DataF
         import pyarrow as pa
         from xxhash import xxh3_128_intdigest
 
+        known = unpacked(tables.value, filter_bits)
         for block in blocks(batches, key_bits):
             for n in range(1, max_words + 1):
-                at, keys = block.candidates(n, tables.value)
-                good = listed(tables.value[n], keys)
+                at, keys = block.candidates(n, known)
+                good = listed(known[n], keys)
                 at, keys = at[good], keys[good]
                 _, first, group = np.unique(keys, return_index=True, return_inverse=True)
                 same = block.same_text(at, at[first][group], n)
@@ -388,18 +401,21 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     (lang, n)."""
     spark = docs.sparkSession
     rows = stored(plain(docs, text_col, lang_col), "plain")
-    tables: dict = {}
+    tables: dict[int, dict[int, bytes]] = {}
     for n in range(1, max_words + 1):
-        shared = spark.sparkContext.broadcast({n - 1: tables[n - 1]} if n > 1 else {})
-        tables[n] = bit_table(frequent(rows, n, shared, min_count, key_bits), filter_bits)
-        if not tables[n].any():  # nor are there longer ones
-            tables |= {m: tables[n] for m in range(n + 1, max_words + 1)}
+        shared = spark.sparkContext.broadcast({m: t for m, t in tables.items() if m == n - 1})
+        tables[n] = bit_table(frequent(rows, n, shared, min_count, filter_bits, key_bits), filter_bits)
+        shared.destroy()
+        if not tables[n]:  # nor are there longer ones
+            tables |= {m: {} for m in range(n + 1, max_words + 1)}
             break
-    found = places(rows, spark.sparkContext.broadcast(tables), max_words, key_bits).groupBy(
+    shared = spark.sparkContext.broadcast(tables)
+    found = stored(places(rows, shared, max_words, filter_bits, key_bits).groupBy(
         "key", "high", "low", "words").agg(
         F.sum("count").alias("count"), F.min("row").alias("row"), F.min_by("word", "row").alias("word")).where(
-        F.col("count") >= min_count)
-    found = spelled(rows, stored(found, "places"))
+        F.col("count") >= min_count), "places")
+    shared.destroy()
+    found = spelled(rows, found)
     sizes = rows.groupBy("lang").agg(F.sum("words").alias("n"))
     return stored(found, "phrases"), stored(sizes, "sizes")
 

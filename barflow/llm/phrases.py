@@ -41,7 +41,7 @@ TOP = 2000
 FILTER_BITS = 27
 #: Bits of such a table that one task fills.
 SEGMENT_BITS = 20
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
 #: Odd base of the polynomial, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

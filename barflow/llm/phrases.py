@@ -41,7 +41,7 @@ TOP = 2000
 FILTER_BITS = 27
 #: Bits of such a table that one task fills.
 SEGMENT_BITS = 20
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 #: Odd base of the polynomial, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -246,7 +246,7 @@ def blocks(batches: Iterator, key_bits: int = 64, size: int = BLOCK_BYTES) -> It
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    for batch in slices(batches, 4096):
+    for batch in byte_slices(batches, 3):
         body, ends = column_bytes(batch.column(3))
         if not len(body):
             continue

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from barflow.catalog import (
-    bar_queries, exit_queries, signal_queries, source_queries, stream_queries, trade_queries,
+    bar_queries, exit_queries, loop_queries, signal_queries, source_queries, stream_queries, trade_queries,
     training_queries,
 )
 
-MODULES = (signal_queries, bar_queries, trade_queries, exit_queries, training_queries,
+MODULES = (signal_queries, bar_queries, trade_queries, exit_queries, loop_queries, training_queries,
            stream_queries, source_queries)
 
 

@@ -400,9 +400,11 @@ ORACLES["signal_cycle"] = f"""{BENCH}, {UTICKS},
 {DAY_SQL}, {_USER_SERIES}, {_ADX_U}, {_HITS_U},
 {_EXITS_U}, cand AS (
   SELECT day + INTERVAL 1 DAY AS cycle_ts, rank, symbol, last FROM top
-  WHERE symbol NOT IN (SELECT {sql_pair('c_custkey')} FROM customer WHERE c_acctbal < 0)), c1 AS (
-  SELECT c.*, e.ts AS last_exit, coalesce(e.streak, 0) AS stop_count
-  FROM cand c ASOF LEFT JOIN (SELECT * FROM streaks WHERE exit_code <> 'DUST') e ON c.symbol = e.symbol AND c.cycle_ts >= e.ts), c2 AS (
+  WHERE symbol NOT IN (SELECT {sql_pair('c_custkey')} FROM customer WHERE c_acctbal < 0)), c0 AS (
+  SELECT c.*, coalesce(e.streak, 0) AS stop_count
+  FROM cand c ASOF LEFT JOIN streaks e ON c.symbol = e.symbol AND c.cycle_ts >= e.ts), c1 AS (
+  SELECT c.*, e.ts AS last_exit
+  FROM c0 c ASOF LEFT JOIN (SELECT * FROM streaks WHERE exit_code <> 'DUST') e ON c.symbol = e.symbol AND c.cycle_ts >= e.ts), c2 AS (
   SELECT c1.*, e.ts AS listed FROM c1 ASOF LEFT JOIN (SELECT * FROM streaks WHERE blacklisted) e
   ON c1.symbol = e.symbol AND c1.cycle_ts >= e.ts), c3 AS (
   SELECT c2.*, btc_ok, regime, btc_adx FROM c2 ASOF JOIN ctx

@@ -61,6 +61,27 @@ def q_shadow_log_files(spark, d):
                      F.col("ai_score").isNull().cast("int").alias("no_score"))
 
 
+def q_shadow_layouts(spark, d):
+    """A shadow log whose columns grew twice, with a column renamed in between, read as one table."""
+    path = scratch_path(spark, "shadow-layouts")
+    k = F.col("k")
+    rows = table(spark, d, "events").withColumn("k", F.expr(K)).select(
+        "k", F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("Ts"),
+        F.concat("event_type", F.lit(", \"x\"")).alias("Sembol"), F.col("value").cast("string").alias("Fiyat"),
+        k.cast("string").alias("Giris_RSI"), (k + 1).cast("string").alias("Sym_ADX"), (k + 2).cast("string").alias("BTC_ADX"),
+        (k + 3).cast("string").alias("OB_Oran"), (k + 4).cast("string").alias("AI_Skor"),
+        (k + 5).cast("string").alias("Filtre_Skor"))
+    known = schemas.layouts_of(schemas.SHADOW_COLUMNS)
+    oldest = ["Price" if c == "Fiyat" else c for c in known[21]]
+    sinks.append_csv(rows.where("k % 4 = 0").withColumnRenamed("Fiyat", "Price"), path, oldest)
+    sinks.append_csv(rows.where("k % 4 = 1"), path, known[23], renamed={"Fiyat": "Price"})
+    sinks.append_csv(rows.where("k % 4 = 2"), path, known[25])
+    sinks.append_csv(rows.where("k % 4 = 3").withColumnRenamed("Fiyat", "Price"), path, oldest)
+    df = logs.read_shadow(spark, path)
+    return df.select("symbol", "ts_ms", "price", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in (
+        "rsi", "sym_adx", "btc_adx", "book_ratio", "ai_score", "risk_score", "pump_3h")])
+
+
 # --- bars and maps ----------------------------------------------------------------------------------
 
 
@@ -239,6 +260,7 @@ def q_observe_only(spark, d):
 
 QUERIES = {
     "trade_log_files": q_trade_log_files, "shadow_log_files": q_shadow_log_files,
+    "shadow_layouts": q_shadow_layouts,
     "bar_files": q_bar_files, "wallet_maps": q_wallet_maps, "ticker_maps": q_ticker_maps,
     "trade_dual_write": q_trade_dual_write, "reconcile_stream": q_reconcile_stream,
     "progress_mark": q_progress_mark, "label_incremental": q_label_incremental,
@@ -282,6 +304,13 @@ SELECT event_type || ', "x"' AS symbol, epoch_us(ts) // 1000 AS ts_ms,
        CASE WHEN k % 2 = 0 THEN 'AI_RED' ELSE '-' END AS reason, value AS price,
        CASE WHEN k % 5 = 0 THEN -1.0::DOUBLE ELSE k END AS rsi, 1 AS no_score
 FROM e WHERE k % 19 <> 0""",
+    "shadow_layouts": f"""WITH e AS (SELECT *, {K_SQL} AS k FROM events)
+SELECT event_type || ', "x"' AS symbol, epoch_us(ts) // 1000 AS ts_ms, value AS price,
+       CAST(k AS DOUBLE) AS rsi, CASE WHEN k % 4 IN (1, 2) THEN k + 1.0::DOUBLE ELSE -1 END AS sym_adx,
+       CASE WHEN k % 4 IN (1, 2) THEN k + 2.0::DOUBLE ELSE -1 END AS btc_adx,
+       CASE WHEN k % 4 = 2 THEN k + 3.0::DOUBLE ELSE -1 END AS book_ratio, k + 4.0::DOUBLE AS ai_score,
+       k + 5.0::DOUBLE AS risk_score, -1.0::DOUBLE AS pump_3h
+FROM e""",
     "bar_files": f"""WITH {sql_ticks()}, {sql_bars(width='1 hour')}
 SELECT symbol, '1h' AS tf, epoch_us(ts) AS ts, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l,
        round(c, 6) AS c, round(v, 6) AS v

@@ -18,22 +18,24 @@ from barflow.functions.money import first_tier, stop_width
 from barflow.operators import exits, series
 from barflow.operators.bars import build_bars
 from barflow.plans.position_monitor import known_bars
-from barflow.session import scratch_path, stored
+from barflow.session import stored
 from barflow.streaming import keyed
 from barflow.streaming.bars import stream_bars
-from barflow.streaming.runtime import drain, read_stream
+from barflow.streaming.runtime import drain, in_time_order, read_stream
 
 
-def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return read_stream(spark, d, schema, "events.parquet")
+#: Parts of a replayed table, and how many of them a micro-batch takes.
+PARTS, PER_BATCH = 8, 2
+
 
+def _restream(df, name, ts="ts"):
+    """A table as a stream in event time, in several micro-batches."""
+    path = in_time_order(df, name, ts, PARTS)
+    return read_stream(df.sparkSession, path, df.schema, files_per_batch=PER_BATCH)
 
-def _restream(df, name):
-    """A derived table as a stream."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return read_stream(df.sparkSession, path, df.schema)
+
+def _event_stream(spark, d):
+    return _restream(table(spark, d, "events"), "events")
 
 
 def q_stream_bars(spark, d):
@@ -81,7 +83,7 @@ def q_stream_exits(spark, d):
         "cost", "qty", "lot_step", stop_width("atr_pct", "is_whale").alias("stop_ratio"),
         first_tier("atr_pct").alias("first_tier"), F.lit(True).alias("is_entry"))
     events = entries.unionByName(polls, allowMissingColumns=True).select(*keyed.EVENT_COLUMNS)
-    legs = drain(keyed.stream_exits(_restream(events, "exit_events"), EXIT_RULES), "stream_exits")
+    legs = drain(keyed.stream_exits(_restream(events, "exit_events", "t"), EXIT_RULES), "stream_exits")
     return legs.select("position_id", "symbol", micros(), "exit_code",
                        *rounded("price", "cost", "net", "net_pct", "stop_ratio"),
                        "age_h", *flags("is_final"))

@@ -531,10 +531,12 @@ SELECT symbol, epoch_us(ts) AS ts, exit_code, streak, CAST(blacklisted AS INTEGE
        CASE WHEN blacklisted THEN epoch_us(ts + INTERVAL 24 HOUR) ELSE 0 END AS blacklist_until
 FROM fold""",
     "exclusions": f"""WITH {STREAK_SQL}, {sql_ticks('user_id')}, c AS (
-  SELECT symbol, ts + INTERVAL 1 HOUR AS cycle_ts FROM ticks), j AS (
-  SELECT c.symbol, c.cycle_ts, f.ts AS cooled_at, f.streak
-  FROM c ASOF LEFT JOIN (SELECT * FROM fold WHERE exit_code <> 'DUST') f
-  ON c.symbol = f.symbol AND c.cycle_ts >= f.ts)
+  SELECT symbol, ts + INTERVAL 1 HOUR AS cycle_ts FROM ticks), i AS (
+  SELECT c.symbol, c.cycle_ts, f.streak
+  FROM c ASOF LEFT JOIN fold f ON c.symbol = f.symbol AND c.cycle_ts >= f.ts), j AS (
+  SELECT i.*, f.ts AS cooled_at
+  FROM i ASOF LEFT JOIN (SELECT * FROM fold WHERE exit_code <> 'DUST') f
+  ON i.symbol = f.symbol AND i.cycle_ts >= f.ts)
 SELECT j.symbol, epoch_us(cycle_ts) AS cycle_ts,
        CAST(coalesce(cooled_at + INTERVAL 1 HOUR > cycle_ts, false) AS INTEGER) AS cooling,
        CAST(coalesce(b.ts + INTERVAL 24 HOUR > cycle_ts, false) AS INTEGER) AS blacklisted,

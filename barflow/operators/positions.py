@@ -131,11 +131,12 @@ def with_exclusions(candidates: DataFrame, streaks: DataFrame, ts: str = "cycle_
                     width: str = "day") -> DataFrame:
     """Attach what earlier exits say about each candidate: streak, cooling down, blacklisted.
 
-    ``streaks`` is read several times: pass a stored table.
+    Every exit counts for the streak, a dust close too, which starts no cooldown of its own and leaves a running one
+    as it is. ``streaks`` is read several times: pass a stored table.
     """
-    cooled = streaks.where("cooldown_until IS NOT NULL")
     df = series.asof_many(candidates, [
-        series.Right(cooled, ["cooldown_until", "streak"]),
+        series.Right(streaks, ["streak"]),
+        series.Right(streaks.where("cooldown_until IS NOT NULL"), ["cooldown_until"]),
         series.Right(streaks.where("blacklisted"), ["blacklist_until"]),
     ], left_ts=ts, width=width)
     return df.withColumns({

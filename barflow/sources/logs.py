@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barflow import schemas
 from barflow.functions.values import to_epoch_ms, to_number, to_time
+from barflow.sources import layouts
 from barflow.sources.paths import existing
 
 TRADE_NUMBERS = ["rsi", "vol_ratio", "atr_pct", "entry_price", "net"]
@@ -15,12 +18,26 @@ TRADE_NUMBERS = ["rsi", "vol_ratio", "atr_pct", "entry_price", "net"]
 
 def read_text_table(spark: SparkSession, paths: list[str], columns: list[str],
                     header: bool) -> DataFrame | None:
-    """All columns as text from every path that exists; None if none does."""
+    """All columns as text from every path that exists; None if none does.
+
+    Parts of a table with a history of layouts, and files with a header, are read by the columns they were written with;
+    other files by ``columns``, by position.
+    """
     found = existing(spark, paths)
     if not found:
         return None
-    return spark.read.schema(schemas.text_schema(columns)).option("header", header).option(
-        "quote", '"').option("escape", '"').csv(found)
+    frames, plain = [], []
+    for path in found:
+        parts = layouts.read_parts(spark, path, columns)
+        frames += parts
+        if not parts:
+            plain.append(path)
+    if plain:
+        frames += layouts.read_foreign(spark, plain, columns) if header else [
+            layouts.read_csv(spark, plain, columns, header=False)]
+    if not frames:
+        return spark.createDataFrame([], schemas.text_schema(columns))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -84,7 +101,7 @@ def fields_of(line: Column) -> Column:
     return F.transform(fields, lambda x: F.nullif(F.trim(x), F.lit("")))
 
 
-def repair_ragged(lines: DataFrame, layouts: dict[int, list[str]], columns: list[str],
+def repair_ragged(lines: DataFrame, known_layouts: dict[int, list[str]], columns: list[str],
                   text: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split raw lines into (clean, quarantine).
 
@@ -94,11 +111,11 @@ def repair_ragged(lines: DataFrame, layouts: dict[int, list[str]], columns: list
     tokens = lines.select(text, fields_of(F.col(text)).alias("_f"))
     first = columns[0]
     is_header = F.coalesce(F.element_at("_f", 1) == first, F.lit(False))
-    known = F.size("_f").isin(*layouts)
+    known = F.size("_f").isin(*known_layouts)
     clean = tokens.where(known & ~is_header).select(*[
         F.coalesce(*[
             F.when(F.size("_f") == n, F.get("_f", F.lit(layout.index(c))))
-            for n, layout in layouts.items() if c in layout], F.lit(None).cast("string")).alias(c)
+            for n, layout in known_layouts.items() if c in layout], F.lit(None).cast("string")).alias(c)
         for c in columns])
     quarantine = tokens.where(~known & ~is_header).select(
         F.col(text).alias("line"), F.size("_f").alias("n_fields"))
@@ -106,6 +123,6 @@ def repair_ragged(lines: DataFrame, layouts: dict[int, list[str]], columns: list
 
 
 def read_ragged(spark: SparkSession, path: str, columns: list[str],
-                layouts: dict[int, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+                known_layouts: dict[int, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).text(path)
-    return repair_ragged(lines, layouts or schemas.layouts_of(columns), columns)
+    return repair_ragged(lines, known_layouts or schemas.layouts_of(columns), columns)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow import schemas
+from barflow.sources import layouts
 from barflow.sources.logs import filed
 from barflow.sources.paths import exists
 
@@ -34,11 +35,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def append_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Append as CSV parts; every part has its own header, so none is repeated inside a file. Quotes
-    in a text are doubled, as the readers expect them."""
+def append_csv(df: DataFrame, path: str, columns: list[str], renamed: dict[str, str] | None = None) -> None:
+    """Append as CSV parts under their layout, with ``columns`` in this order, see ``layouts``. Every part
+    has a header too. ``renamed`` maps new names of columns to those they had. Quotes in a text are doubled, as the readers
+    expect them."""
+    layout = layouts.register(df.sparkSession, path, columns, renamed)
     reindexed(df, columns).write.mode("append").option("header", True).option(
-        "escape", '"').csv(path)
+        "escape", '"').csv(layouts.part_path(path, layout))
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:

@@ -1,9 +1,13 @@
 """Operators with state per symbol, in event time.
 
 Rows wait in the symbol's state until the watermark has passed them and are then taken in time order,
-so the result does not depend on the order of files. Rows behind the watermark are dropped by Spark,
-which counts them (``numRowsDroppedByWatermark``). The state holds the rows of one ``delay``; a call
-holds those and the symbol's rows of one micro-batch, which the source's batch limit bounds.
+so the result does not depend on how rows are spread over files and batches. Rows behind the watermark are dropped by
+Spark, which counts them (``numRowsDroppedByWatermark``): ``delay`` has to cover the disorder of the source, see
+``runtime.disorder``, or the source is put in order first, see ``runtime.in_time_order``.
+
+State is kept in RocksDB, one entry for each slice of time with waiting rows, so a batch reads and writes the slices it has rows
+for and those the watermark has reached, not all that waits. A timer stands at the first waiting row of a slice. A call holds the
+symbol's rows of one micro-batch, which the source's batch limit bounds, or one slice.
 """
 
 from __future__ import annotations
@@ -15,69 +19,112 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from barflow.config import REGIME_FLAT, REGIME_TREND, Rules
 from barflow.operators import exits
 from barflow.operators.indicators import adx_of_rows
 
-
-def _sorted(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    rows = [f for f in frames if not f.empty]
-    return pd.concat(rows, ignore_index=True).sort_values(by, ignore_index=True)
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Least width of a slice of waiting rows.
+SLICE_US = 60_000_000
 
 
 def _times(seconds) -> pd.Series:
     return pd.to_datetime((np.asarray(seconds, float) * 1e6).round().astype("int64"), unit="us")
 
 
-def _packed(pdf: pd.DataFrame) -> bytes | None:
-    if pdf.empty:
-        return None
+def _packed(pdf: pd.DataFrame) -> bytes:
     table, sink = pa.Table.from_pandas(pdf, preserve_index=False), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(held: bytes | None) -> list[pd.DataFrame]:
-    return [pa.ipc.open_stream(bytes(held)).read_all().to_pandas()] if held else []
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(held)).read_all().to_pandas()
+
+
+def _ms(us: int) -> int:
+    return int(-(-us // 1000))
+
+
+class InTimeOrder(StatefulProcessor):
+    """Calls ``take`` with a symbol's rows in time order, as the watermark passes them."""
+
+    def __init__(self, take: Callable, state_schema: str, by: list[str], slice_us: int):
+        self.take, self.state_schema, self.by, self.slice_us = take, state_schema, by, slice_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", self.state_schema)
+        self.waiting = handle.getMapState("waiting", "slice long", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # rows of a batch are newer than its watermark: they wait, and what waits is looked at first
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        yield from self.passed(key, now)
+        frames = [f for f in rows if not f.empty]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        for at, part in pdf.groupby(pdf["event_us"] // self.slice_us, sort=True):
+            slot = (int(at),)
+            first = int(part["event_us"].min())
+            if self.waiting.containsKey(slot):
+                held = _unpacked(self.waiting.getValue(slot)[0])
+                if int(held["event_us"].min()) <= first:
+                    first = None
+                part = pd.concat([held, part], ignore_index=True)
+            self.waiting.updateValue(slot, (_packed(part),))
+            if first is not None:
+                self.handle.registerTimer(_ms(first))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def passed(self, key, now: int) -> Iterator[pd.DataFrame]:
+        """Take the rows up to ``now``, slice by slice."""
+        due = sorted(int(k[0]) for k in self.waiting.keys() if int(k[0]) * self.slice_us <= now)
+        for at in due:
+            pdf = _unpacked(self.waiting.getValue((at,))[0])
+            ready = pdf["event_us"].to_numpy() <= now
+            rest = pdf[~ready]
+            if rest.empty:
+                self.waiting.removeKey((at,))
+            else:
+                self.waiting.updateValue((at,), (_packed(rest),))
+                self.handle.registerTimer(_ms(int(rest["event_us"].min())))
+            if not ready.any():
+                continue
+            rows = pdf[ready].sort_values(self.by, ignore_index=True)
+            old = tuple(self.kept.get()) if self.kept.exists() else None
+            new, out = self.take(key[0], rows, old)
+            if new is not None:
+                self.kept.update(new)
+            elif old is not None:
+                self.kept.clear()
+            if out is not None and len(out):
+                yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _by_symbol(rows: DataFrame, processor: StatefulProcessor, schema, delay: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return (
+        rows.where("ts IS NOT NULL").withWatermark("ts", delay).withColumn("event_us", F.unix_micros("ts")).groupBy("symbol")
+        .transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    )
 
 
 def in_event_time(rows: DataFrame, take: Callable, schema, state_schema: str, by: list[str],
                   delay: str) -> DataFrame:
     """Run ``take(symbol, sorted rows, state or None) -> (state or None, output or None)`` over each
     symbol's rows in time order, as the watermark (newest ``ts`` minus ``delay``) passes them."""
-    fields = len(state_schema.split(", "))
-
-    def follow(key, frames, state: GroupState):
-        *values, held = state.get if state.exists else [None] * (fields + 2)
-        *values, started = values
-        parts = _unpacked(held)
-        if not state.hasTimedOut:
-            parts += [f for f in frames if not f.empty]
-        pdf = pd.concat(parts, ignore_index=True).sort_values(by, ignore_index=True)
-        passed = (pdf["_us"] <= state.getCurrentWatermarkMs() * 1000).to_numpy()
-        ready, waiting = pdf[passed].reset_index(drop=True), pdf[~passed]
-        new, out = tuple(values) if started else None, None
-        if len(ready):
-            new, out = take(key[0], ready, new)
-        if new is None and waiting.empty:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*(new or [None] * fields), new is not None, _packed(waiting)))
-            if len(waiting):
-                state.setTimeoutTimestamp(int(-(-waiting["_us"].min() // 1000)))
-        if out is not None and len(out):
-            yield out
-
-    return (
-        rows.where("ts IS NOT NULL").withWatermark("ts", delay)
-        .withColumn("_us", F.unix_micros("ts")).groupBy("symbol").applyInPandasWithState(
-            follow, schema, f"{state_schema}, _started boolean, _waiting binary", "append",
-            GroupStateTimeout.EventTimeTimeout)
-    )
+    width = max(SLICE_US, int(pd.Timedelta(delay).total_seconds() * 1e6) // 16)
+    return _by_symbol(rows, InTimeOrder(take, state_schema, by, width), schema, delay)
 
 
 # --- throttle ----------------------------------------------------------------------------------------
@@ -89,7 +136,7 @@ def stream_throttle(events: DataFrame, gap_s: int = 900, delay: str = "1 minute"
     columns = events.columns
 
     def keep(symbol, pdf, state):
-        times = pdf["_us"].to_numpy()
+        times = pdf["event_us"].to_numpy()
         at = int(np.searchsorted(times, state[0] + gap)) if state else 0
         kept = []
         while at < len(times):
@@ -99,7 +146,7 @@ def stream_throttle(events: DataFrame, gap_s: int = 900, delay: str = "1 minute"
             return state, None
         return (int(times[kept[-1]]),), pdf.iloc[kept][columns]
 
-    return in_event_time(events, keep, events.schema, "last_us long", ["_us"], delay)
+    return in_event_time(events, keep, events.schema, "last_us long", ["event_us"], delay)
 
 
 # --- expiries after exits ----------------------------------------------------------------------------
@@ -124,7 +171,7 @@ def stream_expiries(exit_rows: DataFrame, rules: Rules = Rules(),
             streak=streak.astype("int32"), blacklisted=listed,
             cooldown_until=cooled.where(code != "DUST"), blacklist_until=barred.where(listed))
 
-    return in_event_time(exit_rows, follow, schema, "stops int", ["_us"], delay)
+    return in_event_time(exit_rows, follow, schema, "stops int", ["event_us"], delay)
 
 
 # --- market context ----------------------------------------------------------------------------------
@@ -170,7 +217,7 @@ def stream_context(bars: DataFrame, rules: Rules = Rules(), lookback: int = 300,
 
     return in_event_time(
         bars, follow, schema, "h array<double>, l array<double>, c array<double>, btc_ok boolean",
-        ["_us"], delay)
+        ["event_us"], delay)
 
 
 # --- exits -------------------------------------------------------------------------------------------
@@ -235,42 +282,53 @@ def stream_labels(events: DataFrame, rules: Rules = Rules(), delay: str = "1 min
         return (name, result * 100, max(0.0, up[:seen].max()) * 100,
                 min(0.0, down[:seen].min()) * 100)
 
-    def follow(key, frames, state: GroupState):
-        held = state.get if state.exists else ([],) * 6
-        sig_t, sig_p, bar_t, h, low, c = (np.array(x, float) for x in held)
-        if not state.hasTimedOut:
-            pdf = _sorted(frames, ["_t"])
-            sig, bar = pdf[pdf["is_signal"]], pdf[~pdf["is_signal"]]
-            sig_t, sig_p = np.append(sig_t, sig["_t"]), np.append(sig_p, sig["price"])
-            bar_t, h, low, c = (np.append(a, bar[k]) for a, k in (
-                (bar_t, "_t"), (h, "h"), (low, "l"), (c, "c")))
-        by_time = np.argsort(bar_t, kind="stable")
-        bar_t, h, low, c = bar_t[by_time], h[by_time], low[by_time], c[by_time]
-        now = state.getCurrentWatermarkMs() / 1000
-        first = np.searchsorted(bar_t, sig_t, side="right")
-        ready = (sig_t + wait <= now) & (first + rules.label_bars <= len(bar_t))
-        out = [(key[0], t, p, *outcome(p, *(a[f:f + rules.label_bars] for a in (h, low, c))))
-               for t, p, f in zip(sig_t[ready], sig_p[ready], first[ready])]
-        pending = ~ready & (sig_t + give_up > now)
-        sig_t, sig_p = sig_t[pending], sig_p[pending]
-        # bars older than every pending signal and than any signal that may still come
-        needed = bar_t > min(sig_t.min(initial=np.inf), max(now, 0))
-        state.update(tuple(x.tolist() for x in (
-            sig_t, sig_p, bar_t[needed], h[needed], low[needed], c[needed])))
-        if len(sig_t):
-            due = sig_t + wait
-            upcoming = due[due > now].min(initial=now + 900)
-            state.setTimeoutTimestamp(int(max(upcoming, now + 1) * 1000) + 1)
-        if out:
-            frame = pd.DataFrame(out, columns=["symbol", "_t", "price", "outcome", "result_pct",
-                                               "max_pct", "min_pct"])
-            frame.insert(1, "ts", _times(frame.pop("_t")))
-            yield frame
-
-    labels = (
-        events.withWatermark("ts", delay).withColumn("_t", F.unix_micros("ts") / 1e6)
-        .groupBy("symbol").applyInPandasWithState(
-            follow, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    class Labels(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getValueState("held", state_schema)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            frames = [f for f in rows if not f.empty]
+            yield from self.follow(key, pd.concat(frames, ignore_index=True) if frames else None, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield from self.follow(key, None, timerValues)
+
+        def follow(self, key, pdf, timerValues) -> Iterator[pd.DataFrame]:
+            held = self.held.get() if self.held.exists() else ([],) * 6
+            sig_t, sig_p, bar_t, h, low, c = (np.array(x, float) for x in held)
+            if pdf is not None:
+                t = pdf["event_us"] / 1e6
+                signal = pdf["is_signal"].to_numpy(bool)
+                sig_t, sig_p = np.append(sig_t, t[signal]), np.append(sig_p, pdf["price"][signal])
+                bar_t, h, low, c = (np.append(a, b[~signal]) for a, b in (
+                    (bar_t, t), (h, pdf["h"]), (low, pdf["l"]), (c, pdf["c"])))
+            by_time = np.argsort(bar_t, kind="stable")
+            bar_t, h, low, c = bar_t[by_time], h[by_time], low[by_time], c[by_time]
+            now = timerValues.getCurrentWatermarkInMs() / 1000
+            first = np.searchsorted(bar_t, sig_t, side="right")
+            ready = (sig_t + wait <= now) & (first + rules.label_bars <= len(bar_t))
+            out = [(key[0], t, p, *outcome(p, *(a[f:f + rules.label_bars] for a in (h, low, c))))
+                   for t, p, f in zip(sig_t[ready], sig_p[ready], first[ready])]
+            pending = ~ready & (sig_t + give_up > now)
+            sig_t, sig_p = sig_t[pending], sig_p[pending]
+            # bars older than every pending signal and than any signal that may still come
+            needed = bar_t > min(sig_t.min(initial=np.inf), max(now, 0))
+            self.held.update(tuple(x.tolist() for x in (
+                sig_t, sig_p, bar_t[needed], h[needed], low[needed], c[needed])))
+            if len(sig_t):
+                due = sig_t + wait
+                upcoming = due[due > now].min(initial=now + 900)
+                self.handle.registerTimer(int(max(upcoming, now + 1) * 1000) + 1)
+            if out:
+                frame = pd.DataFrame(out, columns=["symbol", "_t", "price", "outcome", "result_pct",
+                                                   "max_pct", "min_pct"])
+                frame.insert(1, "ts", _times(frame.pop("_t")))
+                yield frame
+
+        def close(self) -> None:
+            pass
+
+    labels = _by_symbol(events, Labels(), schema, delay)
     # rounded by Spark, as in batch
     return labels.withColumns({c: F.round(c, 3) for c in ("result_pct", "max_pct", "min_pct")})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barflow.session import scratch_path, stored
 from barflow.sources import sinks
@@ -27,6 +29,44 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str | None =
     return reader.parquet(folder)
 
 
+def in_time_order(df: DataFrame, name: str, ts: str = "ts", files: int = 8) -> str:
+    """Folder with the rows of ``df`` in ``files`` parts of time after time, which a stream reads in that order.
+
+    Streams take files by their time of change, so the parts get ascending ones; a file system that does not keep
+    them is refused.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.repartitionByRange(files, ts).sortWithinPartitions(ts).write.parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    start = int(time.time() * 1000) - 1000 * len(parts)
+    for i, part in enumerate(parts):
+        fs.setTimes(part, start + 1000 * i, -1)
+    changed = [fs.getFileStatus(p).getModificationTime() for p in parts]
+    if any(b <= a for a, b in zip(changed, changed[1:])):
+        raise RuntimeError(f"{path}: the file system keeps no times of change, give the stream a delay instead")
+    return path
+
+
+def disorder(spark: SparkSession, folder: str, ts: str = "ts") -> float:
+    """Seconds of ``delay`` with which a stream of ``folder`` keeps every row, whatever the number of files in a batch: what
+    a file's rows may be older than rows of files read before it, and a millisecond."""
+    files = spark.read.parquet(folder).groupBy(F.col("_metadata.file_modification_time").alias("changed"),
+                                               F.col("_metadata.file_path").alias("file")).agg(
+        F.min(F.unix_micros(ts)).alias("lo"), F.max(F.unix_micros(ts)).alias("hi"))
+    # files changed at the same time may come in any order
+    steps = files.where("hi IS NOT NULL").groupBy("changed").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("changed")
+    newest, most = None, 0
+    for r in steps.collect():  # one row for each time of change
+        before = max(x for x in (newest, r["hi"] if r["n"] > 1 else None, r["lo"]) if x is not None)
+        most, newest = max(most, before - r["lo"]), max(x for x in (newest, r["hi"]) if x is not None)
+    return (most // 1000 + 1) / 1e3
+
+
 def append_batches(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: a batch that is delivered again adds nothing."""
 

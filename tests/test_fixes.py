@@ -98,3 +98,17 @@ def test_live_hour_average_from_the_twentieth_hour(spark):
     want = [None] * 19 + [mean, mean + (closes[20] - mean) * 2 / 21]
     assert [got[r[1]] for r in rows[:19]] == want[:19]
     assert all(abs(got[rows[i][1]] - want[i]) < 1e-9 for i in (19, 20))
+
+
+def test_a_dust_close_clears_the_stop_count(spark):
+    from barflow.operators import positions
+
+    exits_seen = [("A", 0, "STOP"), ("A", 2, "DUST"), ("B", 0, "STOP"), ("C", 0, "DUST"), ("D", 0, "STOP"), ("D", 0.9, "DUST")]
+    streaks = positions.stop_streaks(spark.createDataFrame(
+        [(s, T0 + dt.timedelta(hours=h), code) for s, h, code in exits_seen], "symbol string, ts timestamp, exit_code string"))
+    seen = [("A", 1), ("A", 3), ("B", 3), ("C", 0.5), ("D", 0.95)]
+    rows = positions.with_exclusions(spark.createDataFrame(
+        [(s, T0 + dt.timedelta(hours=h)) for s, h in seen], "symbol string, cycle_ts timestamp"), streaks).collect()
+    got = {(r.symbol, r.cycle_ts): (r.stop_count, r.cooling) for r in rows}
+    assert [got[s, T0 + dt.timedelta(hours=h)] for s, h in seen] == [
+        (1, False), (0, False), (1, False), (0, False), (0, True)]

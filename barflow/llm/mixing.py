@@ -65,7 +65,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source",
         text_hash: Column | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
         seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` with a struct column ``_mix`` (size, source_size, target, copies)."""
+    """``docs`` with a struct column ``_mix`` (size, source_size, target, copies), in place of any of that name."""
     name = F.col(source_col)
     keys = {
         "_mix_size": F.coalesce(size.cast("long"), F.lit(0)),
@@ -74,9 +74,11 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
             "|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
         "_mix_tie": F.xxhash64(text_hash if text_hash is not None else F.lit(0)),
     }
-    keyed = docs.withColumns(keys)
+    carried = [c for c in docs.columns if c.lower() != "_mix"]
+    keyed = docs.select(F.struct(*carried).alias("_mix_doc"), F.col(id_col).alias("_mix_id"), name.alias("_mix_source"),
+                        *[v.alias(k) for k, v in keys.items()])
     classed = stored(keyed.select(
-        F.col(source_col).alias("source"), "_mix_src", "_mix_size",
+        F.col("_mix_source").alias("source"), "_mix_src", "_mix_size",
         size_class(F.col("_mix_size")).alias("_mix_class"), F.substring("_mix_order", 1, 8)
         .alias("_mix_prefix")), "mix-keys")
     sizes = classed.groupBy("source", "_mix_src").agg(
@@ -95,11 +97,11 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
                              F.col("target").alias("_mix_target")), "_mix_src")
     )
     within = Window.partitionBy(*bucket).orderBy(
-        "_mix_order", F.col(id_col), "_mix_size", "_mix_tie")
+        "_mix_order", "_mix_id", "_mix_size", "_mix_tie")
     rank = F.col("_mix_before") + F.row_number().over(within)
     rate = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(
         F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(name, F.lit("")))),
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce("_mix_source", F.lit("")))),
                                 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return (
         keyed.withColumn("_mix_class", size_class(F.col("_mix_size")))
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
         .withColumn("_mix_copies", F.least(F.lit(math.ceil(cap)), (
             F.floor(F.col("_mix_rank") * F.col("_mix_rate") + offset)
             - F.floor((F.col("_mix_rank") - 1) * F.col("_mix_rate") + offset))))
-        .select(*docs.columns, F.struct(
+        .select("_mix_doc.*", F.struct(
             F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"),
             F.col("_mix_target").alias("target"), F.col("_mix_copies").cast("long")
             .alias("copies")).alias("_mix"))
@@ -119,8 +121,8 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
 def emit(mixed: DataFrame) -> DataFrame:
     """One row per copy taken, with the columns that went in."""
     keep = [c for c in mixed.columns if c != "_mix"]
-    return mixed.where(F.col("_mix.copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select(*keep)
+    return mixed.where(F.col("_mix.copies") > 0).select(
+        F.struct(*keep).alias("row"), F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select("row.*")
 
 
 SQL = r"""

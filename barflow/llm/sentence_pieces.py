@@ -126,7 +126,8 @@ class Lattice:
                     if base + s > best[j]:
                         best[j] = base + s
         out, order = [], 0
-        heap: list = [(-best[size], 0, size, 0.0, ())]
+        # cuts of a branch: its first one and those after it, which branches share
+        heap: list = [(-best[size], 0, size, 0.0, None)]
         while heap and len(out) < n:
             _, _, at, so_far, cuts = heapq.heappop(heap)
             while at:
@@ -139,10 +140,14 @@ class Lattice:
                         order += 1
                         # complete with the best of i: exactly best[i] + s + so_far
                         heapq.heappush(heap, (-(best[i] + s + so_far), order, i, so_far + s,
-                                              (i, *cuts)))
+                                              (i, cuts)))
                 at, so_far = choice[0], so_far + choice[1]
-                cuts = (at, *cuts)
-            marks = [*cuts, size]
+                cuts = (at, cuts)
+            marks = []
+            while cuts is not None:
+                at, cuts = cuts
+                marks.append(at)
+            marks.append(size)
             out.append((so_far, [text[a:b] for a, b in zip(marks, marks[1:], strict=False)]))
         return out
 

@@ -191,17 +191,19 @@ def near_duplicates(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (of the smallest
     text hash among rows of one id)."""
-    marked = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    row = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"),
-                   F.xxhash64(text_col).alias("h"), F.col("_row").alias("r"))
-    keyed = marked.select(row.alias("row"), F.col(text_col).alias("_text"))
+    marked = stored(docs.select(
+        F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")), "simhash-docs")
+    field = F.col("doc").getField
+    row = F.struct(field(id_col).isNull().alias("n"), field(id_col).alias("d"),
+                   F.xxhash64(field(text_col)).alias("h"), F.col("_row").alias("r"))
+    keyed = marked.select(row.alias("row"), field(text_col).alias("_text"))
     prints = stored(fingerprints(keyed, "_text", "row"), "simhash-prints")
     reps = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-reps")
     found = components(links(reps.select("fp")))
     kept = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left") \
         .groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
     return marked.join(kept.select(F.col("least.r").alias("_row")), "_row", "left_semi") \
-        .select(*docs.columns)
+        .select("doc.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -57,17 +57,18 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
 def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source",
                      ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with the boilerplate lines of their hosts taken out of ``text_col``; a struct
-    ``_lines`` (total, removed) is added."""
+    ``_lines`` (total, removed) is added, in place of any column of that name."""
     gone = stored(boilerplate(docs, text_col, host_col, ratio, min_pages), "boilerplate")
-    lines = F.split(F.col(text_col), "\n")
+    field, carried = F.col("_doc").getField, [c for c in docs.columns if c.lower() != "_lines"]
     keep = F.filter(F.col("_all"), lambda x: ~F.array_contains(F.col("_gone"), line_key(x)))
     rest = F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(keep)
     return (
-        docs.withColumn("_host", _host(host_col)).join(gone, "_host", "left")
-        .withColumn("_all", lines).withColumn("_rest", rest)
-        .select(*[F.when(F.size("_rest") == F.size("_all"), F.col(text_col))
-                  .otherwise(F.array_join("_rest", "\n")).alias(c) if c == text_col else F.col(c)
-                  for c in docs.columns],
+        docs.select(F.struct(*docs.columns).alias("_doc"), _host(host_col).alias("_host"),
+                    F.split(F.col(text_col), "\n").alias("_all"))
+        .join(gone, "_host", "left").withColumn("_rest", rest)
+        .select(*[F.when(F.size("_rest") == F.size("_all"), field(text_col))
+                  .otherwise(F.array_join("_rest", "\n")).alias(c) if c == text_col else field(c).alias(c)
+                  for c in carried],
                 F.struct(F.coalesce(F.size("_all"), F.lit(0)).alias("total"),
                          F.coalesce(F.size("_all") - F.size("_rest"), F.lit(0)).alias("removed"))
                 .alias("_lines"))

@@ -11,9 +11,10 @@ from parity import compare
 
 import corpus_pipeline
 from barflow.llm import (
-    language_model, mixing, neighbours, quality, queries, sentence_pieces, simhash, site_lines,
+    language_model, mixing, neighbours, quality, queries, sentence_pieces, shingle_pairs, simhash, site_lines,
     token_counts, toxicity, warc,
 )
+from barflow.llm.common import word_count
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 12000
@@ -264,3 +265,42 @@ def test_pipeline_against_plain_stages(spark):
     assert max(copies.values()) <= 2
     firsts = {r.component_id for r in simhash.op7_simhash(spark, SF).collect()}
     assert len({r.doc_id for r in rows}) <= len(firsts)
+
+
+CLASHING = ["_row", "_mix", "_mix_size", "_mix_src", "_copy", "_host", "_all", "_gone", "_rest", "_text", "doc", "row", "size",
+            "text_", "_lines"]
+
+
+@pytest.mark.parametrize("name, reserved", [("mix", "_mix"), ("simhash", None), ("shingles", None), ("lines", "_lines")])
+def test_columns_of_any_name_are_carried(spark, docs_of, name, reserved):
+    rows = [(i, f"text {i} of some words\nand a line\nof its own {i * i}", "ab"[i % 2]) for i in range(40)]
+    docs = docs_of(rows).selectExpr("*", *[f"doc_id * 100 + {k} AS `{c}`" for k, c in enumerate(CLASHING)])
+    got = {
+        "mix": lambda: mixing.emit(mixing.mix(docs, word_count("text"))),
+        "simhash": lambda: simhash.keep_one(docs), "shingles": lambda: shingle_pairs.keep_one(docs),
+        "lines": lambda: site_lines.drop_boilerplate(docs).drop("_lines"),
+    }[name]()
+    kept = [c for c in CLASHING if c != reserved]
+    assert got.columns == [c for c in docs.columns if c != reserved]
+    found = got.collect()
+    assert found
+    for r in found:
+        assert [r[c] for c in kept] == [r.doc_id * 100 + CLASHING.index(c) for c in kept]
+
+
+def test_an_unbroken_string_takes_memory_in_proportion():
+    import tracemalloc
+
+    model = sentence_pieces.lattice_of(None)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    tracemalloc.start()
+    try:
+        found = model.search("▁" + text, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20
+    assert len({tuple(p) for _, p in found}) == 4
+    assert all("".join(p) == "▁" + text for _, p in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)

@@ -4,7 +4,7 @@ Each whole text is measured once, with its normalised lines (lower case, single
 hashes and their word counts; the measured rows are written and everything after works on them
 without the texts. A line's frequency on a host is the number of different texts of the host that
 hold it, so exact copies count once and are judged alike. A line is over its limit when that number
-is above both a floor and a share of the host's different texts; it is then removed from all
+is above ``LINE_TEXTS``, however large the host is; it is then removed from all
 texts of the host but the first (by least document id) that holds it. A text is depleted, and
 rejected, when what is left of its words is below a share, or too short a text of which most is gone.
 
@@ -31,9 +31,8 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
-#: A line is over its limit above this many different texts of a host and this share of them.
+#: A line is over its limit above this many different texts of a host.
 LINE_TEXTS = 10
-LINE_SHARE = 0.002
 #: A text is depleted if less than KEPT_SHARE of its words is left, or less than HALF_SHARE and
 #: fewer than MIN_WORDS words.
 KEPT_SHARE = 0.2
@@ -143,8 +142,6 @@ def measure(docs: DataFrame, text_col: str = "text", host_col: str = "source",
 
 def judge(measured: DataFrame) -> DataFrame:
     """``measured`` (a written table) without its lines, with base_failed, removed_words, kept."""
-    texts = measured.groupBy("host", "text_hash").agg(F.min("id").alias("id"))
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     held = measured.select("row", "id", "host", "text_hash", F.explode("lines").alias("l")).select(
         "row", "id", "host", "text_hash", "l.line", "l.words")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"),
@@ -154,8 +151,7 @@ def judge(measured: DataFrame) -> DataFrame:
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
         .where(F.col("n") > LINE_TEXTS)
     )
-    over = counts.join(hosts, "host").where(F.col("n") > F.col("texts") * LINE_SHARE) \
-        .select("host", "line", F.col("first.text_hash").alias("first_hash"))
+    over = counts.select("host", "line", F.col("first.text_hash").alias("first_hash"))
     removed = (
         held.join(over, ["host", "line"]).where("text_hash <> first_hash")
         .groupBy("row").agg(F.sum("words").alias("removed_words"))
@@ -212,10 +208,8 @@ lk AS (SELECT r, source, text, doc_id, line, len(lws) AS n,
        FROM lw WHERE len(lws) > 0),
 dup AS (SELECT r, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n FROM lk GROUP BY r),
 tx AS (SELECT source, text, min(doc_id) AS id FROM lk GROUP BY 1, 2),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY 1),
 cnt AS (SELECT source, key, count(DISTINCT text) AS n, min(doc_id) AS first_id FROM lk GROUP BY 1, 2),
-over_ AS (SELECT c.source, c.key, c.first_id FROM cnt c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-          WHERE n > 10 AND n > texts * CAST(0.002 AS DOUBLE)),
+over_ AS (SELECT source, key, first_id FROM cnt WHERE n > 10),
 rem AS (
   SELECT lk.r, CAST(sum(lk.n) AS BIGINT) AS n FROM lk
   JOIN over_ o ON o.key = lk.key AND o.source IS NOT DISTINCT FROM lk.source

@@ -304,3 +304,14 @@ def test_an_unbroken_string_takes_memory_in_proportion():
     assert len({tuple(p) for _, p in found}) == 4
     assert all("".join(p) == "▁" + text for _, p in found)
     assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
+@pytest.mark.parametrize("others", [300, 9000])
+def test_a_template_is_judged_alike_on_hosts_of_any_size(spark, docs_of, others):
+    def lines(name, n):
+        return [" ".join(f"{name}{j}w{k}" for k in range(9)) for j in range(n)]
+
+    rows = [(i, "\n".join(lines(f"page{i}x", 4)), "a") for i in range(others)]
+    rows += [(100_000 + i, "\n".join([*lines("template", 9), f"no {i}"]), "a") for i in range(25)]
+    kept = {r.doc_id for r in quality.keep_good(docs_of(rows)).select("doc_id").collect()}
+    assert kept == {*range(others), 100_000}

@@ -31,6 +31,15 @@ LEGS = "legs array<struct<t:double,exit_code:string,cost:double,net:double,is_fi
 OPEN = f"position_id string, symbol string, block bigint, {exits.HELD_SCHEMA}"
 
 
+def text_columns(schema: str) -> list[str]:
+    return [c.split()[0].strip("`") for c in schema.split(", ") if c.split()[1] == "string"]
+
+
+def with_text(pdf: pd.DataFrame, schema: str) -> pd.DataFrame:
+    """Text columns as Python objects, also where all values are missing, which pandas makes numbers of."""
+    return pdf.assign(**{c: pdf[c].astype(object).where(pdf[c].notna(), None) for c in text_columns(schema)})
+
+
 # --- what each position would come to ----------------------------------------------------------------
 
 
@@ -71,7 +80,7 @@ def followed(entries: DataFrame, polls: DataFrame, block_s: int = 604_800, rules
         out = pd.concat(legs, ignore_index=True) if legs else pd.DataFrame(columns=exits.LEG_COLUMNS)
         names = [c.split()[0] for c in OPEN.split(", ")]
         rest = pd.DataFrame(left, columns=names).add_prefix("o_")
-        return pd.concat([out, rest], ignore_index=True).reindex(columns=columns)
+        return with_text(pd.concat([out, rest], ignore_index=True).reindex(columns=columns), moved)
 
     moved = ", ".join([exits.LEG_SCHEMA, *[f"o_{c}" for c in OPEN.split(", ")]])
     columns = [c.split()[0] for c in moved.split(", ")]
@@ -230,7 +239,8 @@ def run(candidates: DataFrame, polls: DataFrame, accounts: DataFrame, rules: Rul
                     for row, d in zip(group, decide_cycle(account, group, rules), strict=True)]
         done = found[names].assign(**dict(zip(added, zip(*out), strict=True))) if out else found.reindex(columns=[*names, *added])
         last = pd.DataFrame({"account": [key[0]], "_state": [saved(account)]})
-        return pd.concat([done.assign(_state=None), last], ignore_index=True).reindex(columns=[*names, *added, "_state"])
+        return with_text(pd.concat([done.assign(_state=None), last], ignore_index=True).reindex(
+            columns=[*names, *added, "_state"]), schema)
 
     state = accounts.select("account", "cash", F.lit(None).cast("string").alias("_state"))
     parts = []

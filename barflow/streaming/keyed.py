@@ -113,6 +113,8 @@ class InTimeOrder(StatefulProcessor):
 
 def _by_symbol(rows: DataFrame, processor: StatefulProcessor, schema, delay: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # a commit writes what has changed, not a copy of the whole store
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return (
         rows.where("ts IS NOT NULL").withWatermark("ts", delay).withColumn("event_us", F.unix_micros("ts")).groupBy("symbol")
         .transformWithStateInPandas(processor, schema, "Append", "EventTime")

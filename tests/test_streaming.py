@@ -13,7 +13,7 @@ from barflow.operators.bars import build_bars
 from barflow.operators.throttle import throttle
 from barflow.streaming import keyed
 from barflow.streaming.bars import stream_bars
-from barflow.streaming.runtime import append_batches, cadence, drain, read_stream
+from barflow.streaming.runtime import append_batches, cadence, disorder, drain, in_time_order, read_stream
 
 DAY = dt.timedelta(days=1)
 
@@ -185,3 +185,61 @@ def test_repeated_batch_adds_nothing(spark, ticks, tmp_path):
     write(ticks, 1)
     assert spark.read.parquet(f"{tmp_path}/out").count() == ticks.count()
     assert cadence("positions") == {"processingTime": "2 seconds"}
+
+
+def hourly_files(spark, df, folder, reverse):
+    """One file for each hour, changed in time order or against it."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    table = df.orderBy("ts").toArrow()
+    hour = pc.floor_temporal(table["ts"], unit="hour")
+    os.makedirs(folder)
+    hours = sorted(pc.unique(hour).to_pylist())
+    for i, h in enumerate(hours):
+        path = f"{folder}/{i:03d}.parquet"
+        pq.write_table(table.filter(pc.equal(hour, pa.scalar(h, hour.type))), path, coerce_timestamps="us")
+        changed = 1_700_000_000 + (len(hours) - i if reverse else i)
+        os.utime(path, (changed, changed))
+    return len(hours)
+
+
+@pytest.mark.parametrize("reverse", [True, False])
+def test_many_files_against_time_order(spark, ticks, tmp_path, reverse):
+    folder = f"{tmp_path}/in"
+    assert hourly_files(spark, ticks, folder, reverse) > 20
+    spread = disorder(spark, folder)
+    assert (spread > 86_400) == reverse and spread >= 0.001
+    # what the last watermark has not passed stays in state: a row of another symbol far ahead takes it along
+    late = spark.createDataFrame([("~", T0 + 90 * DAY, 1.0, 1.0)], ticks.schema)
+    late.coalesce(1).write.mode("append").parquet(folder)
+    want = sorted(throttle(ticks).collect())
+    stream = read_stream(spark, folder, ticks.schema, files_per_batch=4)
+    got = drain(keyed.stream_throttle(stream, delay=f"{spread} seconds"), "t").where("symbol <> '~'")
+    assert sorted(got.collect()) == want
+    # or put in time order first, and no delay is needed
+    ordered = in_time_order(spark.read.schema(ticks.schema).parquet(folder), "ordered", files=24)
+    assert disorder(spark, ordered) <= 0.001
+    stream = read_stream(spark, ordered, ticks.schema, files_per_batch=2)
+    got = drain(keyed.stream_throttle(stream, delay="1 second"), "t").where("symbol <> '~'")
+    assert sorted(got.collect()) == want
+
+
+def test_waiting_rows_are_kept_by_slices(spark, ticks, tmp_path):
+    """The state holds an entry for each slice that waits, and none for what the watermark has passed."""
+    folder, checkpoint = f"{tmp_path}/in", f"{tmp_path}/checkpoint"
+    hourly_files(spark, ticks, folder, False)
+    stream = read_stream(spark, folder, ticks.schema, files_per_batch=3)
+    drain(keyed.stream_throttle(stream, delay="2 hours"), "t", checkpoint=checkpoint)
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
+    found = state.selectExpr("key.symbol AS symbol", "user_map_key.slice AS slice") if "user_map_key" in state.columns \
+        else state.selectExpr("key.symbol AS symbol", "explode(map_keys(map_value)).slice AS slice")
+    width = max(keyed.SLICE_US, 7200 * 1_000_000 // 16)
+    newest = max(r.ts for r in ticks.collect()).timestamp() * 1e6
+    slices = [r.slice for r in found.collect()]
+    assert slices and len(slices) == len(set(map(tuple, found.collect())))
+    assert all((s + 1) * width > newest - 7200e6 - 1000 for s in slices)
+    assert len(slices) <= 2 * (7200 * 1_000_000 // width + 2)

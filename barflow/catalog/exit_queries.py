@@ -24,7 +24,7 @@ def price_path(spark: SparkSession, d: str, n: int = PATH_TICKS) -> DataFrame:
     """Ticks whose price is the mean of the symbol's last n values: a path without wild jumps."""
     indexed = series.halo_chunks(series.with_row_index(ticks(spark, d), width="hour"), 65_536, n)
     mean = F.avg("price").over(ind.bar_window().rowsBetween(-(n - 1), 0))
-    return series.drop_halo(indexed.withColumn("price", mean)).where(F.col("idx") >= n).select(
+    return series.drop_halo(indexed.withColumn("price", mean)).where(F.col("idx") >= n - 1).select(
         "symbol", "ts", "price", "qty", "idx")
 
 
@@ -95,7 +95,7 @@ R = EXIT_RULES
 LEGS_SQL = f"""WITH RECURSIVE {sql_ticks()}, raw AS (
   SELECT symbol, ts, qty, avg(price) OVER {rows(PATH_TICKS - 1)} AS price,
          row_number() OVER {W} - 1 AS idx FROM ticks), path AS (
-  SELECT symbol, ts, qty, price FROM raw WHERE idx >= {PATH_TICKS}), entries AS (
+  SELECT symbol, ts, qty, price FROM raw WHERE idx >= {PATH_TICKS - 1}), entries AS (
   SELECT symbol || '@' || strftime(day, '%Y-%m-%d') AS pid, symbol, entry_ts, e,
          CASE WHEN k % 4 = 0 THEN 40.0::DOUBLE ELSE 20 END AS cost, k,
          CASE WHEN k % 9 = 0 THEN 0.15::DOUBLE

@@ -86,11 +86,13 @@ def q_shadow_layouts(spark, d):
 
 
 def q_bar_files(spark, d):
-    """Newest fifty bars of two symbols since a day, from a table of two timeframes."""
+    """Newest fifty bars of each symbol in the last ten days, from a table of two timeframes."""
     path = scratch_path(spark, "bar-files")
     for tf in ("15m", "1h"):
         market.write_bars(bars(spark, d, tf).drop("idx"), path, tf)
-    df = market.read_bars(spark, path, "1h", ["click", "view"], "2024-01-20 00:00:00", 50)
+    newest = bars(spark, d, "1h").agg(F.max("ts").alias("at"))
+    since = newest.select(F.date_trunc("day", F.col("at") - F.expr("INTERVAL 10 DAYS")).cast("string")).first()[0]
+    df = market.read_bars(spark, path, "1h", since=since, limit=50)
     return df.select("symbol", "tf", micros(), *rounded("o", "h", "l", "c", "v"))
 
 
@@ -126,7 +128,8 @@ def q_ticker_maps(spark, d):
 
 
 def q_trade_dual_write(spark, d):
-    """Both trade records of a stream of legs that is delivered twice."""
+    """Both trade records of a stream of legs that another stream delivers again, and the first once more from its
+    checkpoint."""
     root = scratch_path(spark, "dual-write")
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     legs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -136,8 +139,8 @@ def q_trade_dual_write(spark, d):
         F.col("l_quantity").alias("rsi"), F.col("l_discount").alias("book_ratio"))
     legs.repartition(4).write.parquet(f"{root}/legs")
     keys = [schemas.TRADE_NAMES[c] for c in ("ts", "symbol", "wallet", "rsi", "net")]
-    sink = runtime.trade_batches(f"{root}/short", f"{root}/long", keys)
-    for attempt in ("first", "again"):
+    for attempt in ("first", "again", "first"):
+        sink = runtime.trade_batches(f"{root}/short", f"{root}/long", keys, writer=attempt)
         stream = runtime.read_stream(spark, f"{root}/legs", legs.schema, files_per_batch=2)
         stream.writeStream.foreachBatch(sink).option(
             "checkpointLocation", f"{root}/{attempt}").trigger(availableNow=True).start(
@@ -211,6 +214,22 @@ def q_label_quarantine(spark, d):
     return rejects.select("symbol", "ts_ms", "status", "n_bars")
 
 
+def q_label_by_symbol(spark, d):
+    """Two runs with a mark for each symbol: half of the symbols' signals arrive only after the first run, whose time has
+    passed all of them."""
+    root = scratch_path(spark, "labels-by-symbol")
+    shadow = ticks(spark, d, "user_id").select("symbol", "ts", F.unix_millis("ts").alias("ts_ms"), "price")
+    early = F.col("symbol").cast("int") % 2 == 0
+    known = bars(spark, d, by="user_id")
+    for at, at_ms, part in zip(RUNS, RUN_MS, (early, F.lit(True))):
+        labeling_job.run_by_symbol(
+            spark, shadow.where(part), known.where(F.col("ts") < F.lit(at).cast("timestamp")), f"{root}/labels",
+            f"{root}/marks", at_ms, JOB_RULES, f"{root}/rejects")
+    marks = sinks.read_marks(spark, f"{root}/marks")
+    return sinks.read_table(spark, f"{root}/labels").join(marks, "symbol").select(
+        "symbol", "ts_ms", "outcome", *rounded("result_pct", digits=3), "mark_ms")
+
+
 # --- training contract --------------------------------------------------------------------------------
 
 
@@ -264,7 +283,7 @@ QUERIES = {
     "bar_files": q_bar_files, "wallet_maps": q_wallet_maps, "ticker_maps": q_ticker_maps,
     "trade_dual_write": q_trade_dual_write, "reconcile_stream": q_reconcile_stream,
     "progress_mark": q_progress_mark, "label_incremental": q_label_incremental,
-    "label_quarantine": q_label_quarantine, "run_metrics": q_run_metrics,
+    "label_quarantine": q_label_quarantine, "label_by_symbol": q_label_by_symbol, "run_metrics": q_run_metrics,
     "gate_branches": q_gate_branches, "score_contract": q_score_contract,
     "observe_only": q_observe_only,
 }
@@ -314,7 +333,7 @@ FROM e""",
     "bar_files": f"""WITH {sql_ticks()}, {sql_bars(width='1 hour')}
 SELECT symbol, '1h' AS tf, epoch_us(ts) AS ts, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l,
        round(c, 6) AS c, round(v, 6) AS v
-FROM bars WHERE symbol IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-20'
+FROM bars WHERE ts >= (SELECT date_trunc('day', max(ts) - INTERVAL 10 DAY) FROM bars)
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 50""",
     "wallet_maps": f"""
 SELECT {BLOCK_US} AS snapshot_ts, 'C' || c_custkey AS coin, c_acctbal AS total,
@@ -342,6 +361,19 @@ FROM m, unnest([0, 1, 2, 3]) AS u(step)""",
 SELECT symbol, ts_ms, outcome, result_pct, max_pct, min_pct FROM fates WHERE status = 'LABELED'""",
     "label_quarantine": f"""{BOTH_RUNS}
 SELECT symbol, ts_ms, status, n_bars FROM fates WHERE status IN ('BAD', 'GIVE_UP')""",
+    "label_by_symbol": """WITH a AS (SELECT * FROM ({one}) WHERE CAST(symbol AS INTEGER) % 2 = 0),
+b AS (SELECT * FROM ({two})), m1 AS (
+  SELECT symbol, coalesce(min(CASE WHEN status = 'WAIT' THEN ts_ms - 1 END), max(CASE WHEN status <> 'WAIT' THEN ts_ms END)) AS mark
+  FROM a GROUP BY 1), second AS (
+  SELECT b.* FROM b LEFT JOIN m1 USING (symbol) LEFT JOIN a ON a.symbol = b.symbol AND a.ts_ms = b.ts_ms AND a.status = 'LABELED'
+  WHERE b.ts_ms > coalesce(mark, 0) AND a.symbol IS NULL), m2 AS (
+  SELECT symbol, coalesce(min(CASE WHEN status = 'WAIT' THEN ts_ms - 1 END), max(CASE WHEN status <> 'WAIT' THEN ts_ms END)) AS mark
+  FROM second GROUP BY 1), marks AS (
+  SELECT symbol, max(mark) AS mark_ms FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) GROUP BY 1)
+SELECT symbol, ts_ms, outcome, result_pct, mark_ms FROM (
+  SELECT * FROM a WHERE status = 'LABELED' UNION ALL SELECT * FROM second WHERE status = 'LABELED') JOIN marks USING (symbol)
+""".format(one=_sql_labels(0).replace("CASE WHEN qty % 10 > 0 THEN price END AS price", "price"),
+           two=_sql_labels(1).replace("CASE WHEN qty % 10 > 0 THEN price END AS price", "price")),
     "run_metrics": f"""WITH {LEGS_SQL}
 SELECT CAST(sum(n_legs) AS BIGINT) AS n_rows, count(*) AS n_positions,
        CAST(sum(is_loss) AS BIGINT) AS n_positive FROM tgt""",

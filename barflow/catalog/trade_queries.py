@@ -161,6 +161,16 @@ def q_mark_to_market(spark, d):
                                         "age_h", "max_pct"), *flags("half_sold", "large"))
 
 
+def q_position_report(spark, d):
+    """Positions and cash: customers of one nation keep theirs in the cash coin."""
+    cash = table(spark, d, "customer").select(
+        F.when(F.col("c_nationkey") == 3, "USDT").otherwise("-").alias("coin"), F.col("c_acctbal").alias("total"))
+    df = positions.position_report(_held(spark, d), _wallet_tickers(spark, d), cash, AS_OF)
+    return df.select("kind", "symbol", F.coalesce("sign", F.lit("")).alias("sign"), F.round("value", 4).alias("value"),
+                     *[F.round(F.coalesce(c, F.lit(-1.0)), 5).alias(c) for c in ("price", "net_pct", "max_pct")],
+                     F.coalesce(F.col("half_sold").cast("int"), F.lit(-1)).alias("half_sold"))
+
+
 def q_position_state(spark, d):
     """Stored positions with defaults for what is missing or zero."""
     raw = _held(spark, d).withColumns({
@@ -351,7 +361,7 @@ QUERIES = {
     "legs_to_positions": q_legs_to_positions, "class_balance": q_class_balance,
     "trade_pnl": q_trade_pnl, "vwap": q_vwap, "imbalance": q_imbalance,
     "book_depth": q_book_depth, "reconcile": q_reconcile, "wallet_scan": q_wallet_scan,
-    "mark_to_market": q_mark_to_market, "position_state": q_position_state, "priced_positions": q_priced_positions,
+    "mark_to_market": q_mark_to_market, "position_report": q_position_report, "position_state": q_position_state, "priced_positions": q_priced_positions,
     "held_tickers": q_held_tickers, "cumulative_profit": q_cumulative_profit,
     "running_top": q_running_top, "pnl_rollup": q_pnl_rollup, "chrono_split": q_chrono_split,
     "auc": q_auc, "stop_streak": q_stop_streak, "exclusions": q_exclusions,
@@ -489,6 +499,18 @@ SELECT symbol, round(entry_price, 6) AS entry_price, round(price, 6) + 0.0 AS pr
        round(coalesce(max_ratio, 0) * 100, 6) AS max_pct, CAST(half_sold AS INTEGER) AS half_sold,
        CAST(cost > 30 AS INTEGER) AS large
 FROM p""",
+    "position_report": f"""WITH {WALLET_SQL}, p AS (
+  SELECT h.*, coalesce(t.last, h.entry_price) AS price,
+         {RATIO.format(x='coalesce(t.last, h.entry_price)', e='entry_price')} * 100 AS net_pct
+  FROM held h LEFT JOIN tickers t USING (symbol))
+SELECT 'POSITION' AS kind, symbol, CASE WHEN net_pct >= 0 THEN '+' ELSE '-' END AS sign,
+       round(cost + (price - entry_price) * cost / entry_price, 4) + 0.0 AS value, round(price, 5) + 0.0 AS price,
+       round(net_pct, 5) + 0.0 AS net_pct, round(coalesce(max_ratio, 0) * 100, 5) AS max_pct,
+       CAST(half_sold AS INTEGER) AS half_sold
+FROM p
+UNION ALL
+SELECT 'CASH', 'USDT', '', round(coalesce(sum(c_acctbal), 0), 4) + 0.0, -1, -1, -1, -1
+FROM customer WHERE c_nationkey = 3""",
     "position_state": f"""WITH {WALLET_SQL}
 SELECT symbol, CASE WHEN half_sold THEN 20.0::DOUBLE ELSE cost END AS cost,
        round(coalesce(max_ratio, 0), 6) AS max_ratio, CAST(half_sold AS INTEGER) AS half_sold,

@@ -46,6 +46,19 @@ def mark_to_market(positions: DataFrame, tickers: DataFrame, as_of: str,
     )
 
 
+def position_report(positions: DataFrame, tickers: DataFrame, balances: DataFrame, as_of: str,
+                    rules: Rules = Rules(), cash_coin: str = "USDT") -> DataFrame:
+    """Open positions at current prices, and a line of the wallet's cash (``kind`` CASH, its total as ``value``), which is
+    there without positions too, and 0 without a balance. ``sign`` is + or - by the net return."""
+    held = mark_to_market(positions, tickers, as_of, rules).select(
+        F.lit("POSITION").alias("kind"), "symbol", "entry_price", "price", "cost",
+        (F.col("cost") + F.col("unrealized")).alias("value"), "unrealized", "net_pct", "age_h", "max_pct", "half_sold", "large",
+        F.when(F.col("net_pct") >= 0, "+").otherwise("-").alias("sign"))
+    cash = balances.where(F.col("coin") == cash_coin).agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("value"))
+    return held.unionByName(cash.select(F.lit("CASH").alias("kind"), F.lit(cash_coin).alias("symbol"), "value"),
+                            allowMissingColumns=True)
+
+
 def priced_positions(positions: DataFrame, tickers: DataFrame) -> DataFrame:
     """Positions whose symbol has a price; the others are left for the next pass."""
     priced = tickers.where(F.coalesce(F.col("last"), F.lit(0.0)) != 0)

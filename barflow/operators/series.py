@@ -145,12 +145,17 @@ def asof_many(left: DataFrame, rights: list[Right], key: str | None = KEY, left_
         stop = f"least(_last_left, coalesce(_next, date_trunc('{width}', {end})))"
         # a key needs carries up to its last left row only
         needed = stacked.where("_left IS NOT NULL").groupBy(*keys).agg(
-            F.max("_chunk").alias("_last_left"))
+            F.max("_chunk").alias("_last_left")) if keys else None
         carries = right_rows.groupBy(*keys, "_chunk").agg(*lasts).selectExpr(
             *keys, f"_chunk + {step} AS _from", f"lead(_chunk) {_over(keys, '_chunk')} AS _next",
             *[f"last({r}, true) {_over(keys, '_chunk', UPTO)} AS {r}" for r in names]
         )
-        carries = (carries.join(needed, keys) if keys else carries.crossJoin(needed)).where(f"_from <= {stop}").selectExpr(
+        if keys:
+            carries = carries.join(needed, keys)
+        else:  # one row
+            last = stacked.where("_left IS NOT NULL").agg(F.max("_chunk").alias("at")).first()["at"]
+            carries = carries.withColumn("_last_left", F.lit(last).cast("timestamp"))
+        carries = carries.where(f"_from <= {stop}").selectExpr(
             *keys, f"explode(sequence(_from, {stop}, {step})) AS _chunk", *names)
     carries = carries.selectExpr("*", "_chunk AS _ts", "-1 AS _side")
     frame = _over([*keys, "_chunk"], "_ts, _side", UPTO)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow import schemas
@@ -44,13 +44,77 @@ def append_csv(df: DataFrame, path: str, columns: list[str], renamed: dict[str,
         "escape", '"').csv(layouts.part_path(path, layout))
 
 
+#: Partition column of tables that are appended to by key: the first day of the rows' month.
+MONTH = "event_month"
+
+
+def month_of(df: DataFrame, keys: list[str]) -> Column | None:
+    """Month of a row by its first time among the ``keys`` (a time, a date, or milliseconds named ``ts_ms``); None if no key is
+    one."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    for key in keys:
+        if kinds[key] in ("timestamp", "timestamp_ntz", "date"):
+            return F.trunc(F.col(key).cast("date"), "month")
+        if key == "ts_ms":
+            return F.trunc(F.timestamp_millis(key).cast("date"), "month")
+    return None
+
+
+def of_months(spark: SparkSession, path: str, columns: list[str], lo, hi) -> DataFrame | None:
+    """``columns`` of a table's rows of the months from that of ``lo`` to that of ``hi``, of which only those partitions are
+    read; the schema comes from one file."""
+    if not exists(spark, path):
+        return None
+    df = spark.read.parquet(path)
+    if MONTH in df.columns:
+        inside = F.col(MONTH).between(F.trunc(F.lit(lo), "month"), F.trunc(F.lit(hi), "month"))
+        df = df.where(F.col(MONTH).isNull() | (F.lit(False) if lo is None else inside))
+    return df.select(*columns)
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append only rows whose keys the table does not hold: safe to repeat after a failure."""
-    known = read_table(df.sparkSession, path)
-    fresh = df.dropDuplicates(keys)
+    """Append only rows whose keys the table does not hold: safe to repeat after a failure.
+
+    If a key is a time the table is partitioned by month, and only the months of ``df`` are looked at.
+    """
+    month, fresh = month_of(df, keys), df.dropDuplicates(keys)
+    if month is None:
+        known = read_table(df.sparkSession, path)
+        known = None if known is None else known.select(*keys)
+    else:
+        ends = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).first()
+        known = of_months(df.sparkSession, path, keys, ends.lo, ends.hi)
     if known is not None:
-        fresh = fresh.join(known.select(*keys), keys, "left_anti")
-    append_table(fresh, path)
+        fresh = fresh.join(known, keys, "left_anti")
+    if month is None:
+        append_table(fresh, path)
+    else:
+        # a month's rows together, in several tasks if they are many
+        fresh.withColumn(MONTH, month).hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def ledger_entry(path: str, writer: str, batch: int) -> str:
+    return f"{path.rstrip('/')}_ledger/{writer}/{batch}"
+
+
+def committed(spark: SparkSession, path: str, writer: str, batch: int) -> bool:
+    """Whether ``writer`` has appended this batch to the table."""
+    return exists(spark, ledger_entry(path, writer, batch))
+
+
+def commit(spark: SparkSession, path: str, writer: str, batch: int) -> None:
+    """Note, after the append, that the batch is in the table: one empty file, whose name is all that is ever looked up."""
+    entry = spark._jvm.org.apache.hadoop.fs.Path(ledger_entry(path, writer, batch))
+    entry.getFileSystem(spark._jsc.hadoopConfiguration()).create(entry, True).close()
+
+
+def append_batch(df: DataFrame, path: str, keys: list[str], writer: str, batch: int) -> None:
+    """Append a numbered batch once: a batch in the ledger is recognised without reading the table, one that failed
+    before its entry is appended again by ``append_new``."""
+    spark = df.sparkSession
+    if not committed(spark, path, writer, batch):
+        append_new(df, path, keys)
+        commit(spark, path, writer, batch)
 
 
 def trade_records(legs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +145,33 @@ def write_mark(spark: SparkSession, path: str, mark: int) -> None:
             "append").text(path)
 
 
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """Progress by symbol (symbol, mark_ms) as of the newest complete version; none at first."""
+    versions = mark_versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], "symbol string, mark_ms bigint")
+    return spark.read.schema("symbol string, mark_ms bigint").parquet(f"{path}/version={versions[-1]}")
+
+
+def mark_versions(spark: SparkSession, path: str) -> list[int]:
+    if not exists(spark, path):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    found = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+    return [v for v in found if exists(spark, f"{path}/version={v}/_SUCCESS")]
+
+
+def write_marks(spark: SparkSession, path: str, marks: DataFrame) -> None:
+    """Take in newer marks (symbol, mark_ms): a new version of one row per symbol, which readers see when it is complete. A
+    mark never goes back."""
+    versions = mark_versions(spark, path)
+    every = read_marks(spark, path).unionByName(marks.select("symbol", F.col("mark_ms").cast("bigint")))
+    every.groupBy("symbol").agg(F.max("mark_ms").alias("mark_ms")).write.mode("overwrite").parquet(
+        f"{path}/version={versions[-1] + 1 if versions else 0}")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

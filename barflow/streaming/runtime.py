@@ -67,22 +67,27 @@ def disorder(spark: SparkSession, folder: str, ts: str = "ts") -> float:
     return (most // 1000 + 1) / 1e3
 
 
-def append_batches(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: a batch that is delivered again adds nothing."""
+def append_batches(path: str, keys: list[str], writer: str | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: a batch that is delivered again adds nothing. With ``writer``, a name of the stream that
+    stays the same when it is restarted from its checkpoint, such a batch is not even compared."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        sinks.append_new(batch, path, keys)
+    def write(batch: DataFrame, number: int) -> None:
+        if writer is None:
+            sinks.append_new(batch, path, keys)
+        else:
+            sinks.append_batch(batch, path, keys, writer, number)
 
     return write
 
 
-def trade_batches(short_path: str, long_path: str, keys: list[str]) -> Callable:
+def trade_batches(short_path: str, long_path: str, keys: list[str], writer: str | None = None) -> Callable:
     """``foreachBatch`` sink for both trade records of each batch of legs."""
+    to_short, to_long = append_batches(short_path, keys, writer), append_batches(long_path, keys, writer)
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         short, extended = sinks.trade_records(stored(batch, "legs"))
-        sinks.append_new(short, short_path, keys)
-        sinks.append_new(extended, long_path, keys)
+        to_short(short, number)
+        to_long(extended, number)
 
     return write
 

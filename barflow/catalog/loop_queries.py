@@ -1,19 +1,22 @@
-"""The closed loop over hourly cycles of the given ticks: what was bought bars, what was sold frees."""
+"""The closed loop over hourly cycles of the given ticks, and signals while their bar is open."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barflow.catalog.adapters import flags, micros, rounded, table
+from barflow.catalog.adapters import bars, flags, micros, rounded, sql_bars, sql_smooth, sql_ticks, table, ticks
+from barflow.catalog.bar_queries import W, rows
 from barflow.catalog.exit_queries import EXIT_RULES, LEGS_SQL, _regimes, price_path
-from barflow.catalog.signal_queries import MODEL_SQL
-from barflow.operators import exits, series
+from barflow.catalog.signal_queries import MODEL_SQL, SIGNAL_RULES
+from barflow.operators import bars as bar_ops
+from barflow.operators import exits, live, series
 from barflow.operators.bars import build_bars
 from barflow.plans import closed_cycle, position_monitor
 from barflow.session import stored
 
 LOT = 0.0001
+LIVE_S = 300
 
 
 def poll_rows(spark: SparkSession, d: str, path: DataFrame) -> DataFrame:
@@ -55,7 +58,17 @@ def q_closed_cycle(spark, d):
                      "stop_count")
 
 
-QUERIES = {"closed_cycle": q_closed_cycle}
+def q_live_signals(spark, d):
+    """Signals at every five minutes of the bars that are open then."""
+    b = bars(spark, d)
+    df = live.live_signals(ticks(spark, d), b, bar_ops.coarsen(b), SIGNAL_RULES, every_s=LIVE_S)
+    return df.select(
+        "symbol", micros("ts"), micros("at"), F.col("c").alias("price"), "signal", "cash",
+        *rounded("rsi", "vol_ratio", "atr_pct", "pump_3h", "pump_6h", "high_distance", "ema_1h_distance",
+                 "ema_15m_distance"), *flags("is_whale"), "closed_confirm")
+
+
+QUERIES = {"closed_cycle": q_closed_cycle, "live_signals": q_live_signals}
 
 # --- SQL: one recursion over the cycles, after one over the polls of every possible position ------------
 
@@ -146,4 +159,45 @@ SELECT account, epoch_us(cycle_ts) AS cycle_ts, rank, symbol,
             WHEN free < cash * 1.01::DOUBLE THEN 'BAKIYE_YETERSIZ' ELSE '-' END AS reason,
        round(free, 5) + 0.0 AS free_cash, CAST(n_held AS INTEGER) AS n_held, s.streak AS stop_count
 FROM picked""",
+    # every moment's slice is put together anew: the bars before, and the open one at its end
+    "live_signals": f"""WITH {sql_ticks()}, {sql_bars()}, n AS (
+  SELECT *, row_number() OVER {W} - 1 AS idx, lag(c) OVER {W} AS pc, lag(o) OVER {W} AS po, lag(v) OVER {W} AS pv,
+         lag(h) OVER {W} AS ph FROM bars), d AS (
+  SELECT symbol, idx, greatest(c - pc, 0) AS gain, greatest(pc - c, 0) AS loss,
+         greatest(h - l, abs(h - pc), abs(l - pc)) AS tr FROM n WHERE idx > 0), e AS (
+  SELECT symbol, idx, list(gain) OVER z AS g, list(loss) OVER z AS k, list(tr) OVER z AS t FROM d
+  WINDOW z AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 98 PRECEDING AND 1 PRECEDING)), f AS (
+  SELECT symbol, ts, idx, pc, po, pv, max(h) OVER {rows(9, 2)} AS top8, max(h) OVER {rows(95, 1)} AS top95,
+         sum(v) OVER {rows(13, 1)} AS v13, lag(c, 12) OVER {W} AS c12, lag(c, 24) OVER {W} AS c24,
+         list(c) OVER {rows(99, 1)} AS cs FROM n), slots AS (
+  SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts, epoch_us(ts) // {LIVE_S * 1_000_000} AS slot,
+         arg_min(price, ts) AS o, max(price) AS h, min(price) AS l, arg_max(price, ts) AS c, sum(qty) AS v
+  FROM ticks GROUP BY 1, 2, 3), ob AS (
+  SELECT symbol, ts, (slot + 1) * {LIVE_S * 1_000_000} AS seen_at, first_value(o) OVER s AS o, max(h) OVER s AS h,
+         min(l) OVER s AS l, c, sum(v) OVER s AS v FROM slots
+  WINDOW s AS (PARTITION BY symbol, ts ORDER BY slot ROWS UNBOUNDED PRECEDING)), x AS (
+  SELECT ob.*, f.* EXCLUDE (symbol, ts), list_append(e.g, greatest(c - pc, 0)) AS gs,
+         list_append(e.k, greatest(pc - c, 0)) AS ks, list_append(e.t, greatest(h - l, abs(h - pc), abs(l - pc))) AS trs,
+         list_append(cs, c) AS closes, (v13 + v) / 14 AS vm
+  FROM ob JOIN f USING (symbol, ts) JOIN e USING (symbol, idx) WHERE idx + 1 >= 30), y AS (
+  SELECT *, {sql_smooth('gs', 14, '(1 / 14.0)')} AS up, {sql_smooth('ks', 14, '(1 / 14.0)')} AS down,
+         {sql_smooth('trs', 14, '(1 / 14.0)')} AS atr, {sql_smooth('closes', 20, '(2 / 21.0)')} AS ema,
+         CASE WHEN vm > 0 THEN v / vm ELSE 0 END AS vol_ratio, c > top8 AS msb, pc < po AND c > o AND o < pc AS eng
+  FROM x), q AS (
+  SELECT *, 100 * up / (up + down) AS rsi FROM y
+  WHERE 100 * up / (up + down) > {SIGNAL_RULES.min_rsi} AND vol_ratio > {SIGNAL_RULES.min_vol_ratio} AND (msb OR eng)
+    AND atr / c <= {SIGNAL_RULES.max_atr_ratio}), {sql_bars('hours', '1 hour')}, hn AS (
+  SELECT symbol, ts AS hour, row_number() OVER {W} AS k, list(c) OVER {rows(49, 1)} AS before FROM hours), r AS (
+  SELECT q.*, list_append(hn.before, q.c) AS hs FROM q JOIN hn ON hn.symbol = q.symbol
+    AND hn.hour = time_bucket(INTERVAL '1 hour', q.ts) WHERE hn.k >= 20), u AS (
+  SELECT *, {sql_smooth('hs', 20, '(2 / 21.0)')} AS ema_1h, vol_ratio > {SIGNAL_RULES.whale_vol_ratio}
+         AND rsi < {SIGNAL_RULES.whale_max_rsi} AS is_whale FROM r)
+SELECT symbol, epoch_us(ts) AS ts, seen_at AS "at", c AS price, CASE WHEN msb THEN 'MSB' ELSE 'Engulf' END AS signal,
+       CASE WHEN is_whale THEN 40.0::DOUBLE ELSE 20 END AS cash, round(rsi, 6) AS rsi, round(vol_ratio, 6) AS vol_ratio,
+       round(atr / c * 100, 6) AS atr_pct, round((c / c12 - 1) * 100, 6) + 0.0 AS pump_3h,
+       round((c / c24 - 1) * 100, 6) + 0.0 AS pump_6h,
+       round((greatest(top95, h) - c) / greatest(top95, h) * 100, 6) + 0.0 AS high_distance,
+       round((c / ema_1h - 1) * 100, 6) + 0.0 AS ema_1h_distance, round((c / ema - 1) * 100, 6) + 0.0 AS ema_15m_distance,
+       CAST(is_whale AS INTEGER) AS is_whale, CAST(pc > po AND pv > vm AS INTEGER) AS closed_confirm
+FROM u WHERE c >= ema_1h""",
 }

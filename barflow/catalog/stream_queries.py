@@ -11,7 +11,9 @@ from barflow.catalog.bar_queries import BENCH, CONTEXT_RULES, W
 from barflow.catalog.exit_queries import EXIT_RULES, _entries, _regimes, price_path
 from barflow.catalog.exit_queries import ORACLES as EXIT_ORACLES
 from barflow.catalog.signal_queries import ORACLES as SIGNAL_ORACLES
-from barflow.catalog.signal_queries import LABEL_RULES
+from barflow.catalog.loop_queries import LIVE_S
+from barflow.catalog.loop_queries import ORACLES as LOOP_ORACLES
+from barflow.catalog.signal_queries import LABEL_RULES, SIGNAL_RULES
 from barflow.catalog.trade_queries import EXIT_SQL
 from barflow.catalog.trade_queries import ORACLES as TRADE_ORACLES
 from barflow.functions.money import first_tier, stop_width
@@ -21,6 +23,7 @@ from barflow.plans.position_monitor import known_bars
 from barflow.session import stored
 from barflow.streaming import keyed
 from barflow.streaming.bars import stream_bars
+from barflow.streaming.live import stream_live_signals
 from barflow.streaming.runtime import drain, in_time_order, read_stream
 
 
@@ -102,7 +105,16 @@ def q_stream_labels(spark, d):
                       *rounded("result_pct", "max_pct", "min_pct", digits=3))
 
 
+def q_stream_live_signals(spark, d):
+    out = drain(stream_live_signals(ticks_of(_event_stream(spark, d)), SIGNAL_RULES, LIVE_S), "stream_live")
+    return out.select(
+        "symbol", micros("ts"), micros("at"), "price", "signal", "cash",
+        *rounded("rsi", "vol_ratio", "atr_pct", "pump_3h", "pump_6h", "high_distance", "ema_1h_distance",
+                 "ema_15m_distance"), *flags("is_whale"), "closed_confirm")
+
+
 QUERIES = {
+    "stream_live_signals": q_stream_live_signals,
     "stream_bars": q_stream_bars, "stream_throttle": q_stream_throttle,
     "stream_expiries": q_stream_expiries, "stream_context": q_stream_context,
     "stream_exits": q_stream_exits, "stream_labels": q_stream_labels,
@@ -116,7 +128,15 @@ def _passed(sql: str, end: str) -> str:
 
 TICK_END = "SELECT max(epoch_us(ts)) AS t FROM events WHERE value > 0"
 
+# a slot is over for the stream when the watermark has passed the symbol's next tick
+_SLOT_END = f"""SELECT q.* FROM ({LOOP_ORACLES['live_signals']}) q JOIN (
+  SELECT symbol, (slot + 1) * {LIVE_S * 1_000_000} AS seen_at, lead(t) OVER (PARTITION BY symbol ORDER BY slot) AS next_t FROM (
+    SELECT event_type AS symbol, epoch_us(ts) // {LIVE_S * 1_000_000} AS slot, min(epoch_us(ts)) AS t
+    FROM events WHERE value > 0 GROUP BY 1, 2)) s ON s.symbol = q.symbol AND s.seen_at = q."at", ({TICK_END}) e
+WHERE next_t <= (e.t // 1000 - 60000) * 1000"""
+
 ORACLES = {
+    "stream_live_signals": _SLOT_END,
     # a bar leaves the stream when the watermark (newest tick minus a minute) has passed its end
     "stream_bars": f"""WITH {sql_ticks()}, {sql_bars()}
 SELECT symbol, epoch_us(ts) AS ts, o, h, l, c, v FROM bars

@@ -5,9 +5,10 @@ so the result does not depend on how rows are spread over files and batches. Row
 Spark, which counts them (``numRowsDroppedByWatermark``): ``delay`` has to cover the disorder of the source, see
 ``runtime.disorder``, or the source is put in order first, see ``runtime.in_time_order``.
 
-State is kept in RocksDB, one entry for each slice of time with waiting rows, so a batch reads and writes the slices it has rows
-for and those the watermark has reached, not all that waits. A timer stands at the first waiting row of a slice. A call holds the
-symbol's rows of one micro-batch, which the source's batch limit bounds, or one slice.
+State is kept in RocksDB. A symbol's waiting rows of one micro-batch are an entry of at most ``ENTRY_ROWS`` rows under the time of
+its first one, with a timer at that time, so a batch writes its own rows once and reads the entries that the watermark has
+reached, not all that waits; what is left of those becomes entries anew. A call holds these entries or the symbol's rows of one micro-batch,
+which the source's batch limit bounds.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from barflow.operators import exits
 from barflow.operators.indicators import adx_of_rows
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Least width of a slice of waiting rows.
-SLICE_US = 60_000_000
+#: Most rows of an entry of waiting rows.
+ENTRY_ROWS = 50_000
 
 
 def _times(seconds) -> pd.Series:
@@ -52,60 +53,53 @@ def _ms(us: int) -> int:
 class InTimeOrder(StatefulProcessor):
     """Calls ``take`` with a symbol's rows in time order, as the watermark passes them."""
 
-    def __init__(self, take: Callable, state_schema: str, by: list[str], slice_us: int):
-        self.take, self.state_schema, self.by, self.slice_us = take, state_schema, by, slice_us
+    def __init__(self, take: Callable, state_schema: str, by: list[str]):
+        self.take, self.state_schema, self.by = take, state_schema, by
 
     def init(self, handle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", self.state_schema)
-        self.waiting = handle.getMapState("waiting", "slice long", "rows binary")
+        self.waiting = handle.getMapState("waiting", "first long", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # rows of a batch are newer than its watermark: they wait, and what waits is looked at first
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        yield from self.passed(key, now)
+        yield from self.passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
         frames = [f for f in rows if not f.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        for at, part in pdf.groupby(pdf["event_us"] // self.slice_us, sort=True):
-            slot = (int(at),)
-            first = int(part["event_us"].min())
-            if self.waiting.containsKey(slot):
-                held = _unpacked(self.waiting.getValue(slot)[0])
-                if int(held["event_us"].min()) <= first:
-                    first = None
-                part = pd.concat([held, part], ignore_index=True)
-            self.waiting.updateValue(slot, (_packed(part),))
-            if first is not None:
-                self.handle.registerTimer(_ms(first))
+        if frames:
+            self.wait(pd.concat(frames, ignore_index=True))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.passed(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
+    def wait(self, pdf: pd.DataFrame) -> None:
+        pdf = pdf.sort_values("event_us", ignore_index=True)
+        for start in range(0, len(pdf), ENTRY_ROWS):
+            part = pdf.iloc[start:start + ENTRY_ROWS]
+            first = int(part["event_us"].iloc[0])
+            if self.waiting.containsKey((first,)):
+                part = pd.concat([_unpacked(self.waiting.getValue((first,))[0]), part], ignore_index=True)
+            self.waiting.updateValue((first,), (_packed(part),))
+            self.handle.registerTimer(_ms(first))
+
     def passed(self, key, now: int) -> Iterator[pd.DataFrame]:
-        """Take the rows up to ``now``, slice by slice."""
-        due = sorted(int(k[0]) for k in self.waiting.keys() if int(k[0]) * self.slice_us <= now)
+        """Take the rows up to ``now``."""
+        due = [int(k[0]) for k in self.waiting.keys() if int(k[0]) <= now] if self.waiting.exists() else []
+        if not due:
+            return
+        pdf = pd.concat([_unpacked(self.waiting.getValue((at,))[0]) for at in due], ignore_index=True)
         for at in due:
-            pdf = _unpacked(self.waiting.getValue((at,))[0])
-            ready = pdf["event_us"].to_numpy() <= now
-            rest = pdf[~ready]
-            if rest.empty:
-                self.waiting.removeKey((at,))
-            else:
-                self.waiting.updateValue((at,), (_packed(rest),))
-                self.handle.registerTimer(_ms(int(rest["event_us"].min())))
-            if not ready.any():
-                continue
-            rows = pdf[ready].sort_values(self.by, ignore_index=True)
-            old = tuple(self.kept.get()) if self.kept.exists() else None
-            new, out = self.take(key[0], rows, old)
-            if new is not None:
-                self.kept.update(new)
-            elif old is not None:
-                self.kept.clear()
-            if out is not None and len(out):
-                yield out
+            self.waiting.removeKey((at,))
+        ready = pdf["event_us"].to_numpy() <= now
+        if not ready.all():
+            self.wait(pdf[~ready])
+        old = tuple(self.kept.get()) if self.kept.exists() else None
+        new, out = self.take(key[0], pdf[ready].sort_values(self.by, ignore_index=True), old)
+        if new is not None:
+            self.kept.update(new)
+        elif old is not None:
+            self.kept.clear()
+        if out is not None and len(out):
+            yield out
 
     def close(self) -> None:
         pass
@@ -125,8 +119,7 @@ def in_event_time(rows: DataFrame, take: Callable, schema, state_schema: str, by
                   delay: str) -> DataFrame:
     """Run ``take(symbol, sorted rows, state or None) -> (state or None, output or None)`` over each
     symbol's rows in time order, as the watermark (newest ``ts`` minus ``delay``) passes them."""
-    width = max(SLICE_US, int(pd.Timedelta(delay).total_seconds() * 1e6) // 16)
-    return _by_symbol(rows, InTimeOrder(take, state_schema, by, width), schema, delay)
+    return _by_symbol(rows, InTimeOrder(take, state_schema, by), schema, delay)
 
 
 # --- throttle ----------------------------------------------------------------------------------------

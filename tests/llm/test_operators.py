@@ -315,3 +315,19 @@ def test_a_template_is_judged_alike_on_hosts_of_any_size(spark, docs_of, others)
     rows += [(100_000 + i, "\n".join([*lines("template", 9), f"no {i}"]), "a") for i in range(25)]
     kept = {r.doc_id for r in quality.keep_good(docs_of(rows)).select("doc_id").collect()}
     assert kept == {*range(others), 100_000}
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_pages_vectors_and_labels_empty_or_with_more_columns(spark, as_dir, n):
+    def some(rows, schema):
+        df = spark.createDataFrame(rows[:n], schema)
+        return df.selectExpr("*", "1 AS id", "2 AS row", "'x' AS record", "3 AS score", "4 AS rank", "5 AS kind")
+
+    path = as_dir(
+        pages=some([(1, "u", "<p>"), (2, None, None), (None, "u", "<p>")], "page_id long, url string, html string"),
+        embeddings=some([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None)], "vec_id long, embedding array<float>"),
+        documents=some([(1, "some text"), (2, None), (None, "")], "doc_id long, text string"),
+        labels=some([(1, 1), (2, None), (None, 0)], "doc_id long, toxic int"))
+    found = {q: queries.QUERIES[q](spark, path).collect() for q in ("op4_warc", "op5_neighbours", "op8_toxicity")}
+    assert {q: len(rows) for q, rows in found.items()} == {
+        "op4_warc": n, "op5_neighbours": 1 if n else 0, "op8_toxicity": n}

@@ -22,7 +22,7 @@ from barflow.session import local_session  # noqa: E402
 HEADLINE = [
     "bars_15m", "bars_1h", "ema_bounded", "rsi_bounded", "atr_bounded", "adx_bounded",
     "volume_ratio", "price_structure", "price_moves", "mtf_asof", "regime_state", "context_asof",
-    "signals", "universe_top10", "decision_cascade", "signal_cycle", "throttle", "barrier_labels",
+    "signals", "live_signals", "universe_top10", "decision_cascade", "signal_cycle", "throttle", "barrier_labels",
     "label_report", "legs_to_positions", "trade_pnl", "vwap", "imbalance", "reconcile",
     "mark_to_market", "cumulative_profit", "running_top", "pnl_rollup", "stop_streak", "exclusions",
     "exit_monitor", "auc", "chrono_split", "coerce_clean", "ragged_repair", "stream_bars",

@@ -1,7 +1,11 @@
 """Near copies by word shingles: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact: prefix filters name the candidates, and each is verified on the whole sets. Sets
-are of 64-bit hashes; a pair of similarity 0.8 differs in at most a fifth of either set, so in any
+SimHash comes first: the majority bits of a set's hashes are its fingerprint, fingerprints within two
+bits (``simhash.links``), or equal ones, name candidates, and each is verified on the whole sets. At 0.8
+most pairs are further apart, so an exact join finds the links that fingerprints miss.
+
+The join is exact: prefix filters name the candidates, and each is verified on the whole sets, unless
+its fingerprints have settled it. Sets are of 64-bit hashes; a pair of similarity 0.8 differs in at most a fifth of either set, so in any
 common order of the shingles the first fifth of both, plus k, share at least k. Rows with equal
 sets are one from the start.
 
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.common import encoded, slices
+from barflow.llm import simhash
 from barflow.llm.simhash import components
 from barflow.session import stored
 
@@ -52,21 +57,25 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list:
 
 
 def first_quarters(keyed: DataFrame) -> DataFrame:
-    """Rows (row, sig, size, head) of rows (row, text): a digest of the set and its first hashes."""
+    """Rows (row, sig, size, head, fp) of rows (row, text): a digest of the set, its first hashes and its
+    SimHash fingerprint."""
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
         for batch in slices(batches, 512):
             sets = shingle_sets(encoded(batch.column(1)))
+            fp = simhash.majority_bits(np.concatenate(sets).view(np.uint64), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([s[:len(s) // 5 + max(1, len(s) // 20)] for s in sets],
-                         pa.list_(pa.int64()))], names=["row", "sig", "size", "head"])
+                         pa.list_(pa.int64())), pa.array(fp.view(np.int64))],
+                names=["row", "sig", "size", "head", "fp"])
 
     kind = keyed.schema["row"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"row {kind}, sig binary, size int, head array<bigint>")
+    return keyed.mapInArrow(run, f"row {kind}, sig binary, size int, head array<bigint>, fp bigint")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
@@ -138,8 +147,31 @@ def crowd_links(met: DataFrame, sets: DataFrame) -> DataFrame:
         compare, "a bigint, b bigint")
 
 
-def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that connect all linked rows; ``reps``: r, size, head; ``texts``: r, text."""
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a similarity of 0.8 or more."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("r").alias(side), F.col("hashes").alias(f"h{side}")), side)
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.where(5 * both >= 4 * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+
+
+def fingerprint_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified pairs (a < b) of rows whose fingerprints are equal or linked; ``reps``: r, fp. The rows of one
+    fingerprint, and of two linked ones, are compared through the least row of each."""
+    least = stored(reps.groupBy("fp").agg(F.min("r").alias("least")), "shingles-prints")
+    same = reps.join(least, "fp").where("r <> least").select(F.col("least").alias("a"), F.col("r").alias("b"))
+    near = simhash.links(least.select("fp"))
+    for side in "ab":
+        near = near.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"_{side}")), side)
+    pairs = same.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+    pairs = stored(pairs, "shingles-candidates")
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct()
+    return stored(verified(pairs, whole_sets(texts.join(rows, "r", "left_semi"))), "shingles-near")
+
+
+def links(reps: DataFrame, texts: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all linked rows, with the pairs ``settled`` (a < b) before; ``reps``: r, size,
+    head; ``texts``: r, text."""
     heads = reps.select("r", "size", F.explode("head").alias("t"))
     shared = stored(heads.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t"),
                     "shingles-shared")
@@ -158,11 +190,8 @@ def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = few.select("t", F.col("r").alias("a"), F.col("size").alias("sa")).join(
         few.select("t", F.col("r").alias("b"), F.col("size").alias("sb")), "t") \
         .where("a < b AND 5 * least(sa, sb) >= 4 * greatest(sa, sb)") \
-        .select("a", "b").distinct()
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("r").alias(side), F.col("hashes").alias(f"h{side}")), side)
-    both = F.size(F.array_intersect("ha", "hb"))
-    near = pairs.where(5 * both >= 4 * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+        .select("a", "b").distinct().join(settled, ["a", "b"], "left_anti")
+    near = verified(pairs, sets).unionByName(settled)
     return near.unionByName(crowd_links(met.where(F.col("n") > CROWD).select("t", "r"), sets))
 
 
@@ -176,10 +205,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
                    F.xxhash64(field(text_col)).alias("h"), F.col("_row").alias("r"))
     keyed = marked.select(row.alias("row"), field(text_col).alias("text"))
     reps = stored(first_quarters(keyed).groupBy("sig").agg(
-        F.min("row").alias("row"), F.first("size").alias("size"), F.first("head").alias("head"))
-        .select("row", F.col("row.r").alias("r"), "size", "head"), "shingles-reps")
-    found = components(links(reps.select("r", "size", "head"),
-                             marked.select(F.col("_row").alias("r"), field(text_col).alias("text"))))
+        F.min("row").alias("row"), F.first("size").alias("size"), F.first("head").alias("head"),
+        F.first("fp").alias("fp")).select("row", F.col("row.r").alias("r"), "size", "head", "fp"), "shingles-reps")
+    texts = marked.select(F.col("_row").alias("r"), field(text_col).alias("text"))
+    settled = fingerprint_links(reps.select("r", "fp"), texts)
+    found = components(links(reps.select("r", "size", "head"), texts, settled))
     kept = reps.select("row", "r").join(found.withColumnRenamed("node", "r"), "r", "left") \
         .groupBy(F.coalesce("root", "r")).agg(F.min("row").alias("least"))
     return marked.join(kept.select(F.col("least.r").alias("_row")), "_row", "left_semi") \

@@ -35,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of the 5-word shingles) stays, that of the smallest id."""
+    """One document of each group of near copies (0.8 of the 5-word shingles) stays, that of the smallest id: SimHash
+    fingerprints of the shingles name candidates, checked exactly; an exact join adds what they miss."""
     return shingle_pairs.keep_one(docs)
 
 

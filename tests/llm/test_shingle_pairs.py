@@ -84,3 +84,18 @@ def test_whole_table_against_all_pairs(spark):
 
 def test_empty_table(spark, docs_of):
     assert corpus_pipeline.near_dedup(spark, docs_of([]), "").collect() == []
+
+
+def test_fingerprints_name_verified_links(spark, docs_of):
+    """SimHash finds texts that differ in a word; equal or near fingerprints alone make no link."""
+    from barflow.session import stored
+    from pyspark.sql import functions as F
+
+    long = [f"w{i}" for i in range(4000)]
+    texts = {1: " ".join(long), 2: " ".join(long[:-1] + ["x"]), 3: "a b c d e", 4: " ".join(f"v{i}" for i in range(300))}
+    docs = stored(docs_of([(i, t, "a") for i, t in texts.items()]).select(F.col("doc_id").alias("r"), "text"), "docs")
+    prints = stored(shingle_pairs.first_quarters(docs.withColumnRenamed("r", "row"))
+                    .select(F.col("row").alias("r"), "fp"), "prints")
+    assert [tuple(r) for r in shingle_pairs.fingerprint_links(prints, docs).collect()] == [(1, 2)]
+    clash = prints.withColumn("fp", F.lit(7).cast("bigint"))
+    assert [tuple(r) for r in shingle_pairs.fingerprint_links(clash, docs).collect()] == [(1, 2)]

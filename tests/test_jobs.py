@@ -169,3 +169,20 @@ def test_only_blocks_of_candidates_are_read(spark):
     placed = bars.where("symbol = 'a' AND idx = 600").select("symbol", "idx")
     around = signal_cycle.near(bars, placed).agg(F.min("idx"), F.max("idx"), F.count("*")).first()
     assert tuple(around) == (384, 639, 256)
+
+
+def test_booster_reads_cells_not_rows(spark):
+    """The rows a booster goes over are bounded by the bins; weights and rows in them add up to the table's."""
+    df = spark.range(20_000).selectExpr(
+        "CAST(id * 7919 % 20000 AS DOUBLE) AS rsi", "CAST(id % 3 AS DOUBLE) AS vol_ratio", "CAST(1 AS DOUBLE) AS atr_pct",
+        "CAST(id * 7919 % 20000 >= 10000 AS INT) AS is_loss")
+    binned = training.bins(df, training.RISK_FEATURES)
+    rows = training.cells(df, binned, "is_loss", F.when(F.col("is_loss") == 1, 2.0).otherwise(1.0))
+    got = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    assert got.w == 30_000 and got.n <= training.BINS * 3 * 2 * training.PARTS
+    same = binned.transform(rows.select(*training.RISK_FEATURES)).distinct()
+    assert same.select("_bin_rsi").distinct().count() == training.BINS
+    model = training.fit(df, training.RISK_FEATURES, "is_loss", training.class_counts(df, "is_loss"), trees=3)
+    # the bins that lie on one side of the step are told apart, whatever the number of rows
+    wrong = training.score(df, model, "s").where("(s > 0.5) <> (is_loss = 1)").count()
+    assert wrong < 20_000 / training.BINS

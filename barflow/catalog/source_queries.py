@@ -137,11 +137,12 @@ def q_trade_dual_write(spark, d):
         F.col("l_orderkey").cast("string").alias("symbol"),
         F.col("l_linenumber").cast("string").alias("wallet"), F.expr(LEG_NET).alias("net"),
         F.col("l_quantity").alias("rsi"), F.col("l_discount").alias("book_ratio"))
-    legs.repartition(4).write.parquet(f"{root}/legs")
+    legs.write.parquet(f"{root}/legs")
+    half = -(-len(spark.read.schema(legs.schema).parquet(f"{root}/legs").inputFiles()) // 2)
     keys = [schemas.TRADE_NAMES[c] for c in ("ts", "symbol", "wallet", "rsi", "net")]
     for attempt in ("first", "again", "first"):
         sink = runtime.trade_batches(f"{root}/short", f"{root}/long", keys, writer=attempt)
-        stream = runtime.read_stream(spark, f"{root}/legs", legs.schema, files_per_batch=2)
+        stream = runtime.read_stream(spark, f"{root}/legs", legs.schema, files_per_batch=max(half, 1))
         stream.writeStream.foreachBatch(sink).option(
             "checkpointLocation", f"{root}/{attempt}").trigger(availableNow=True).start(
         ).awaitTermination()

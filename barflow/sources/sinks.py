@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow import schemas
+from barflow.session import stored
 from barflow.sources import layouts
 from barflow.sources.logs import filed
 from barflow.sources.paths import exists
@@ -46,6 +49,10 @@ def append_csv(df: DataFrame, path: str, columns: list[str], renamed: dict[str,
 
 #: Partition column of tables that are appended to by key: the first day of the rows' month.
 MONTH = "event_month"
+#: Where a table without rows keeps its schema, in an empty file.
+NO_MONTH = f"{MONTH}=__HIVE_DEFAULT_PARTITION__"
+#: Rows of a month that are compared in one piece.
+CELL_ROWS = 500_000
 
 
 def month_of(df: DataFrame, keys: list[str]) -> Column | None:
@@ -72,6 +79,12 @@ def of_months(spark: SparkSession, path: str, columns: list[str], lo, hi) -> Dat
     return df.select(*columns)
 
 
+def leave_schema(df: DataFrame, path: str) -> None:
+    """Make a table without rows readable, if there is none yet: no month has a file that tells its columns."""
+    if not exists(df.sparkSession, path):
+        df.limit(0).write.parquet(f"{path}/{NO_MONTH}")
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append only rows whose keys the table does not hold: safe to repeat after a failure.
 
@@ -82,7 +95,10 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
         known = read_table(df.sparkSession, path)
         known = None if known is None else known.select(*keys)
     else:
-        ends = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).first()
+        ends = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        if not ends.n:
+            leave_schema(df, path)
+            return
         known = of_months(df.sparkSession, path, keys, ends.lo, ends.hi)
     if known is not None:
         fresh = fresh.join(known, keys, "left_anti")
@@ -117,6 +133,80 @@ def append_batch(df: DataFrame, path: str, keys: list[str], writer: str, batch:
         commit(spark, path, writer, batch)
 
 
+def _digests(known: DataFrame, keys: list[str]) -> dict:
+    """(rows, two sums of 64-bit hashes of their keys) by month: equal for equal sets of keys."""
+    sums = [F.sum(F.xxhash64(F.lit(salt), *keys).cast("decimal(20,0)")) for salt in (1, 2)]
+    return {r[0]: tuple(r[1:]) for r in known.groupBy(MONTH).agg(F.count(F.lit(1)), *sums).collect()}
+
+
+def _known_keys(spark: SparkSession, paths: list[str], names: dict[str, str], keys: list[str], month: Column, lo, hi):
+    """Keys that the tables hold from month ``lo`` to ``hi``, with a bit for each table in ``_known``, and rows by month. Months in
+    which all tables hold the same keys are read from the first."""
+    found = [(i, of_months(spark, path, [names[k] for k in keys], lo, hi)) for i, path in enumerate(paths)]
+    tables = [(1 << i, df.toDF(*keys).withColumn(MONTH, month)) for i, df in found if df is not None]
+    if not tables:
+        return [], {}
+    digests = [_digests(df, keys) for _, df in tables]
+    sizes = {m: max(d[m][0] for d in digests if m in d) for d in digests for m in d}
+    if len(tables) < len(paths):
+        return [df.withColumn("_known", F.lit(bit)) for bit, df in tables], sizes
+    same = [m for m in sizes if len({d.get(m) for d in digests}) == 1]
+    in_all = F.coalesce(F.col(MONTH).isin([m for m in same if m is not None]), F.lit(None in same))
+    every = sum(bit for bit, _ in tables)
+    parts = [tables[0][1].withColumn("_known", F.when(in_all, every).otherwise(tables[0][0]))]
+    if len(same) < len(sizes):
+        parts += [df.where(~in_all).withColumn("_known", F.lit(bit)) for bit, df in tables[1:]]
+    return parts, sizes
+
+
+def _fresh(df: DataFrame, known: list[DataFrame], keys: list[str], month: Column, sizes: dict, tables: int) -> DataFrame:
+    """One row for each of the keys of ``df`` that not every table holds, its table bits in ``_known``."""
+    first = min((m.year * 12 + m.month for m in sizes if m is not None), default=0)
+    pieces = {m.year * 12 + m.month - first: -(-n // CELL_ROWS) for m, n in sizes.items() if m is not None}
+    of_month = F.lit([pieces.get(i, 1) for i in range(max(pieces, default=0) + 1)])
+    at = F.year(MONTH) * 12 + F.month(MONTH) - first
+    count = F.coalesce(F.get(of_month, at), F.lit(-(-sizes.get(None, 1) // CELL_ROWS)))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), known,
+                  df.withColumn(MONTH, month).withColumn("_known", F.lit(0)))
+    met = rows.withColumn("_cell", F.pmod(F.xxhash64(*keys), count)).repartition(MONTH, "_cell")
+    # firsts without regard to nulls: all of one row
+    merged = met.groupBy(MONTH, "_cell", *keys).agg(
+        F.bit_or("_known").alias("_bits"), F.min("_known").alias("_least"),
+        *[F.expr(f"first(`{c}`) FILTER (WHERE _known = 0)").alias(c) for c in df.columns if c not in keys])
+    return merged.where((F.col("_least") == 0) & (F.col("_bits") != (1 << tables) - 1)).withColumnRenamed(
+        "_bits", "_known").select(*df.columns, MONTH, "_known")
+
+
+def append_records(df: DataFrame, records: dict[str, dict[str, str]], keys: list[str], writer: str | None = None,
+                   batch: int = 0) -> None:
+    """Append the rows of ``df`` (library names) to several tables, to each under its own column names (path to names), without
+    the rows whose ``keys``, a time among them, it holds. With ``writer``, a table whose ledger has the batch is left alone.
+
+    The rows and the keys of all tables meet in one shuffle, by month and piece of a month, before they are spread over the
+    columns of a record; what is new is stored once and written to each table from there.
+    """
+    spark = df.sparkSession
+    paths = [p for p in records if writer is None or not committed(spark, p, writer, batch)]
+    if not paths:
+        return
+    month = month_of(df, keys)
+    sizes = {r[0]: r[1] for r in df.groupBy(month.alias(MONTH)).count().collect()}  # one row a month
+    if sizes:
+        ends = [m for m in sizes if m is not None]
+        known, held = _known_keys(spark, paths, records[paths[0]], keys, month, min(ends, default=None),
+                                  max(ends, default=None))
+        sizes = {m: n + held.get(m, 0) for m, n in sizes.items()}
+        fresh = stored(_fresh(df, known, keys, month, sizes, len(paths)), "fresh")
+    for i, path in enumerate(paths):
+        if sizes:
+            # in order of months while rows are narrow, so that records need not be sorted to be written
+            own = fresh.where(F.col("_known").bitwiseAND(F.lit(1 << i)) == 0).sortWithinPartitions(MONTH)
+            filed(own, {**records[path], MONTH: MONTH}).write.mode("append").partitionBy(MONTH).parquet(path)
+        leave_schema(filed(df, records[path]), path)
+        if writer is not None:
+            commit(spark, path, writer, batch)
+
+
 def trade_records(legs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The short and the extended trade record of the same legs (library names in)."""
     names = schemas.TRADE_NAMES

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.session import scratch_path, stored
+from barflow import schemas
+from barflow.session import scratch_path
 from barflow.sources import sinks
 
 # Seconds between passes of the signal cycle, the position monitor and the wallet scan.
@@ -81,13 +82,13 @@ def append_batches(path: str, keys: list[str], writer: str | None = None) -> Cal
 
 
 def trade_batches(short_path: str, long_path: str, keys: list[str], writer: str | None = None) -> Callable:
-    """``foreachBatch`` sink for both trade records of each batch of legs."""
-    to_short, to_long = append_batches(short_path, keys, writer), append_batches(long_path, keys, writer)
+    """``foreachBatch`` sink for both trade records of each batch of legs (``keys`` by their stored names, a time among
+    them), which are compared with both tables at once."""
+    of = {stored_name: name for name, stored_name in schemas.TRADE_NAMES.items()}
+    records = {short_path: schemas.TRADE_NAMES, long_path: {**schemas.TRADE_NAMES, **schemas.FEATURE_COLUMNS}}
 
     def write(batch: DataFrame, number: int) -> None:
-        short, extended = sinks.trade_records(stored(batch, "legs"))
-        to_short(short, number)
-        to_long(extended, number)
+        sinks.append_records(batch, records, [of[k] for k in keys], writer, number)
 
     return write
 

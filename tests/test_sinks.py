@@ -60,6 +60,45 @@ def test_a_batch_in_the_ledger_is_not_looked_at(spark, tmp_path, monkeypatch):
     assert not sinks.committed(spark, path, "stream-1", 8)
 
 
+def legs(spark, *of):
+    return spark.createDataFrame([(T0 + dt.timedelta(days=d), s, "w", float(d), 1.0, b) for s, d, b in of],
+                                 "ts timestamp, symbol string, wallet string, net double, rsi double, book_ratio double")
+
+
+def test_both_trade_records_are_compared_in_one_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "CELL_ROWS", 2)
+    short, long = f"{tmp_path}/short", f"{tmp_path}/long"
+    keys = ["Islem_Zamani", "Sembol", "Kasa_Tipi", "Giris_RSI", "Net_Kar_USDT"]
+    runtime.trade_batches(short, long, keys, "a")(legs(spark, ("a", 0, 1.0), ("a", 0, 1.0), ("b", 40, 2.0)), 0)
+    # a row that only one table holds is added to the other
+    sinks.append_new(sinks.trade_records(legs(spark, ("c", 1, 3.0)))[0], short, keys)
+    plans = []
+    keep = sinks.stored
+    monkeypatch.setattr(sinks, "stored", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    again = legs(spark, ("a", 0, 1.0), ("b", 40, 2.0), ("b", 41, 4.0), ("c", 1, 3.0), ("c", 1, 3.0))
+    for writer in ("b", "b", "c"):
+        runtime.trade_batches(short, long, keys, writer)(again, 0)
+    assert len(plans) == 2 and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+    want = [("a", 0.0), ("b", 40.0), ("b", 41.0), ("c", 1.0)]
+    for path in (short, long):
+        df = sinks.read_table(spark, path)
+        assert sorted((r.Sembol, r.Net_Kar_USDT) for r in df.collect()) == want
+    assert sorted(r.OB_Oran for r in sinks.read_table(spark, long).collect()) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_a_table_without_rows_keeps_its_schema(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for _ in range(2):
+        sinks.append_new(rows(spark, ("a", 0)).limit(0), path, ["symbol", "ts"])
+    assert sinks.read_table(spark, path).count() == 0
+    sinks.append_new(rows(spark, ("a", 0), ("b", 40)), path, ["symbol", "ts"])
+    assert sorted(r.x for r in sinks.read_table(spark, path).collect()) == [0.0, 40.0]
+    keys = ["Islem_Zamani", "Sembol"]
+    runtime.trade_batches(f"{tmp_path}/s", f"{tmp_path}/l", keys, "a")(legs(spark, ("a", 0, 1.0)).limit(0), 0)
+    assert sinks.read_table(spark, f"{tmp_path}/l").count() == 0
+
+
 def test_marks_never_go_back(spark, tmp_path):
     path = f"{tmp_path}/marks"
 

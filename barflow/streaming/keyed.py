@@ -9,6 +9,9 @@ State is kept in RocksDB. A symbol's waiting rows of one micro-batch are an entr
 its first one, with a timer at that time, so a batch writes its own rows once and reads the entries that the watermark has
 reached, not all that waits; what is left of those becomes entries anew. A call holds these entries or the symbol's rows of one micro-batch,
 which the source's batch limit bounds.
+
+Each call of a state processor costs a few milliseconds, whatever it holds. Where symbols may be many and a rule can be written over
+arrays, a call takes a lane instead: all symbols of a hash, of ``LANES``, with one small table of their states.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from barflow.operators.indicators import adx_of_rows
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Most rows of an entry of waiting rows.
 ENTRY_ROWS = 50_000
+#: Groups of symbols that share a call.
+LANES = 512
 
 
 def _times(seconds) -> pd.Series:
@@ -105,12 +110,12 @@ class InTimeOrder(StatefulProcessor):
         pass
 
 
-def _by_symbol(rows: DataFrame, processor: StatefulProcessor, schema, delay: str) -> DataFrame:
+def _by_symbol(rows: DataFrame, processor: StatefulProcessor, schema, delay: str, key: str = "symbol") -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     # a commit writes what has changed, not a copy of the whole store
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return (
-        rows.where("ts IS NOT NULL").withWatermark("ts", delay).withColumn("event_us", F.unix_micros("ts")).groupBy("symbol")
+        rows.where("ts IS NOT NULL").withWatermark("ts", delay).withColumn("event_us", F.unix_micros("ts")).groupBy(key)
         .transformWithStateInPandas(processor, schema, "Append", "EventTime")
     )
 
@@ -122,6 +127,18 @@ def in_event_time(rows: DataFrame, take: Callable, schema, state_schema: str, by
     return _by_symbol(rows, InTimeOrder(take, state_schema, by), schema, delay)
 
 
+def in_lanes(rows: DataFrame, take: Callable, schema, delay: str) -> DataFrame:
+    """Like ``in_event_time`` for many symbols at a time: ``take(rows sorted by symbol and time, states) -> (states, output)``
+    with the states (``symbol``, ...; None at first) of all symbols of a lane. A symbol without a row there has no state."""
+
+    def packed(lane, pdf, state):
+        states, out = take(pdf, _unpacked(state[0]) if state else None)
+        return ((_packed(states),) if len(states) else None), out
+
+    lanes = rows.withColumn("lane", F.pmod(F.xxhash64("symbol"), F.lit(LANES)).cast("int"))
+    return _by_symbol(lanes, InTimeOrder(packed, "states binary", ["symbol", "event_us"]), schema, delay, "lane")
+
+
 # --- throttle ----------------------------------------------------------------------------------------
 
 
@@ -153,20 +170,30 @@ def stream_expiries(exit_rows: DataFrame, rules: Rules = Rules(),
     schema = ("symbol string, ts timestamp, exit_code string, streak int, blacklisted boolean, "
               "cooldown_until timestamp, blacklist_until timestamp")
 
-    def follow(symbol, pdf, state):
-        code = pdf["exit_code"].to_numpy()
-        stops = np.cumsum(code == "STOP") + (state[0] if state else 0)
-        resets = np.isin(code, ["TREND", "DUST"])
-        base = np.maximum.accumulate(np.where(resets, stops, 0))
+    def follow(pdf, states):
+        """Running counts over all symbols of the lane, less what each symbol's first row finds."""
+        code, symbol = pdf["exit_code"].to_numpy(), pdf["symbol"].to_numpy()
+        first = np.append(True, symbol[1:] != symbol[:-1])
+        number, own = np.cumsum(first) - 1, symbol[first]
+        held = pd.Series(dtype="int64") if states is None else states.set_index("symbol")["stops"]
+        carried = held.reindex(own, fill_value=0).to_numpy("int64")
+        is_stop = code == "STOP"
+        counted = np.cumsum(is_stop)
+        stops = counted - (counted - is_stop)[first][number] + carried[number]
+        # resets of earlier symbols lie a whole span below
+        span = number * (len(code) + int(carried.max()) + 1)
+        base = np.maximum.accumulate(span + np.where(np.isin(code, ["TREND", "DUST"]), stops, 0)) - span
         streak = (stops - base) % rules.blacklist_stops
-        listed = (code == "STOP") & (streak == 0)
+        listed = is_stop & (streak == 0)
         cooled = pdf["ts"] + pd.Timedelta(seconds=rules.cooldown_s)
         barred = pdf["ts"] + pd.Timedelta(seconds=rules.blacklist_s)
-        return (int(streak[-1]),), pdf[["symbol", "ts", "exit_code"]].assign(
+        left = pd.concat([held.drop(own, errors="ignore"), pd.Series(streak[np.append(first[1:], True)], own)])
+        left = left[left > 0].rename_axis("symbol").rename("stops").reset_index()
+        return left, pdf[["symbol", "ts", "exit_code"]].assign(
             streak=streak.astype("int32"), blacklisted=listed,
-            cooldown_until=cooled.where(code != "DUST"), blacklist_until=barred.where(listed))
+            cooldown_until=cooled.where(pdf["exit_code"].notna() & (code != "DUST")), blacklist_until=barred.where(listed))
 
-    return in_event_time(exit_rows, follow, schema, "stops int", ["event_us"], delay)
+    return in_lanes(exit_rows.select("symbol", "ts", "exit_code"), follow, schema, delay)
 
 
 # --- market context ----------------------------------------------------------------------------------

@@ -103,6 +103,21 @@ def test_expiries(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, positions.stop_streaks(df).collect()))
 
 
+def test_expiries_of_many_symbols_share_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "LANES", 3)
+    rnd = random.Random(5)
+    rows = [(f"s{rnd.randrange(150)}", T0 + dt.timedelta(minutes=i),
+             rnd.choice(["STOP", "STOP", "TREND", "LOCK", "DUST"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, exit_code string")
+    stream = in_batches(spark, df, ["ts"], f"{tmp_path}/in", 6, flush=True)
+    checkpoint = f"{tmp_path}/checkpoint"
+    got = drain(keyed.stream_expiries(stream, delay="2 hours"), "e", checkpoint=checkpoint).select(
+        *positions.stop_streaks(df).columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, positions.stop_streaks(df).collect()))
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "kept").load()
+    assert 0 < state.count() <= 3
+
+
 def test_context(spark, tmp_path):
     rules = Rules(flash_drop=0.02)
     bars = bars_frame(spark, random_bars(("BTC",), 380, seed=3))

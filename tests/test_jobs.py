@@ -186,3 +186,25 @@ def test_booster_reads_cells_not_rows(spark):
     # the bins that lie on one side of the step are told apart, whatever the number of rows
     wrong = training.score(df, model, "s").where("(s > 0.5) <> (is_loss = 1)").count()
     assert wrong < 20_000 / training.BINS
+
+
+def test_cycle_follows_exits_and_bars_of_ranked_symbols_only(spark, monkeypatch):
+    from barflow.catalog import queries
+    from barflow.catalog.adapters import table
+
+    seen, placed = {}, signal_cycle.at_newest_bar
+    keep = signal_cycle.stored
+
+    def store(df, name, *rest):
+        df = keep(df, name, *rest)
+        seen.setdefault(name, df)  # the first of a name: ranked is stored again when exclusions are known
+        return df
+
+    monkeypatch.setattr(signal_cycle, "stored", store)
+    monkeypatch.setattr(signal_cycle, "at_newest_bar", lambda ranked, bars: seen.setdefault("bars", bars) and placed(ranked, bars))
+    d = "/root/testdata/sf0.001"
+    queries()["signal_cycle"](spark, d).collect()
+    wanted, every = ({r.symbol for r in df.select("symbol").distinct().collect()} for df in (
+        seen["ranked"], table(spark, d, "events").selectExpr("CAST(user_id AS STRING) AS symbol")))
+    streaks, bars = ({r.symbol for r in seen[n].select("symbol").distinct().collect()} for n in ("streaks", "bars"))
+    assert len(wanted) < len(every) and streaks <= wanted and bars <= wanted and streaks

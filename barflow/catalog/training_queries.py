@@ -19,9 +19,9 @@ def _positions(spark, d):
 
 def q_train_gate(spark, d):
     """Outcome of the gate for both targets: counts, test AUC, status."""
-    data = _positions(spark, d)
+    split = training.split_by_time(training.with_targets(positions.collapse_legs(_legs(spark, d))))
     reports = [
-        training.train_gated(data, features, target, Rules())[1]
+        training.train_gated(split, features, target, Rules())[1]
         for features, target in ((training.RISK_FEATURES, "is_loss"),
                                  (training.PROFIT_FEATURES, "is_profit"))]
     return spark.createDataFrame(

@@ -23,8 +23,9 @@ def run(spark: SparkSession, trade_paths: list[str], risk_path: str, profit_path
         return {**report, "status": "TOO_FEW"}
     jobs = {"risk": (training.RISK_FEATURES, "is_loss", risk_path),
             "profit": (training.PROFIT_FEATURES, "is_profit", profit_path)}
+    split = training.split_by_time(collapsed, rules)
     for name, (features, target, path) in jobs.items():
-        model, report[name] = training.train_gated(collapsed, features, target, rules, trees)
+        model, report[name] = training.train_gated(split, features, target, rules, trees)
         if model is not None:
             sinks.save_model(model, path)
     return {**report, "status": "DONE"}

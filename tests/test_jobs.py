@@ -208,3 +208,13 @@ def test_cycle_follows_exits_and_bars_of_ranked_symbols_only(spark, monkeypatch)
         seen["ranked"], table(spark, d, "events").selectExpr("CAST(user_id AS STRING) AS symbol")))
     streaks, bars = ({r.symbol for r in seen[n].select("symbol").distinct().collect()} for n in ("streaks", "bars"))
     assert len(wanted) < len(every) and streaks <= wanted and bars <= wanted and streaks
+
+
+def test_both_targets_share_a_split(spark, monkeypatch):
+    from barflow.catalog import queries
+
+    names, keep = [], training.stored
+    monkeypatch.setattr(training, "stored", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(training, "fit", lambda *_: None)
+    assert len(queries()["train_gate"](spark, "/root/testdata/sf0.001").collect()) == 2
+    assert names == ["split"]

@@ -188,6 +188,24 @@ def test_booster_reads_cells_not_rows(spark):
     assert wrong < 20_000 / training.BINS
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from barflow.session import CLEANUP, stored
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    df = stored(spark.range(10_000).repartition(3).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "t")
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(CLEANUP) == "false"
+    assert sum(r.n for r in df.collect()) == 10_000
+
+
 def test_cycle_follows_exits_and_bars_of_ranked_symbols_only(spark, monkeypatch):
     from barflow.catalog import queries
     from barflow.catalog.adapters import table

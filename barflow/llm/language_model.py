@@ -19,8 +19,10 @@ and ascends the likelihood of its own windows (Adagrad); the parameters are then
 tokens, in two levels of grouping by parameter block.
 
 Texts are held in chunks: a row has the texts of one stretch of a partition as numbers into the chunk's own
-vocabulary, each word once. Counts are made and joined per (chunk, word), not per word of text, and
-a chunk's rows are at most its different words; no vocabulary is broadcast. Only the spelling counts
+vocabulary, each word once. Words are dealt into parts by hash: a chunk sends each part one packet of its different
+words, and gets one back with their counts, chances and pieces in the same order, so that a word's text crosses one
+shuffle and numbers that say which word is meant cross none. The number of parts grows with that of the chunks,
+so that a part has the words of a few chunks. No vocabulary is broadcast; only the spelling counts
 (bounded by the number of contexts) and the parameters are.
 
 Cases: a null text counts as empty: one token, the end; a null id is a training row; without training
@@ -30,11 +32,14 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.common import encoded, table
-from barflow.session import scratch_path, stored
+from barflow.session import stored
 
 FOLDS = 10
 STEP = 32
@@ -45,38 +50,69 @@ TRAIN_BATCH = 48
 RATE = 0.1
 CHUNK_BYTES = 8 << 20
 SEED = 11
-END = ""
+END = b""
 WORD_END = 256
 LONG_BITS = 14
 BLOCKS = 64
+LEAST_PARTS = 256
+PART_CHUNKS = 4
+SOME_WORDS = 16384
 
 
 # --- texts as chunks ------------------------------------------------------------------------------
 
+def squeezed(raw: bytes) -> bytes:
+    """``raw`` compressed, with its size in front."""
+    import pyarrow as pa
+
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(raw) -> bytes:
+    import pyarrow as pa
+
+    raw = memoryview(raw)
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def planes(numbers) -> bytes:
-    """int32 numbers as four byte planes, of which the high ones compress to little."""
+    """Numbers as byte planes, of which the high ones compress to little."""
     import numpy as np
 
-    return np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return squeezed(np.ascontiguousarray(
+        np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
 
 
-def of_planes(raw):
+def of_planes(raw, kind: str):
     import numpy as np
 
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(
+        np.frombuffer(opened(raw), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def packed(words: list[bytes]) -> bytes:
+    """At least one word, none with a space in it."""
+    return squeezed(b" ".join(words))
+
+
+def unpacked(raw) -> list[bytes]:
+    return opened(raw).split(b" ")
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """As ``stored``, compressed more."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Numbers(dict):
+    """Numbers words in order of their first use."""
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        return at
 
 
 def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
     """Rows (chunk, ids, held, sizes, words, vocab, counts) of ``docs`` (id, held_out, text).
 
     ``words``: int32 numbers into ``vocab`` (0: the end), ends left out; ``counts``: of the training texts.
+    These three are packed.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -85,21 +121,18 @@ def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
         import pyarrow as pa
 
         split = [t.lower().split() for t in texts]
-        known = {b"": 0}
-        flat = np.fromiter((known.setdefault(w, len(known)) for ws in split for w in ws), np.int32,
+        known = Numbers({END: 0})
+        flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), np.int32,
                            sum(map(len, split)))
         sizes = np.array([len(ws) for ws in split], np.int32)
         train = ~np.array(marks, bool)
         counts = np.bincount(flat[np.repeat(train, sizes)], minlength=len(known))
         counts[0] = train.sum()
-        vocab = pa.array(list(known), pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(
             [pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
              pa.array([marks], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())),
-             pa.array([planes(flat)], pa.binary()),
-             pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), vocab),
-             pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()),
-                                      pa.array(counts, pa.int64()))],
+             pa.array([planes(flat)], pa.binary()), pa.array([packed(list(known))], pa.binary()),
+             pa.array([planes(counts.astype(np.int64))], pa.binary())],
             names=["chunk", "ids", "held", "sizes", "words", "vocab", "counts"])
 
     def run(batches):
@@ -125,38 +158,91 @@ def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
 
     return docs.select("id", held, "text").mapInArrow(
         run, f"chunk bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, words binary, "
-             "vocab array<string>, counts array<bigint>")
+             "vocab binary, counts binary")
+
+
+# --- words of all chunks ---------------------------------------------------------------------------
+
+def dealing(words: list[bytes], parts: int):
+    """The order of ``words`` by part (a hash), the parts met and where each starts, and the end."""
+    import numpy as np
 
+    part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return order, part[starts], np.r_[starts, len(words)]
 
-def pieces_of(words: DataFrame, path: str | None) -> DataFrame:
-    """``words`` (word, c) with the embedding rows of each word's first and last subword id."""
+
+def dealt(chunks: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, chunk, words, counts): the words of a chunk, by part."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        from barflow.llm.sentence_pieces import SPACE, chunks, lattice_of
-
-        model = lattice_of(path)
         for batch in batches:
-            plain = batch.column(0).to_pylist()
-            first = np.zeros(len(plain), np.int64)
-            last = np.ones(len(plain), np.int64)
-            some = np.array([i for i, w in enumerate(plain) if w], np.int64)
-            at = 0
-            for group in chunks([SPACE + plain[i] for i in some], 120_000):
-                _, _, unit, piece, code = model.viterbi(group)
-                # a character without a piece: a bucket by its code
-                piece = np.where(piece < 0, code, piece) % BUCKETS
-                own = some[at:at + len(group)]
-                ends = np.flatnonzero(np.r_[np.diff(unit) != 0, True])
-                last[own] = piece[ends]
-                first[own] = piece[np.r_[0, ends[:-1] + 1]]
-                at += len(group)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(first.astype(np.int32)),
-                 pa.array((last + BUCKETS).astype(np.int32))], names=["word", "c", "first", "last"])
+            for row in rows_of(batch):
+                words, counts = unpacked(row["vocab"].as_buffer()), of_planes(row["counts"].as_buffer(), "i8")
+                order, part, ends = dealing(words, parts)
+                own = [order[lo:hi] for lo, hi in itertools.pairwise(ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int64()), pa.array([row["chunk"].as_py()] * len(own), pa.int64()),
+                     pa.array([packed([words[i] for i in at]) for at in own], pa.binary()),
+                     pa.array([planes(counts[at]) for at in own], pa.binary())],
+                    names=["part", "chunk", "words", "counts"])
+
+    return chunks.select("chunk", "vocab", "counts").mapInArrow(
+        run, "part bigint, chunk bigint, words binary, counts binary")
+
+
+def pieces_of(words: list[bytes], path: str | None):
+    """Of each word the embedding rows of its first and last subword id, as one number."""
+    import numpy as np
 
-    return words.select("word", "c").mapInArrow(run, "word string, c bigint, first int, last int")
+    from barflow.llm.sentence_pieces import SPACE, chunks, lattice_of
+
+    model = lattice_of(path)
+    first = np.zeros(len(words), np.int64)
+    last = np.ones(len(words), np.int64)
+    some = np.array([i for i, w in enumerate(words) if w], np.int64)
+    at = 0
+    for group in chunks([SPACE + words[i].decode() for i in some], 120_000):
+        _, _, unit, piece, code = model.viterbi(group)
+        # a character without a piece: a bucket by its code
+        piece = np.where(piece < 0, code, piece) % BUCKETS
+        own = some[at:at + len(group)]
+        ends = np.flatnonzero(np.r_[np.diff(unit) != 0, True])
+        last[own] = piece[ends]
+        first[own] = piece[np.r_[0, ends[:-1] + 1]]
+        at += len(group)
+    return (first * (2 * BUCKETS) + last + BUCKETS).astype(np.int32)
+
+
+def words_by_part(packets: DataFrame, path: str | None) -> DataFrame:
+    """A row for each part: its different ``words``, their counts ``c`` and pieces ``at``; for each chunk
+    how many of them it has (``sizes``) and which (``picks``); and counts of the counts."""
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+
+        held = [unpacked(x.as_buffer()) for x in group.column("words")]
+        sizes = [len(x) for x in held]
+        every = pa.array(list(itertools.chain.from_iterable(held)), pa.binary()).dictionary_encode()
+        del held
+        words, picks = every.dictionary.to_pylist(), every.indices.to_numpy()
+        counts = np.concatenate([of_planes(x.as_buffer(), "i8") for x in group.column("counts")])
+        c = np.zeros(len(words), np.int64)
+        np.add.at(c, picks, counts)
+        return pa.table(
+            [group.column("part").slice(0, 1), pa.array([packed(words)], pa.binary()),
+             pa.array([planes(c)], pa.binary()), pa.array([planes(pieces_of(words, path))], pa.binary()),
+             pa.array([group.column("chunk").to_pylist()], pa.list_(pa.int64())),
+             pa.array([sizes], pa.list_(pa.int32())), pa.array([planes(picks.astype(np.int32))], pa.binary()),
+             *(pa.array([int(x)], pa.int64()) for x in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()))],
+            names=["part", "words", "c", "at", "chunks", "sizes", "picks", "n", "v", "once", "twice"])
+
+    return packets.groupBy("part").applyInArrow(
+        run, "part bigint, words binary, c binary, at binary, chunks array<bigint>, sizes array<int>, "
+             "picks binary, n bigint, v bigint, once bigint, twice bigint")
 
 
 def spelling(words: list[bytes]):
@@ -186,21 +272,28 @@ def spelling_counts(words: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        met = {False: (np.empty(0, np.int64),) * 2, True: (np.empty(0, np.int64),) * 2}
         for batch in batches:
-            plain = encoded(batch.column(0))
-            if not plain:
-                continue
-            symbol, short, long, _ = spelling(plain)
-            parts = []
-            for which, context in ((False, short), (True, long)):
-                key, n = np.unique(context * 257 + symbol, return_counts=True)
-                parts.append((np.full(len(key), which), key, n))
-            which, key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for row in rows_of(batch):
+                c = of_planes(row["c"].as_buffer(), "i8")
+                plain = [w for w, k in zip(unpacked(row["words"].as_buffer()), c, strict=True) if k and w]
+                found = {which: [own] for which, own in met.items()}
+                for some in itertools.batched(plain, SOME_WORDS):
+                    symbol, short, long, _ = spelling(some)
+                    for which, context in ((False, short), (True, long)):
+                        found[which].append(np.unique(context * 257 + symbol, return_counts=True))
+                for which, own in found.items():
+                    key, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+                    n = np.zeros(len(key), np.int64)
+                    np.add.at(n, at, np.concatenate([n for _, n in own]))
+                    met[which] = key, n
+        for which, (key, n) in met.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(which), pa.array(key // 257), pa.array((key % 257).astype(np.int32)),
-                 pa.array(n)], names=["long", "context", "symbol", "n"])
+                [pa.array(np.full(len(key), which)), pa.array(key // 257),
+                 pa.array((key % 257).astype(np.int32)), pa.array(n)],
+                names=["long", "context", "symbol", "n"])
 
-    return words.where((F.col("c") > 0) & (F.col("word") != END)).select("word").mapInArrow(
+    return words.select("words", "c").mapInArrow(
         run, "long boolean, context bigint, symbol int, n bigint").groupBy(
         "long", "context", "symbol").agg(F.sum("n").alias("n"))
 
@@ -236,8 +329,9 @@ def spelling_model(rows):
     return chance
 
 
-def spelled(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows (word, c, spell, first, last): with the log10 chance of the word's spelling."""
+def answers(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (chunk, part, c, spell, at) for each packet: its words' counts, the log10 chances of their
+    spellings, and their pieces."""
     shared = words.sparkSession.sparkContext.broadcast(counts.toPandas())
 
     def run(batches):
@@ -246,17 +340,43 @@ def spelled(words: DataFrame, counts: DataFrame) -> DataFrame:
 
         chance = spelling_model(shared.value)
         for batch in batches:
-            plain = encoded(batch.column(0))
-            if not plain:
-                continue
-            symbol, short, long, sizes = spelling(plain)
-            logs = np.add.reduceat(np.log10(chance(symbol, short, long)), np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(logs.astype(np.float32)),
-                 batch.column(2), batch.column(3)], names=["word", "c", "spell", "first", "last"])
+            for row in rows_of(batch):
+                logs = []
+                for some in itertools.batched(unpacked(row["words"].as_buffer()), SOME_WORDS):
+                    symbol, short, long, sizes = spelling(some)
+                    logs.append(np.add.reduceat(np.log10(chance(symbol, short, long)),
+                                                np.cumsum(sizes) - sizes))
+                spell = np.concatenate(logs).astype(np.float32)
+                c, at = of_planes(row["c"].as_buffer(), "i8"), of_planes(row["at"].as_buffer(), "i4")
+                ends = np.cumsum(row["sizes"].values.to_numpy())
+                own = np.split(of_planes(row["picks"].as_buffer(), "i4"), ends[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [row["chunks"].values, pa.array([row["part"].as_py()] * len(own), pa.int64()),
+                     *(pa.array([planes(x[pick]) for pick in own], pa.binary()) for x in (c, spell, at))],
+                    names=["chunk", "part", "c", "spell", "at"])
+
+    return words.select("part", "words", "c", "at", "chunks", "sizes", "picks").mapInArrow(
+        run, "chunk bigint, part bigint, c binary, spell binary, at binary")
+
+
+def joined(chunks: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """``chunks`` with the answers to its words in the order of its vocabulary instead of that."""
+    def run(own, packets):
+        import numpy as np
+
+        packets = packets.sort_by("part")
+        order, _, _ = dealing(unpacked(own.column("vocab")[0].as_buffer()), parts)
+        out = own.select(["ids", "held", "sizes", "words"])
+        for name, kind in (("c", "i8"), ("spell", "f4"), ("at", "i4")):
+            cells = np.empty(len(order), kind)
+            cells[order] = np.concatenate([of_planes(x.as_buffer(), kind) for x in packets.column(name)])
+            out = out.append_column(name, [[planes(cells)]])
+        return out
 
-    return words.select("word", "c", "first", "last").mapInArrow(
-        run, "word string, c bigint, spell float, first int, last int")
+    kind = chunks.schema["ids"].dataType.simpleString()
+    return chunks.select("chunk", "ids", "held", "sizes", "words", "vocab").groupBy("chunk").cogroup(
+        found.groupBy("chunk")).applyInArrow(
+        run, f"ids {kind}, held array<boolean>, sizes array<int>, words binary, c binary, spell binary, at binary")
 
 
 # --- the model ------------------------------------------------------------------------------------
@@ -408,16 +528,10 @@ class Chunk:
 
         self.sizes = np.asarray(row["sizes"].values, np.int64)
         self.held = np.asarray(row["held"].values.to_numpy(zero_copy_only=False), bool)
-        words = of_planes(row["words"].as_buffer())
-        cells = row["cells"].values
-        at, c, spell = (cells.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        order = np.argsort(at)  # by number in the vocabulary
-        at, c, spell = at[order], c[order], spell[order]
-        self.c = c.astype(np.float64)
-        rows = at & ((1 << 32) - 1)
-        self.first = (rows // (2 * BUCKETS)).astype(np.int32)
-        self.last = (rows % (2 * BUCKETS)).astype(np.int32)
-        spell = 10.0 ** spell.astype(np.float64)
+        words = of_planes(row["words"].as_buffer(), "i4")
+        self.c = of_planes(row["c"].as_buffer(), "i8").astype(np.float64)
+        self.first, self.last = np.divmod(of_planes(row["at"].as_buffer(), "i4"), np.int32(2 * BUCKETS))
+        spell = 10.0 ** of_planes(row["spell"].as_buffer(), "f4").astype(np.float64)
         if n:
             self.new = np.maximum(self.c - discount, 0) / n + discount * v / n * spell
         else:
@@ -493,24 +607,16 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held=
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     held = held_out(id_col, FOLDS) if held is None else held
-    chunks = kept_table(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"),
+    chunks = stored(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"),
                                         F.col(text_col).alias("text"))), "lm-chunks")
-    cells = chunks.select("chunk", F.posexplode(F.arrays_zip("vocab", "counts")).alias("pos", "w")) \
-        .select("chunk", "pos", F.col("w.vocab").alias("word"), F.col("w.counts").alias("n"))
-    words = stored(pieces_of(cells.groupBy("word").agg(F.sum("n").alias("c")), path), "lm-words")
-    n, v, once, twice = words.agg(
-        F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1),
-        F.count_if(F.col("c") == 2)).first()
-    n, v = int(n or 0), int(v or 0)
+    parts = max(LEAST_PARTS, chunks.count() // PART_CHUNKS)
+    words = stored(words_by_part(dealt(chunks, parts), path), "lm-words")
+    n, v, once, twice = (int(x or 0) for x in words.agg(
+        F.sum("n"), F.sum("v"), F.sum("once"), F.sum("twice")).first())
     discount = max(0.1, once / max(1.0, once + 2.0 * twice))
-    known = spelled(words, spelling_counts(words))
-    per_chunk = cells.join(known, "word").groupBy("chunk").agg(
-        F.collect_list(F.struct(
-            (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("first") * (2 * BUCKETS)
-             + F.col("last")).alias("at"), "c", "spell")).alias("cells"))
-    full = kept_table(chunks.drop("vocab", "counts").join(per_chunk, "chunk"), "lm-full")
+    full = stored(joined(chunks, answers(words, spelling_counts(words)), parts), "lm-full")
     stats = (n, v, discount)
-    total = stored(trained(full.select("held", "sizes", "words", "cells"), stats), "lm-parameters")
+    total = stored(trained(full.select("held", "sizes", "words", "c", "spell", "at"), stats), "lm-parameters")
     rows = sorted(total.collect(), key=lambda r: r["block"])  # one vector of parameters
     flat = np.concatenate([np.frombuffer(r["total"]) / r["tokens"] for r in rows]) if rows else None
     shared = spark.sparkContext.broadcast(None if flat is None else flat.astype(np.float32))

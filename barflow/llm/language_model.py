@@ -100,14 +100,6 @@ def unpacked(raw) -> list[bytes]:
     return opened(raw).split(b" ")
 
 
-class Numbers(dict):
-    """Numbers words in order of their first use."""
-
-    def __missing__(self, word):
-        self[word] = at = len(self)
-        return at
-
-
 def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
     """Rows (chunk, ids, held, sizes, words, vocab, counts) of ``docs`` (id, held_out, text).
 
@@ -119,19 +111,25 @@ def chunked(docs: DataFrame, held: str = "held_out") -> DataFrame:
     def pack(ids, marks, texts, name):
         import numpy as np
         import pyarrow as pa
-
-        split = [t.lower().split() for t in texts]
-        known = Numbers({END: 0})
-        flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), np.int32,
-                           sum(map(len, split)))
-        sizes = np.array([len(ws) for ws in split], np.int32)
+        import pyarrow.compute as pc
+
+        # splits at ASCII white space alone; white space at the ends of a text gives empty words there
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+        every, ends = split.values, split.offsets.to_numpy()
+        there = pc.binary_length(every).to_numpy() > 0
+        sizes = np.diff(np.r_[0, np.cumsum(there)][ends]).astype(np.int32)
+        if not there.all():
+            every = every.filter(pa.array(there))
+        every = every.dictionary_encode()
+        flat = every.indices.to_numpy() + np.int32(1)
+        known = [END, *every.dictionary.cast(pa.binary()).to_pylist()]
         train = ~np.array(marks, bool)
         counts = np.bincount(flat[np.repeat(train, sizes)], minlength=len(known))
         counts[0] = train.sum()
         return pa.RecordBatch.from_arrays(
             [pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
              pa.array([marks], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())),
-             pa.array([planes(flat)], pa.binary()), pa.array([packed(list(known))], pa.binary()),
+             pa.array([planes(flat)], pa.binary()), pa.array([packed(known)], pa.binary()),
              pa.array([planes(counts.astype(np.int64))], pa.binary())],
             names=["chunk", "ids", "held", "sizes", "words", "vocab", "counts"])
 
@@ -399,7 +397,8 @@ class Attention:
             "mix": np.block([[eye, eye], [0.5 * eye, 0.5 * eye]]).astype(np.float32),
             "dist": np.zeros(2 * STEP, np.float32), "sentinel": np.full(1, 8.0, np.float32)}
         self.square = {k: np.full_like(v, 1e-5) for k, v in self.p.items()}
-        self.gap = STEP + np.arange(STEP)[:, None] - np.arange(2 * STEP)[None, :]
+        # by key and query; attention is by key, window and query, so that sums over keys add whole rows
+        self.gap = STEP + np.arange(STEP)[None, :] - np.arange(2 * STEP)[:, None]
         self.before = self.gap > 0
         self.gap = np.where(self.before, self.gap, 0)
 
@@ -422,27 +421,29 @@ class Attention:
         """
         import numpy as np
 
-        p, there = self.p, tok >= 0
-        x = p["emb"][first]
-        x += p["emb"][last]
-        x *= there[:, None]
+        p, gone = self.p, np.flatnonzero(tok < 0)
+        x = p["emb"].take(first, axis=0)
+        x += p["emb"].take(last, axis=0)
+        x[gone] = 0
         lags = np.concatenate([x[1:-1], x[:-2]], axis=1)
         both = lags @ p["mix"]
         q = both[STEP:, :WIDTH].reshape(-1, STEP, WIDTH)
         k = overlapping(both[:, WIDTH:])
         seen = overlapping(tok[2:])
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(self.before, p["dist"][self.gap], np.float32(-1e9))
-        a += np.where(seen < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        top = np.maximum(a.max(axis=2), p["sentinel"][0])
-        a -= top[..., None]
+        a = np.empty((2 * STEP, len(q), STEP), both.dtype)
+        np.matmul(k, q.transpose(0, 2, 1), out=a.transpose(1, 0, 2))
+        a += np.where(self.before, p["dist"][self.gap], np.float32(-1e9))[:, None, :]
+        keys = np.ascontiguousarray(seen.T)
+        a[keys < 0] = np.float32(-1e9)
+        top = np.maximum(a.max(axis=0), p["sentinel"][0])
+        a -= top
         np.exp(a, out=a)
         sent = np.exp(p["sentinel"][0] - top)
-        z = a.sum(axis=2) + sent
+        z = a.sum(axis=0) + sent
         sent = sent / z
         own = seen[:, STEP:]
-        at = np.flatnonzero(seen[:, None, :] == np.where(own < 0, -2, own)[:, :, None])
-        row = at // (2 * STEP)
+        at = np.flatnonzero(keys[:, :, None] == np.where(own < 0, -2, own))
+        row = at % own.size
         copied = np.bincount(row, a.ravel()[at], z.size).reshape(z.shape) / z
         return (x, lags, both, q, k, a, z, sent, (at, row),
                 np.maximum(sent * new + copied, 1e-300))
@@ -458,14 +459,15 @@ class Attention:
         own = live.astype(np.float32)
         # d log p / d score: attention x (is it the token) / p, less the attention
         plus = (g.ravel()[at] / z.ravel()[row] * inv.ravel()[row]).astype(np.float32)
-        g *= (-own / z)[..., None]
+        g *= -own / z
         g.ravel()[at] += plus
         grad = {"sentinel": np.array([(sent * (new * inv - own)).sum()], np.float32)}
-        grad["dist"] = np.bincount(self.gap.ravel(), np.where(self.before, g.sum(axis=0), 0).ravel(),
+        grad["dist"] = np.bincount(self.gap.ravel(), np.where(self.before, g.sum(axis=1), 0).ravel(),
                                    2 * STEP).astype(np.float32)
-        dk = g.transpose(0, 2, 1) @ q
+        g = g.transpose(1, 0, 2)
+        dk = g @ q
         d = np.zeros_like(both)
-        d[STEP:, :WIDTH] = (g @ k).reshape(-1, WIDTH)
+        d[STEP:, :WIDTH] = (g.transpose(0, 2, 1) @ k).reshape(-1, WIDTH)
         d[:-STEP, WIDTH:] = dk[:, :STEP].reshape(-1, WIDTH)
         d[STEP:, WIDTH:] += dk[:, STEP:].reshape(-1, WIDTH)
         grad["mix"] = lags.T @ d
@@ -474,7 +476,7 @@ class Attention:
         dx = np.zeros_like(x)
         dx[1:-1] = dlags[:, :WIDTH]
         dx[:-2] += dlags[:, WIDTH:]
-        dx *= there[:, None]
+        dx[~there] = 0
         met = np.zeros(2 * BUCKETS, bool)
         met[first] = met[last] = True
         rows = np.flatnonzero(met)
@@ -487,10 +489,13 @@ class Attention:
             value = value / n
             self.square[name] += value * value
             p[name] += RATE * value / np.sqrt(self.square[name])
-        demb = (demb / n).astype(np.float32)
-        square = self.square["emb"][rows] + demb * demb
+        demb = (demb / n).astype(np.float32, copy=False)
+        square = self.square["emb"].take(rows, axis=0)
+        square += demb * demb
         self.square["emb"][rows] = square
-        p["emb"][rows] += RATE * demb / np.sqrt(square)
+        demb *= RATE
+        demb /= np.sqrt(square, out=square)
+        p["emb"][rows] += demb
         return float(np.log(chance[live]).sum()), n
 
 

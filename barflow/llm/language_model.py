@@ -302,26 +302,24 @@ def spelling_model(rows):
     import numpy as np
 
     tables = []
-    for which in (False, True):
+    for which, most in ((False, 257 * 257), (True, 1 << LONG_BITS)):
         own = rows[rows["long"] == which]
-        key = own["context"].to_numpy(np.int64) * 257 + own["symbol"].to_numpy(np.int64)
-        order = np.argsort(key)
-        key, n = key[order], own["n"].to_numpy(np.float64)[order]
-        context, at = np.unique(key // 257, return_inverse=True)
+        n = own["n"].to_numpy(np.float64)
+        context, at = np.unique(own["context"].to_numpy(np.int64), return_inverse=True)
         total, kinds = np.bincount(at, n), np.bincount(at).astype(np.float64)
-        tables.append((key, n, context, total, kinds))
+        # by number of the context and symbol; contexts not met have the number past the last, no count and one kind,
+        # which leaves a chance as it is
+        numbers = np.full(most, len(context), np.int32)
+        numbers[context] = np.arange(len(context))
+        cells = np.zeros((len(context) + 1) * 257, np.int64)
+        cells[at * 257 + own["symbol"].to_numpy(np.int64)] = n
+        tables.append((numbers, cells, np.r_[total, 0], np.r_[kinds, 1]))
 
     def chance(symbol, short, long):
         p = np.full(len(symbol), 1 / 257)
-        for (key, n, context, total, kinds), own in zip(tables, (short, long), strict=True):
-            if not len(key):
-                continue
-            place = np.minimum(np.searchsorted(context, own), len(context) - 1)
-            met = context[place] == own
-            want = own * 257 + symbol
-            cell = np.minimum(np.searchsorted(key, want), len(key) - 1)
-            seen = np.where(key[cell] == want, n[cell], 0.0)
-            p = np.where(met, (seen + kinds[place] * p) / (total[place] + kinds[place]), p)
+        for (numbers, cells, total, kinds), own in zip(tables, (short, long), strict=True):
+            place = numbers[own]
+            p = (cells[place.astype(np.int64) * 257 + symbol] + kinds[place] * p) / (total[place] + kinds[place])
         return p
 
     return chance

@@ -61,3 +61,29 @@ def test_each_word_gets_its_own_figures(spark):
             assert s < 0 and spells.setdefault(w, s) == s
         for i, own_words in zip(r.ids, texts_of(r, own), strict=True):
             assert own_words == (texts[i] or "").encode().lower().split()
+
+
+def test_spelling_chances_by_plain_counts():
+    import numpy as np
+    import pandas as pd
+
+    known, asked = [b"abc", b"abd", b"ba", "é".encode()], [b"", b"abc", b"abx", b"zz", "éa".encode()]
+
+    def cells(words):
+        symbol, short, long, sizes = language_model.spelling(words)
+        return [tuple(map(int, x)) for x in zip(symbol, short, long, strict=True)], sizes
+
+    seen = [collections.Counter((x[k], x[0]) for x in cells(known)[0]) for k in (1, 2)]
+    rows = pd.DataFrame([(bool(k), c, s, n) for k in (0, 1) for (c, s), n in seen[k].items()],
+                        columns=["long", "context", "symbol", "n"])
+    want = []
+    for x in cells(asked)[0]:
+        p = 1 / 257
+        for k in (0, 1):
+            own = {s: n for (c, s), n in seen[k].items() if c == x[k + 1]}
+            if own:
+                p = (own.get(x[0], 0) + len(own) * p) / (sum(own.values()) + len(own))
+        want.append(p)
+    symbol, short, long, _ = language_model.spelling(asked)
+    assert np.allclose(language_model.spelling_model(rows)(symbol, short, long), want, rtol=1e-12)
+    assert np.allclose(language_model.spelling_model(rows[:0])(symbol, short, long), 1 / 257)
